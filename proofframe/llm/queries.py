@@ -6,23 +6,48 @@ import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, token_store
+from . import bpe, langid, mpegts, packing, token_store, toxicity
 from .common import shared_folder, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op2_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), WORD_BPE, end_id=2)
+
+
+def op3_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(True))
+    model = toxicity.train(docs.where(~held_out), labels.where(~held_out).select("doc_id", "toxic"))
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark)}/token-store-{uuid.uuid4().hex}"
     token_store.write_store(table(spark, sf_dir, "documents"), path, WORD_BPE, end_id=1)
     return token_store.read_store(spark.read.parquet(path))
 
 
+def op5_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mpegts.media_digests(table(spark, sf_dir, "documents"))
+
+
+def op8_rank_order_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(True))
+    found = langid.identify(docs, langid.train(docs.where(~held_out)))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), BYTE_BPE, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op4_token_store, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (
+        op2_nnls_packing, op3_string_kernel_toxicity, op4_token_store, op5_transport_stream, op8_rank_order_langid, op10_byte_bpe,
+    )}
 ORACLES: dict[str, str] = {}
