@@ -18,7 +18,6 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +27,15 @@ from pyspark.sql import functions as F
 from .common import docs_text, slices, written
 
 GAP = 2
-DECAY = 0.6
+DECAY = 0.5
 STEPS = [(a, b) for a in range(1, GAP + 2) for b in range(1, GAP + 2) if a + b <= GAP + 2]
 #: At most so many labelled documents of either class are learned from, those of least hash of the id.
 TRAIN_TOXIC, TRAIN_CLEAN = 3_000, 9_000
 #: At most so many words of each kind go to the driver, which fits the machine.
 POSITIVE_WORDS, NEGATIVE_WORDS, HARD_POOL = 1_500, 5_000, 100_000
-LANDMARKS = 200
+LANDMARKS = 150  # of either side
+ROUNDS = 8
+RIDGE = 1e-2
 PREFIXES = (4, 5, 6)
 BATCH_CHARS = 2_000_000
 NOTHING = -3.0  # the decision for a text without words
@@ -174,44 +175,47 @@ class Scorer:
         return np.array([max(map(get, x), default=NOTHING) for x in lists])
 
 
-@lru_cache(1)
-def fit_machine(positive: tuple[str, ...], negative: tuple[str, ...], pool: tuple[str, ...]) -> Model:
-    """The machine, fitted on words; words of clean documents that it would call toxic are added twice."""
+def fit_machine(positive: dict[str, int], negative: dict[str, int], pool: list[str]) -> Model:
+    """The machine, fitted on words with the numbers of documents that hold them.
+
+    Landmarks are the commonest positive words and the hardest negative ones: words of clean documents nearest to the
+    positive side join the negatives, round after round.
+    """
     if not positive:
         return Model(np.zeros(1 << 18, np.float32), -1.0, 1.0, 0.0)
+    likely = sorted(positive, key=lambda w: (-positive[w], w))
+    hard: list[str] = []
     negatives = list(negative) or ["-"]
-    rng = np.random.default_rng(7)
-    for _ in range(3):
-        half = LANDMARKS // 2
-        picked = [[w[i] for i in rng.choice(len(w), min(half, len(w)), replace=False)] for w in (list(positive), negatives)]
-        landmarks = list(dict.fromkeys([*picked[0], *picked[1], *negatives[len(negative) :][:half]]))
+    for _ in range(ROUNDS):
+        landmarks = [*likely[:LANDMARKS], *hard[:LANDMARKS]] if hard else [*likely[:LANDMARKS], *negatives[: LANDMARKS // 4]]
         columns, weights = feature_table(landmarks)
-        own = weights.T @ weights
-        value, vector = np.linalg.eigh(own)
-        keep = value > 1e-6 * value.max()
+        value, vector = np.linalg.eigh(weights.T @ weights)
+        keep = value > 1e-5 * value.max()
         root = vector[:, keep] / np.sqrt(value[keep])
-        words = [*positive, *negatives]
-        y = np.array([1.0] * len(positive) + [-1.0] * len(negatives))
+        words = [*likely, *negatives, *hard]
+        y = np.array([1.0] * len(likely) + [-1.0] * (len(words) - len(likely)))
         z = np.column_stack([kernel_rows(words, columns, weights) @ root, np.ones(len(words))])
-        cost = np.where(y > 0, len(y) / 2 / len(positive), len(y) / 2 / len(negatives))
-        w = squared_hinge(z, y, cost)
+        often = np.sqrt([positive.get(w) or 1 for w in words])
+        cost = np.where(y > 0, often / often[y > 0].mean(), 1.0) * np.where(y > 0, len(y) / 4 / len(likely), 1.0)
+        w = squared_hinge(z, y, cost, RIDGE)
         table = np.zeros(1 << 18, np.float32)
         table[columns] = weights @ (root @ w[:-1])
-        table[0] = 0
         model = Model(table, float(w[-1]), 1.0, 0.0)
-        wrong = [pool[i] for i in np.argsort(-model.decisions(list(pool)))[:1000]] if pool else []
-        wrong = [x for x, d in zip(wrong, model.decisions(wrong), strict=True) if d > -0.5]
-        if not wrong:
+        if not pool:
+            break
+        order = np.argsort(-(d := model.decisions(pool)))[:400]
+        new = [pool[i] for i in order if d[i] > -0.7]
+        if not set(new).difference(hard):
             break
-        negatives = list(dict.fromkeys([*negatives, *wrong]))
+        hard = list(dict.fromkeys([*new, *hard]))
     return model
 
 
 def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of a slightly regularised logistic curve, with classes weighed equally."""
+    """Slope and shift of a slightly regularised logistic curve."""
     w = np.zeros(2)
     z = np.column_stack([x, np.ones(len(x))])
-    cost = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y <= 0).sum()))
+    cost = np.full(len(x), 1 / max(1, len(x)))
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
         step = np.linalg.solve((z * (cost * p * (1 - p))[:, None]).T @ z + 1e-4 * np.eye(2), z.T @ (cost * (y - p)) - 1e-4 * w)
@@ -257,9 +261,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     for n in PREFIXES:
         if some := [i[1:] for i in sure if i[0] == "^" and len(i) == n + 1]:
             sign = sign | F.left("word", F.lit(n)).isin(some)
-    positive = [r["word"] for r in words.where((F.col("toxic") > 0) & (F.col("clean") == 0) & sign).orderBy(F.desc("toxic"), "word").limit(POSITIVE_WORDS).collect()]
-    clean = [r["word"] for r in words.where((F.col("clean") > 0) & ~sign & (F.length("word") <= 40)).orderBy(F.xxhash64("word")).limit(HARD_POOL).collect()]
-    model = fit_machine(tuple(positive), tuple(clean[:NEGATIVE_WORDS]), tuple(clean))
+    positive = {r["word"]: r["toxic"] for r in words.where((F.col("toxic") > 0) & (F.col("clean") == 0) & sign).orderBy(F.desc("toxic"), "word").limit(POSITIVE_WORDS).collect()}
+    clean = {r["word"]: r["clean"] for r in words.where((F.col("clean") > 0) & ~sign & (F.length("word") <= 40)).orderBy(F.xxhash64("word")).limit(HARD_POOL).collect()}
+    model = fit_machine(positive, dict(list(clean.items())[:NEGATIVE_WORDS]), list(clean))
     scored = written(decisions(texts.withColumn("doc_id", F.lit(0)), model, "toxic"), "toxicity-decisions").collect()  # TRAIN_* rows
     model.slope, model.shift = logistic(np.array([r["decision"] for r in scored]), np.array([r["toxic"] for r in scored]))
     return model
