@@ -1,0 +1,35 @@
+"""Connected components of an edge table by min-label stars, all in DataFrames."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import written
+
+
+def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """node and label (the smallest node reachable) of every node in edges (x, y: long).
+
+    Large-star and small-star steps take turns (Kiveris et al. 2014): every node hands its neighbours to the smallest
+    one, so paths halve and the edges never grow beyond their number. Each round is written to the shared folder.
+    """
+    at = written(edges.select("x", "y").where("x <> y").distinct(), "edges")
+    before = None
+    for _ in range(rounds):
+        both = at.unionByName(at.select(F.col("y").alias("x"), F.col("x").alias("y")))
+        low = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
+        large = both.join(low, "x").where("y > x").select(F.col("y").alias("x"), F.col("m").alias("y"))
+        large = large.where("x <> y").distinct()
+        down = large.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y"))
+        low = down.groupBy("x").agg(F.min("y").alias("m"))
+        small = down.join(low, "x").select(F.explode(F.array(F.struct(F.col("x").alias("x"), F.col("m").alias("y")), F.struct(F.col("y").alias("x"), F.col("m").alias("y")))).alias("e")).select("e.x", "e.y")
+        at = written(small.where("x <> y").distinct(), "edges")
+        now = at.agg(F.count("*"), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)"))).first()
+        if now == before:
+            break
+        before = now
+    else:
+        raise RuntimeError("components did not settle")
+    label = at.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("label"))
+    return label.unionByName(at.select(F.col("y").alias("node"), F.col("y").alias("label")).distinct()).groupBy("node").agg(F.min("label").alias("label"))

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from fractions import Fraction
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mpegts, packing, token_store, toxicity
+from . import bpe, langid, mpegts, packing, sigtree, token_store, toxicity
 from .common import shared_folder, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -36,6 +37,10 @@ def op5_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpegts.media_digests(table(spark, sf_dir, "documents"))
 
 
+def op6_signature_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sigtree.JaccardJoin(width=3, threshold=Fraction(9, 10)).groups(table(spark, sf_dir, "documents"))
+
+
 def op8_rank_order_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(True))
@@ -48,6 +53,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-        op2_nnls_packing, op3_string_kernel_toxicity, op4_token_store, op5_transport_stream, op8_rank_order_langid, op10_byte_bpe,
-    )}
+        op2_nnls_packing, op3_string_kernel_toxicity, op4_token_store, op5_transport_stream, op6_signature_tree_join, op8_rank_order_langid, op10_byte_bpe,
+    )
+}
 ORACLES: dict[str, str] = {}
