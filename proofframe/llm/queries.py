@@ -9,13 +9,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mpegts, packing, sigtree, token_store, toxicity
+from . import ann, bpe, langid, mpegts, oracle, packing, sigtree, token_store, toxicity, url_filter
 from .common import shared_folder, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+def op1_projected_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.search(rows, rows.where("vec_id % 100 = 0"), k=10)
+
+
 def op2_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), WORD_BPE, end_id=2)
 
@@ -48,12 +56,20 @@ def op8_rank_order_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op9_bloom_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(RULES, "action string, host string, path string")
+    return url_filter.judge(table(spark, sf_dir, "pages"), rules)
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), BYTE_BPE, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (
-        op2_nnls_packing, op3_string_kernel_toxicity, op4_token_store, op5_transport_stream, op6_signature_tree_join, op8_rank_order_langid, op10_byte_bpe,
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_projected_neighbours, op2_nnls_packing, op3_string_kernel_toxicity, op4_token_store, op5_transport_stream,
+        op6_signature_tree_join, op8_rank_order_langid, op9_bloom_url_filter, op10_byte_bpe,
     )
-}
-ORACLES: dict[str, str] = {}
+}
+ORACLES: dict[str, str] = {"op6_signature_tree_join": oracle.JACCARD, "op9_bloom_url_filter": oracle.URLS}

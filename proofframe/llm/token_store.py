@@ -35,6 +35,7 @@ from .token_ids import token_ids
 
 MAGIC = b"PFIDS001"
 SHARD_BYTES = 4_000_000
+TRIES = 1 << 17
 NULL_KEY = -(1 << 63)
 M64 = (1 << 64) - 1
 BATCH_CHARS = 2_000_000
@@ -68,14 +69,18 @@ def build_hash(keys: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
             if counts[k] <= 1:
                 break
             own = order[ends[k] - counts[k] : ends[k]]
-            tries = slot_of(h[own][None, :], np.arange(1, 513)[:, None], m).astype(np.int64)
-            good = free[tries].all(1)
-            tries.sort(1)
-            good &= (tries[:, 1:] != tries[:, :-1]).all(1)
-            if not good.any():
+            d = 0
+            for base in range(1, TRIES, 2048):
+                tries = slot_of(h[own][None, :], np.arange(base, base + 2048)[:, None], m).astype(np.int64)
+                good = free[tries].all(1)
+                tries.sort(1)
+                good &= (tries[:, 1:] != tries[:, :-1]).all(1)
+                if good.any():
+                    d = base + int(good.argmax())
+                    break
+            if not d:
                 done = False
                 break
-            d = int(good.argmax()) + 1
             disp[k] = d
             slots[own] = at = slot_of(h[own], np.full(len(own), d), m).astype(np.int64)
             free[at] = False
