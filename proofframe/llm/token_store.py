@@ -35,29 +35,28 @@ from .token_ids import token_ids
 
 MAGIC = b"PFIDS001"
 SHARD_BYTES = 4_000_000
-TRIES = 1 << 17
+TRIES = 1 << 15
 NULL_KEY = -(1 << 63)
-M64 = (1 << 64) - 1
 BATCH_CHARS = 2_000_000
 
 
-def mix(x: np.ndarray, seed: int) -> np.ndarray:
-    """A 64-bit finaliser of keys."""
-    z = x.astype(np.uint64) + np.uint64((seed * 0x9E3779B97F4A7C15) & M64)
+def mix(x: np.ndarray, seed: int | np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser of keys, another one for each seed."""
+    z = x.astype(np.uint64) + np.asarray(seed, np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return z ^ (z >> np.uint64(31))
 
 
 def slot_of(h: np.ndarray, d: np.ndarray, m: int) -> np.ndarray:
-    return ((h >> np.uint64(32)) + d.astype(np.uint64) * ((h & np.uint64(0xFFFFFFFF)) | np.uint64(1))) % np.uint64(m)
+    return mix(h, d) % np.uint64(m)
 
 
 def build_hash(keys: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
     """Seed, displacements and the slot of each of the distinct keys."""
     m = len(keys)
     b = max(1, m // 3)
-    for seed in range(1, 1000):
+    for seed in range(1, 50):
         h = mix(keys, seed)
         bucket = (mix(keys, seed + 7919) % np.uint64(b)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
@@ -70,8 +69,8 @@ def build_hash(keys: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
                 break
             own = order[ends[k] - counts[k] : ends[k]]
             d = 0
-            for base in range(1, TRIES, 2048):
-                tries = slot_of(h[own][None, :], np.arange(base, base + 2048)[:, None], m).astype(np.int64)
+            for base in range(1, TRIES, 512):
+                tries = slot_of(h[own][None, :], np.arange(base, base + 512)[:, None], m).astype(np.int64)
                 good = free[tries].all(1)
                 tries.sort(1)
                 good &= (tries[:, 1:] != tries[:, :-1]).all(1)
