@@ -36,6 +36,7 @@ from .components import components
 M = (1 << 64) - 1
 BATCH_CHARS = 2_000_000
 FANOUT = 8
+MOST_BITS = 1 << 16
 BLOCK = 4_096  # classes of a bucket that one tree holds; larger buckets are split into pairs of blocks
 BROADCAST_ROWS = 1_000_000  # 16 bytes each
 
@@ -201,9 +202,11 @@ def possible(low_a, high_a, bits_a, low_b, high_b, bits_b, t: Fraction, leaves:
     return ok
 
 
-def bitmap(s: np.ndarray, words: int) -> np.ndarray:
-    out = np.zeros(words * 64, bool)
-    out[(s % np.uint64(words * 64)).astype(np.int64)] = True
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """A bit for each hash modulo the width, a power of two of at least 64 and of the set's size (up to MOST_BITS)."""
+    width = 1 << max(6, (min(len(s), MOST_BITS) - 1).bit_length())
+    out = np.zeros(width, bool)
+    out[(s & np.uint64(width - 1)).astype(np.int64)] = True
     return np.packbits(out, bitorder="little").view(np.uint64)
 
 
@@ -237,8 +240,8 @@ class JaccardJoin:
     def members(self, docs: DataFrame) -> DataFrame:
         """bucket, leader, a: the classes of buckets that hold several, each beside a leader of its bucket.
 
-        Equal texts of a batch bring their buckets once, and classes that meet in a batch are led there already, so a
-        bucket needs no more than its rows in order: it is streamed, whatever its size."""
+        Equal texts of a batch bring their buckets once. A bucket needs no more than its rows in order: it is
+        streamed, whatever its size."""
         t = self.t
 
         def make(batch: pa.RecordBatch, sets: list[np.ndarray]) -> pa.RecordBatch:
@@ -252,45 +255,38 @@ class JaccardJoin:
                     buckets.append(found)
                     ids.append(np.full(len(found), a, np.int64))
             key = np.concatenate(buckets or [np.zeros(0, np.uint64)]).view(np.int64)
-            a = np.concatenate(ids or [np.zeros(0, np.int64)])
-            order = np.lexsort((a, key))
-            key, a = key[order], a[order]
-            first = np.searchsorted(key, key) if len(key) else key
-            leader = a[first] if len(key) else a
-            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(leader), pa.array(a)], names=["bucket", "leader", "a"])
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.concatenate(ids or [np.zeros(0, np.int64)]))], names=["bucket", "a"])
 
         def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """Rows by (bucket, leader, a): the bucket's first leader leads all its leaders; lone classes go."""
-            key, lead = None, None
+            """Rows by (bucket, a): a bucket's first class leads the others; lone classes go."""
+            key = lead = None
             for batch in batches:
-                k, led, a = (np.asarray(c) for c in batch.columns)
+                k, a = (np.asarray(c) for c in batch.columns)
                 if not len(k):
                     continue
-                first = np.searchsorted(k, k)  # ascending
-                head = led[first]
+                head = a[np.searchsorted(k, k)]  # k ascends
                 if k[0] == key:
                     head = np.where(k == key, lead, head)
                 key, lead = int(k[-1]), int(head[-1])
-                # a class beside its own batch's leader, or a leader beside the bucket's
-                other = np.where(led == a, head, led)
-                keep = other != a
-                yield pa.RecordBatch.from_arrays([pa.array(k[keep]), pa.array(other[keep]), pa.array(a[keep])], names=["bucket", "leader", "a"])
+                keep = head != a
+                yield pa.RecordBatch.from_arrays([pa.array(k[keep]), pa.array(head[keep]), pa.array(a[keep])], names=["bucket", "leader", "a"])
 
-        rows = self.map_sets(docs_text(docs), make, "bucket long, leader long, a long")
+        rows = self.map_sets(docs_text(docs), make, "bucket long, a long")
         n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        return rows.repartition(n, "bucket").sortWithinPartitions("bucket", "leader", "a").mapInArrow(star, "bucket long, leader long, a long")
+        return rows.repartition(n, "bucket").sortWithinPartitions("bucket", "a").mapInArrow(star, "bucket long, leader long, a long")
 
     def sets_of(self, docs: DataFrame, reps: DataFrame) -> DataFrame:
-        """a and shingles (sorted hashes as bytes) of the classes in reps (doc_id, a)."""
+        """a, shingles (sorted hashes as bytes), their number n and bitmap of the classes in reps (doc_id, a). Equal rows of
+        docs give equal rows, which do no harm in the joins that follow."""
 
         def make(batch: pa.RecordBatch, sets: list[np.ndarray]) -> pa.RecordBatch:
             want = batch.column(2).to_pylist()
             keep = [k for k, s in enumerate(sets) if set_id(s) == want[k]]
-            return pa.RecordBatch.from_arrays([pa.array([want[k] for k in keep], pa.int64()), pa.array([sets[k].tobytes() for k in keep], pa.binary())], names=["a", "shingles"])
+            return pa.RecordBatch.from_arrays([pa.array([want[k] for k in keep], pa.int64()), pa.array([len(sets[k]) for k in keep], pa.int64()), pa.array([bitmap(sets[k]).tobytes() for k in keep], pa.binary()), pa.array([sets[k].tobytes() for k in keep], pa.binary())], names=["a", "n", "bits", "shingles"])
 
         small = reps.count() <= BROADCAST_ROWS
         rows = docs_text(docs).join(F.broadcast(reps) if small else reps, "doc_id").select("doc_id", "text", "a")
-        return self.map_sets(rows, make, "a long, shingles binary").dropDuplicates(["a"])
+        return self.map_sets(rows, make, "a long, n long, bits binary, shingles binary")
 
     def verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The pairs (x, y) whose sets reach the threshold."""
@@ -313,14 +309,15 @@ class JaccardJoin:
         rows = open_buckets.join(counts, "bucket").withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
         # a block meets every block of its bucket once: as (small, large)
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        rows = rows.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "a", "label").join(sets, "a")
+        rows = rows.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "a", "label")
+        rows = rows.join(sets.select("a", "n", "bits").distinct(), "a")
 
         def traverse(table: pa.Table) -> pa.Table:
             a, label, block = (np.asarray(table.column(c)) for c in ("a", "label", "block"))
-            sets_ = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
-            size = np.array([len(s) for s in sets_], np.int64)
-            words = 1 << max(0, (max(64, min(int(size.max()), 32_768)) - 1).bit_length() - 6)
-            bits = np.stack([bitmap(s, words) for s in sets_])
+            size = np.asarray(table.column("n"))
+            maps = [np.frombuffer(x, np.uint64) for x in table.column("bits").to_pylist()]
+            words = min(map(len, maps))
+            bits = np.stack([np.bitwise_or.reduce(m.reshape(-1, words), axis=0) for m in maps])  # wider ones are folded
             i, j = int(table.column("i")[0].as_py()), int(table.column("j")[0].as_py())
             left = np.nonzero(block == i)[0]
             tree = SignatureTree(size[left], bits[left])
