@@ -16,26 +16,67 @@ NOT_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 
 class TokenIds:
     """The tokenizer drops white space and never joins what white space parts, so a text's ids are its words' ids.
-    Every word is encoded by the tokenizers library; a bounded cache keeps the encodings."""
+    Every word is encoded by the tokenizers library; bounded caches keep the encodings.
 
-    def __init__(self, path: str):
+    Words of Latin letters, with at most a comma or full stop behind, are lower-cased and parted before, as the
+    tokenizer would do; the letters, one token run each, are then encoded many in a string, and the marks of word ends
+    in the vocabulary tell the runs apart.
+    """
+
+    def __init__(self, path: str, limit: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         gc.disable()  # nothing here makes cycles; the cache's many strings would be walked again and again
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.words = WordCache(self.encode_words)
+        vocab = self.tokenizer.get_vocab()
+        self.dtype = np.dtype("<u2" if max(vocab.values()) < 1 << 16 else "<u4")
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.marks = dict(zip(",.", self.encode_strings([",", "."]), strict=True))
+        self.limit = limit
+        self.cores: dict[str, bytes] = {}
+        self.words = WordCache(self.encode_words, limit)
 
-    def encode_words(self, words: list[str]) -> list[bytes]:
+    def encode_strings(self, strings: list[str]) -> list[bytes]:
         out: list[bytes] = []
-        for a in range(0, len(words), 5000):
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(words[a : a + 5000], add_special_tokens=False)]
-            flat = np.fromiter((i for x in ids for i in x), self.dtype).tobytes()
-            ends = (np.cumsum([len(x) for x in ids]) * self.dtype.itemsize).tolist()
-            out += [flat[x:y] for x, y in zip([0, *ends], ends, strict=False)]
+        for a in range(0, len(strings), 5000):
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(strings[a : a + 5000], add_special_tokens=False)]
+            out += [np.array(x, self.dtype).tobytes() for x in ids]
         return out
 
+    def encode_letters(self, words: list[str]) -> list[bytes]:
+        """Lower-case words of letters alone."""
+        out: list[bytes] = []
+        for a in range(0, len(words), 20_000):
+            some = words[a : a + 20_000]
+            encoded = self.tokenizer.encode_batch_fast([" ".join(some[i : i + 100]) for i in range(0, len(some), 100)], add_special_tokens=False)
+            ids = np.concatenate([np.array(e.ids, self.dtype) for e in encoded])
+            ends = ((np.nonzero(self.ends[ids])[0] + 1) * self.dtype.itemsize).tolist()
+            flat = ids.tobytes()
+            if len(ends) == len(some) and ends[-1] == len(flat):
+                out += [flat[x:y] for x, y in zip([0, *ends], ends, strict=False)]
+            else:
+                out += self.encode_strings(some)
+        return out
+
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        cores: list[str | None] = []
+        for w in words:
+            core = w[:-1] if w[-1:] in self.marks else w
+            cores.append(core.lower() if core.isalpha() and (core.isascii() or max(core) < "\u0100") else None)
+        new = set(cores).difference(self.cores)
+        new.discard(None)
+        if len(self.cores) + len(new) > self.limit:
+            self.cores = {}
+            new = set(cores)
+            new.discard(None)
+        new = list(new)
+        self.cores.update(zip(new, self.encode_letters(new), strict=True))
+        odd = iter(self.encode_strings([w for w, c in zip(words, cores, strict=True) if c is None]))
+        get, marks = self.cores.__getitem__, self.marks
+        return [next(odd) if c is None else get(c) + marks[w[-1]] if w[-1] in marks else get(c) for w, c in zip(words, cores, strict=True)]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids as little-endian unsigned integers of self.dtype."""
         parts, owner, whole = [], [], {}
