@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import docs_text, slices
+from .common import slices
 
 PROFILE = 300
 #: At most so many documents of each language are learned from, those of least hash of the id.
@@ -171,19 +171,23 @@ def train(docs: DataFrame, profile: int = PROFILE, train_docs: int = TRAIN_DOCS)
     return out
 
 
-def identify(docs: DataFrame, profiles: dict[str, list[int]]) -> DataFrame:
-    """docs's doc_id with lang_pred and score (0 to 1) of every whole text.
+def identify(docs: DataFrame, profiles: dict[str, list[int]], *keep: str) -> DataFrame:
+    """doc_id (or the columns in keep) with lang_pred and score (0 to 1) of every whole text.
 
     Null texts and texts without a letter are und with score 0. Repeated rows stay, other columns are not read; with
     no profiles everything is und.
     """
 
+    keep = keep or ("doc_id",)
+    rows = docs.select(*keep, F.coalesce("text", F.lit("")).alias("__text"))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Profiles(profiles)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(len(keep)).to_pylist()
             for a, b in slices(map(len, texts), BATCH_CHARS):
                 lang, score = model.predict(texts[a:b])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(len(keep))), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
 
-    return docs_text(docs).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keep)])
+    return rows.mapInArrow(run, f"{schema}, lang_pred string, score double")

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, langid, mpegts, oracle, packing, sigtree, token_store, toxicity, url_filter
+from . import ann, bpe, langid, mpegts, oracle, packing, pii, sigtree, token_store, toxicity, url_filter
 from .common import shared_folder, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -49,6 +49,10 @@ def op6_signature_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sigtree.JaccardJoin(width=3, threshold=Fraction(9, 10)).groups(table(spark, sf_dir, "documents"))
 
 
+def op7_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(table(spark, sf_dir, "documents"))
+
+
 def op8_rank_order_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(True))
@@ -69,7 +73,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_projected_neighbours, op2_nnls_packing, op3_string_kernel_toxicity, op4_token_store, op5_transport_stream,
-        op6_signature_tree_join, op8_rank_order_langid, op9_bloom_url_filter, op10_byte_bpe,
+        op6_signature_tree_join, op7_weak_supervision_pii, op8_rank_order_langid, op9_bloom_url_filter, op10_byte_bpe,
     )
 }
 ORACLES: dict[str, str] = {"op6_signature_tree_join": oracle.JACCARD, "op9_bloom_url_filter": oracle.URLS}

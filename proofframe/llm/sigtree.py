@@ -370,3 +370,13 @@ class JaccardJoin:
         least = named.where(full).groupBy("label").agg(F.min("doc_id").alias("least"))
         out = named.join(least, "label", "left")
         return out.select("doc_id", "n_shingles", F.when(full, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+
+    def deduplicated(self, docs: DataFrame) -> DataFrame:
+        """docs with one document of each component, that of the smallest doc_id; of repeated doc_ids one row stays.
+
+        Documents without shingles (null or empty texts) are linked with nothing and all stay; null doc_ids stay."""
+        kept = self.groups(docs.where("doc_id is not null")).where("doc_id = component_id").select("doc_id").distinct()
+        repeated = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count()
+        out = docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+        out = out.dropDuplicates(["doc_id"]) if repeated else out
+        return out.unionByName(docs.where("doc_id is null"))

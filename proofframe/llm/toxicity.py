@@ -272,7 +272,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 def decisions(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     """doc_id (or the columns in keep) and the worst word's decision of every whole text."""
     keep = keep or ("doc_id",)
-    rows = docs.select(*keep, F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(*keep, F.coalesce("text", F.lit("")).alias("__text"))
     table, rest = model.table, (model.bias, model.slope, model.shift)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
