@@ -1,6 +1,6 @@
 """Registered queries; importing this package fills the registry."""
 
 from ..registry import QUERIES
-from . import render, scans, selection
+from . import aggregates, joins, render, scans, selection
 
 FLAGSHIP = QUERIES["scan_json_props"]
