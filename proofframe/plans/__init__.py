@@ -1,6 +1,6 @@
 """Registered queries; importing this package fills the registry."""
 
 from ..registry import QUERIES
-from . import aggregates, joins, render, scans, selection
+from . import aggregates, diffs, graphs, joins, render, scans, selection, streams
 
-FLAGSHIP = QUERIES["scan_json_props"]
+FLAGSHIP = QUERIES["tolerance_compare"]
