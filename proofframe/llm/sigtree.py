@@ -12,8 +12,8 @@ Tree. The classes of a bucket are leaves of a signature tree: nodes hold the OR
 range of their sizes. A traversal of node pairs drops a pair when its largest possible overlap, from the sizes and
 from the bits that one side lacks, is below what the threshold asks; what is left is verified on the whole sets.
 
-Order of work. First every class of a bucket is verified against the bucket's leader only. Buckets that are wholly one
-component then need no more; in the others all pairs of different components go through the tree. So a group of
+Order of work. First every class of a bucket is verified against the bucket's leader only, then against some other
+leaders. Buckets that are wholly one component then need no more; in the others all pairs of different components go through the tree. So a group of
 thousands of near copies costs its size, not its square, and links between components are all found.
 """
 
@@ -36,7 +36,8 @@ from .components import components
 M = (1 << 64) - 1
 BATCH_CHARS = 2_000_000
 FANOUT = 8
-MOST_BITS = 1 << 16
+LEADERS = 3  # further leaders that buckets are verified against before the trees
+MOST_BITS = 1 << 18
 BLOCK = 4_096  # classes of a bucket that one tree holds; larger buckets are split into pairs of blocks
 BROADCAST_ROWS = 1_000_000  # 16 bytes each
 
@@ -203,13 +204,24 @@ def possible(low_a, high_a, bits_a, low_b, high_b, bits_b, t: Fraction, leaves:
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
-    """A bit for each hash modulo the width, a power of two of at least 64 and of the set's size (up to MOST_BITS)."""
-    width = 1 << max(6, (min(len(s), MOST_BITS) - 1).bit_length())
+    """A bit for each hash modulo the width, a power of two of at least 64 and eight times the set's size (up to
+    MOST_BITS): few shingles share a bit, so that bitmaps tell nearly how far sets are apart."""
+    width = 1 << max(6, (min(8 * len(s), MOST_BITS) - 1).bit_length())
     out = np.zeros(width, bool)
     out[(s & np.uint64(width - 1)).astype(np.int64)] = True
     return np.packbits(out, bitorder="little").view(np.uint64)
 
 
+def merged(label: DataFrame, links: DataFrame) -> DataFrame:
+    """label (node, label) after further links (x, y): components of the labels that the links join."""
+    name = lambda c: label.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
+    edges = links.join(name("x"), "x", "left").join(name("y"), "y", "left")
+    joined = written(components(edges.select(F.coalesce("x_label", "x").alias("x"), F.coalesce("y_label", "y").alias("y"))), "labels")
+    up = joined.select(F.col("node").alias("label"), F.col("label").alias("up"))
+    old = label.join(up, "label", "left").select("node", F.coalesce("up", "label").alias("label"))
+    return written(old.unionByName(joined.join(label, "node", "left_anti")), "labels")
+
+
 class JaccardJoin:
     """The join's steps for shingles of `width` words and a threshold."""
 
@@ -348,16 +360,32 @@ class JaccardJoin:
         sets = written(self.sets_of(docs, written(reps, "reps")), "sets")
         links = written(self.verified(pairs, sets), "links")
         label = written(components(links), "labels")
-        named = members.select("bucket", "a").union(members.select("bucket", "leader")).distinct()
-        named = named.join(label.withColumnRenamed("node", "a"), "a", "left").select("bucket", "a", F.coalesce("label", "a").alias("label"))
-        open_ = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo <> hi and n > 2")
-        open_ = written(named.join(open_.select("bucket"), "bucket", "left_semi"), "open")
+        named = members.select("bucket", "a").union(members.select("bucket", F.col("leader").alias("a"))).distinct()
+        for turn in range(LEADERS):
+            open_ = self.open_buckets(named, label, turn)
+            star = open_.where("label <> leader.label").select(F.least("a", "leader.a").alias("x"), F.greatest("a", "leader.a").alias("y")).distinct()
+            more = written(self.verified(star, sets), "links")
+            if more.isEmpty():
+                break
+            links, label = links.unionByName(more), merged(label, more)
+        open_ = written(self.open_buckets(named, label, 0).drop("leader"), "open")
         more = written(self.verified(self.tree_pairs(open_, sets), sets), "links")
         if not more.isEmpty():
-            links = links.unionByName(more)
-            label = written(components(links), "labels")
+            links, label = links.unionByName(more), merged(label, more)
         return ids, label, links
 
+    def open_buckets(self, named: DataFrame, label: DataFrame, turn: int) -> DataFrame:
+        """bucket, a, label and leader (a, label) of buckets that hold several components, one bucket for each set of
+        classes; the leader is another class each turn. A bucket of two has been verified whole."""
+        rows = named.join(label.withColumnRenamed("node", "a"), "a", "left").select("bucket", "a", F.coalesce("label", "a").alias("label"))
+        facts = rows.groupBy("bucket").agg(
+            F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"),
+            F.sum(F.xxhash64("a").cast("decimal(38,0)")).alias("alike"),
+            F.min_by(F.struct("a", "label"), F.xxhash64("a", F.lit(turn))).alias("leader"),
+        )
+        facts = facts.where("lo <> hi and n > 2").groupBy("alike", "n").agg(F.min("bucket").alias("bucket"), F.first("leader").alias("leader"))
+        return rows.join(facts.select("bucket", "leader"), "bucket")
+
     def groups(self, docs: DataFrame) -> DataFrame:
         """doc_id, n_shingles and component_id (the smallest doc_id reachable by links, itself included).
 
