@@ -51,7 +51,7 @@ def glob_regex(pattern: str) -> str:
 def front_matter(text: Column) -> Column:
     """Keys and values of a leading block between --- lines, as a map; null without one."""
     block = F.regexp_extract(text, r"^---\n((?:[^\n]*\n)*?)---(?:\n|$)", 1)
-    return F.when(block != "", F.str_to_map(F.rtrim(block), F.lit("\n"), F.lit(": ")))
+    return F.when(block != "", F.str_to_map(F.regexp_replace(block, "\n$", ""), F.lit("\n"), F.lit(": ")))
 
 
 def markdown_cells(df: DataFrame, text: str, *keep: str) -> DataFrame:
