@@ -31,6 +31,24 @@ def significant_exponent(x: Column) -> Column:
     return F.floor(F.log10(F.abs(x).cast("double")))
 
 
+def significant(x: Column, digits: int, most: int = 12) -> Column:
+    """Text with that many significant figures, rounded half to even, zeros kept; null beyond most places either way.
+
+    Where rounding carries into a further figure (9.996 to 10.0), places follow the rounded value."""
+
+    def at(places: Column, text: bool) -> Column:
+        x10 = x.cast("decimal(30,10)")
+        out = F.lit(None)
+        for p in range(-most, min(most, 9) + 1):
+            r = F.bround(x10, p)
+            out = F.when(places == p, r.cast(f"decimal(30,{max(p, 0)})").cast("string") if text else r.cast("double")).otherwise(out)
+        return out
+
+    places = digits - 1 - significant_exponent(x)
+    carried = digits - 1 - significant_exponent(at(places, text=False))
+    return F.when(x == 0, fixed(x, digits - 1)).otherwise(at(carried, text=True))
+
+
 def scientific(x: Column, digits: int) -> Column:
     """c e x with that many digits, carried where rounding reaches ten."""
     e = significant_exponent(x)

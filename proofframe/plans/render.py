@@ -36,7 +36,12 @@ def fn_fixed(t: Tables) -> DataFrame:
     return t("part").select("p_partkey", r.fixed(F.col("p_retailprice"), 2).alias("v"))
 
 
-@query("""select r_regionkey, 'c' || 'e0' v from region where false union all select r_regionkey, case when r_regionkey = 0 then '0' else cast(r_regionkey as varchar) || '.00e0' end from region""")
+@query("""select p_partkey, cast(case when p_retailprice >= 999.5 then cast(round_even(cast(p_retailprice as decimal(20,2)) / 10, 0) as bigint) * 10 else cast(round_even(cast(p_retailprice as decimal(20,2)), 0) as bigint) end as varchar) v from part""")
+def fn_significant(t: Tables) -> DataFrame:
+    return t("part").select("p_partkey", r.significant(F.col("p_retailprice"), 3).alias("v"))
+
+
+@query("""select r_regionkey, case when r_regionkey = 0 then '0' else cast(r_regionkey as varchar) || '.00e0' end v from region""")
 def fn_scientific(t: Tables) -> DataFrame:
     return t("region").select("r_regionkey", r.scientific(F.col("r_regionkey").cast("decimal(20,4)"), 3).alias("v"))
 

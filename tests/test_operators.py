@@ -43,6 +43,8 @@ def test_rendering(spark):
     one = spark.sql("select 0.3751454883084359d v, cast(2.675 as decimal(10,3)) h, 1234567 i, 9.996d c")
     got = one.select(render.fixed(F.col("v"), 2), render.fixed(F.col("h"), 2), render.grouped(F.col("i")), render.scientific(F.col("c"), 3)).first()
     assert tuple(got) == ("0.38", "2.68", "1,234,567", "1.00e1")
+    some = spark.createDataFrame([(9.996,), (0.012345,), (123456.0,), (0.0,)], "v double")
+    assert [r[0] for r in some.select(render.significant(F.col("v"), 3)).collect()] == ["10.0", "0.0123", "123000", "0.00"]
     spelled = spark.sql("select 1 x").select(render.forms([F.lit("1.300"), F.lit("0.010")], "plus_minus")).first()[0]
     assert spelled[0] == "1.300 +/- 0.010"
 
