@@ -148,8 +148,11 @@ def train(docs: DataFrame, profile: int = PROFILE, train_docs: int = TRAIN_DOCS)
     """Profiles of the languages in docs (text, lang; rows without either teach nothing). Counts are summed by Spark
     over at most train_docs documents of each language; the driver gets the profiles only: languages x profile rows."""
     rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    pick = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = rows.select("doc_id", "lang").withColumn("pick", pick).where(F.col("pick") <= train_docs).select("doc_id", "lang").distinct()
+    rank = F.shiftrightunsigned(F.xxhash64("doc_id"), 33)  # 31 bits
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    near = rows.select("doc_id", "lang", rank.alias("rank")).join(sizes, "lang").where(F.col("rank") * F.col("n") <= F.lit(2.0 * train_docs * 2**31))
+    pick = F.row_number().over(Window.partitionBy("lang").orderBy("rank", "doc_id"))  # over some 2 train_docs rows
+    ids = near.withColumn("pick", pick).where(F.col("pick") <= train_docs).select("doc_id", "lang").distinct()
     rows = rows.select("doc_id", "lang", "text").join(ids, ["doc_id", "lang"], "left_semi").select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
