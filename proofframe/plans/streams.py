@@ -27,10 +27,11 @@ def event_summary(t: Tables) -> DataFrame:
     return traces.event_summary(t("events"))
 
 
-@query("""select user_id, case when s = 0 then 'no_start' when p = 0 then 'no_usage' end violation from (select user_id, count(*) filter (event_type = 'signup') s, count(*) filter (event_type = 'purchase') p from events group by 1) where s = 0 or p = 0""")
+@query("""select user_id, "day", case when s = 0 then 'no_start' when p = 0 then 'no_usage' end violation from (select user_id, cast(ts::date as varchar) "day", count(*) filter (event_type = 'signup') s, count(*) filter (event_type = 'purchase') p from events group by 1, 2) where s = 0 or p = 0""")
 def stream_contract(t: Tables) -> DataFrame:
-    n = t("events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "signup").alias("s"), F.count_if(F.col("event_type") == "purchase").alias("p"))
-    return n.select("user_id", F.when(F.col("s") == 0, "no_start").when(F.col("p") == 0, "no_usage").alias("violation")).where("violation is not null")
+    """User-days that begin without a signup, or end without a purchase."""
+    n = t("events").groupBy("user_id", F.to_date("ts").cast("string").alias("day")).agg(F.count_if(F.col("event_type") == "signup").alias("s"), F.count_if(F.col("event_type") == "purchase").alias("p"))
+    return n.select("user_id", "day", F.when(F.col("s") == 0, "no_start").when(F.col("p") == 0, "no_usage").alias("violation")).where("violation is not null")
 
 
 @query("""select user_id, max(value) peak, arg_max(event_type, event_id) last_type, max(value) / nullif(arg_max(value, event_id), 0) ratio from events group by 1""")
