@@ -20,9 +20,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_no_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in no language (null, or without a letter) go."""
-    found = langid.identify(docs, langid.train(docs), *docs.columns)
-    return found.where(F.col("lang_pred") != langid.UND).select(docs.columns)
+    """Documents in no language go: null, without a letter, or far from every profile. The distance decides only where
+    some language has a full profile; else all texts with letters stay."""
+    profiles = langid.train(docs)
+    learned = any(len(p) == langid.PROFILE for p in profiles.values())
+    found = langid.identify(docs, profiles, *docs.columns)
+    return found.where(F.col("distance") <= (langid.FAR if learned else 1.0)).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,11 +1,13 @@
 """The pipeline on a small folder, against plain Python."""
 
+import base64
 import random
 import re
 import zlib
 from fractions import Fraction
 
 import numpy as np
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -54,3 +56,15 @@ def test_pipeline(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "language_id", "near_duplicates", "pii", "packing"]
     first = corpus_pipeline.STAGES[0][1](spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)
     assert first.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_language_stage_judges_by_distance(spark):
+    r = random.Random(4)
+    clean = lambda: " ".join("".join(r.choice("lmnrst") + r.choice("aeiou") + r.choice(["", "", "n", "s"]) for _ in range(r.randint(1, 4))) for _ in range(60))
+    junk = [r.randbytes(300).hex(), base64.b64encode(r.randbytes(300)).decode(), "zq xk jj wq vvx qqz " * 9]
+    texts = [*(clean() for _ in range(40)), *junk, "12 34 !", None]
+    docs = lambda lang: spark.createDataFrame([(i, t, lang if i < 39 else None) for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    left = lambda d: sorted(x["doc_id"] for x in corpus_pipeline.drop_no_language(spark, d, "").collect())
+    assert left(docs("en")) == list(range(40))  # document 39 is clean without a label
+    assert left(docs(None)) == list(range(43))
+    assert left(docs("en").withColumn("text", F.when(F.col("doc_id") < 39, "ab").otherwise(F.col("text")))) == list(range(43))  # too little to learn from
