@@ -2,27 +2,33 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import stored
 
 DEPTH = 64
+#: Rounds after which a walk's rows are written as one, so that plans stay short.
+ROUNDS = 16
 
 
-def reach(seeds: DataFrame, edges: DataFrame, carry: tuple[str, ...] = (), depth: int = DEPTH, stop: DataFrame | None = None) -> DataFrame:
+def reach(seeds: DataFrame, edges: DataFrame, carry: tuple[str, ...] = (), depth: int | None = None, stop: DataFrame | None = None) -> DataFrame:
     """carry, node and depth of all nodes reachable from seeds (carry, node) along edges (src, dst), seeds included.
 
-    stop (node): nodes that are reached but not left. Deeper than depth raises: nothing is cut in silence."""
+    stop (node): nodes that are reached but not left. Where depth is given, deeper raises: nothing is cut in silence."""
     keys = [*carry, "node"]
     frontier = seen = stored(seeds.select(*keys).distinct().withColumn("depth", F.lit(0)), "reach")
-    for d in range(1, depth + 2):
+    for d in count(1) if depth is None else range(1, depth + 2):
         at = frontier if stop is None else frontier.join(stop, "node", "left_anti")
         new = at.join(edges, at["node"] == edges["src"]).select(*carry, F.col("dst").alias("node")).distinct()
         frontier = stored(new.join(seen.select(*keys), keys, "left_anti").withColumn("depth", F.lit(d)), "reach")
         if frontier.isEmpty():
             return seen
         seen = seen.unionByName(frontier)
+        if d % ROUNDS == 0:
+            seen = stored(seen, "reach")
     raise RuntimeError(f"deeper than {depth}")
 
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
-from ..operators.fixpoint import components, levels, reach
+from ..operators.fixpoint import DEPTH, components, levels, reach
 from ..registry import Tables, query
 from ..storage import stored
 from .aggregates import foreign_keys
@@ -24,10 +24,18 @@ def build_graph(t: Tables) -> DataFrame:
     return e.select(F.split("src", ":")[0].alias("kind"), "src", "dst")
 
 
+def day() -> WindowSpec:
+    """A user's events of one day in order: a chain."""
+    return Window.partitionBy("user_id", F.to_date("ts")).orderBy("ts", "event_id")
+
+
+def is_error() -> Column:
+    return F.col("event_type") == "error"
+
+
 def sessions(t: Tables) -> DataFrame:
     """Event to next event of its user on the same day: chains as dependency edges."""
-    w = Window.partitionBy("user_id", F.to_date("ts")).orderBy("ts", "event_id")
-    return t("events").select("event_id", "event_type", F.lead("event_id").over(w).alias("next")).where("next is not null")
+    return t("events").select("event_id", "event_type", F.lead("event_id").over(day()).alias("next")).where("next is not null")
 
 
 CHAIN = """(select event_id src, lead(event_id) over (partition by user_id, ts::date order by ts, event_id) dst, event_type from events)"""
@@ -59,7 +67,7 @@ def lineage_defects(t: Tables) -> DataFrame:
     """Walk from region 3; nodes of even customers are failed: they are reported and end their own branch only."""
     e = foreign_keys(t)
     failed = t("customer").where("c_custkey % 2 = 0").select(F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("node"))
-    walked = reach(t("region").where("r_regionkey = 3").select(F.lit("region:3").alias("node")), e, stop=failed)
+    walked = reach(t("region").where("r_regionkey = 3").select(F.lit("region:3").alias("node")), e, depth=DEPTH, stop=failed)
     hit = failed.withColumn("defect", F.lit("failed"))
     return walked.join(hit, "node", "left").select("node", "depth", F.coalesce("defect", F.lit("ok")).alias("outcome"))
 
@@ -146,9 +154,9 @@ def normalize_failed(t: Tables) -> DataFrame:
 
 @query(f"""with recursive c as (select * from {CHAIN} where dst is not null), r(root, node) as (select src, dst from c where event_type = 'error' union select root, c.dst from r join c on c.src = r.node) select node event_id, list_sort(list(distinct root)) roots from r group by 1""")
 def root_blockers(t: Tables) -> DataFrame:
-    e = stored(sessions(t).select(F.col("event_id").alias("src"), F.col("next").alias("dst"), "event_type"), "edges")
-    seeds = e.where("event_type = 'error'").select(F.col("src").alias("root"), F.col("dst").alias("node"))
-    return reach(seeds, e, ("root",)).groupBy(F.col("node").alias("event_id")).agg(F.array_sort(F.collect_set("root")).alias("roots"))
+    w = day().rowsBetween(Window.unboundedPreceding, -1)
+    e = t("events").select("event_id", F.array_sort(F.collect_list(F.when(is_error(), F.col("event_id"))).over(w)).alias("roots"))
+    return e.where(F.size("roots") > 0)
 
 
 def ring(t: Tables) -> DataFrame:
@@ -170,28 +178,26 @@ def cycle_members(t: Tables) -> DataFrame:
 PLACED = f"""with recursive c as (select src, dst from {CHAIN} where dst is not null), s as (select event_id from events where event_type = 'error'), r(seed, node) as (select event_id, event_id from s union select seed, c.dst from r join c on c.src = r.node)"""
 
 
-def chained(t: Tables) -> DataFrame:
-    return stored(sessions(t).select(F.col("event_id").alias("src"), F.col("next").alias("dst")), "edges")
-
-
-def errors(t: Tables) -> DataFrame:
-    return t("events").where("event_type = 'error'").select(F.col("event_id").alias("node"))
+def blocked(t: Tables) -> DataFrame:
+    """node, event_type and blockers of events with errors at or before them in their chain: chains are lines, so a
+    running count says what a walk would."""
+    n = F.count_if(is_error()).over(day().rowsBetween(Window.unboundedPreceding, 0))
+    return t("events").select(F.col("event_id").alias("node"), "event_type", n.alias("blockers")).where("blockers > 0")
 
 
 @query(f"""{PLACED} select node, count(distinct seed) blockers from r group by 1""")
 def propagate_blockers(t: Tables) -> DataFrame:
-    seeds = errors(t).select(F.col("node").alias("seed"), "node")
-    return reach(seeds, chained(t), ("seed",)).groupBy("node").agg(F.count("*").alias("blockers"))
+    return blocked(t).select("node", "blockers")
 
 
 @query(f"""{PLACED} select distinct node from r""")
 def propagate_required(t: Tables) -> DataFrame:
-    return reach(errors(t), chained(t)).select("node")
+    return blocked(t).select("node")
 
 
 @query(f"""{PLACED} select distinct node from r where node not in (select event_id from s)""")
 def blocked_closure(t: Tables) -> DataFrame:
-    return reach(errors(t), chained(t)).where("depth > 0").select("node").join(errors(t), "node", "left_anti")
+    return blocked(t).where("not event_type <=> 'error'").select("node")
 
 
 @query()
@@ -224,8 +230,7 @@ def holders_of_target(t: Tables) -> DataFrame:
 @query(f"""with recursive c as (select src, dst from {CHAIN} where dst is not null), r(start, node, depth) as (select event_id, event_id, 0 from events where event_type = 'purchase' union select start, c.src, depth + 1 from r join c on c.dst = r.node),
 k as (select start, node, depth, row_number() over (partition by start order by depth, node) q from r join events e on e.event_id = r.node and e.event_type = 'error') select start event_id, node cause, depth from k where q = 1""")
 def primary_cause(t: Tables) -> DataFrame:
-    back = chained(t).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    seeds = t("events").where("event_type = 'purchase'").select(F.col("event_id").alias("start"), F.col("event_id").alias("node"))
-    up = reach(seeds, back, ("start",)).join(errors(t), "node", "left_semi")
-    least = up.groupBy(F.col("start").alias("event_id")).agg(F.min(F.struct("depth", "node")).alias("m"))
-    return least.select("event_id", F.col("m.node").alias("cause"), F.col("m.depth").alias("depth"))
+    e = t("events").select("event_id", "event_type", "user_id", "ts", F.row_number().over(day()).alias("place"))
+    last = F.last(F.when(is_error(), F.struct("event_id", "place")), ignorenulls=True).over(day().rowsBetween(Window.unboundedPreceding, 0))
+    found = e.select("event_id", "event_type", "place", last.alias("m")).where("event_type = 'purchase' and m is not null")
+    return found.select("event_id", F.col("m.event_id").alias("cause"), (F.col("place") - F.col("m.place")).alias("depth"))
