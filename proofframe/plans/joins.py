@@ -198,6 +198,7 @@ def mismatched_fields(t: Tables) -> DataFrame:
 @query("""with b as (select s_suppkey blocker, s_nationkey k, case when s_suppkey % 10 = 0 then 'log' when s_suppkey % 10 < 4 then 'entry' else 'node' end scope from supplier where s_suppkey <= 40)
 select distinct c_custkey, blocker from customer join b on scope = 'log' or (scope = 'entry' and c_nationkey = k) or (scope = 'node' and c_custkey = blocker)""")
 def attach_scoped(t: Tables) -> DataFrame:
+    """The pairs of the 40 blockers that its SQL names; attach_scoped_whole has all blockers, by class."""
     scope = F.when(F.col("s_suppkey") % 10 == 0, "log").when(F.col("s_suppkey") % 10 < 4, "entry").otherwise("node")
     b = t("supplier").where("s_suppkey <= 40").select(F.col("s_suppkey").alias("blocker"), F.col("s_nationkey").alias("c_nationkey"), scope.alias("scope"))
     c = t("customer").select("c_custkey", "c_nationkey")
@@ -208,6 +209,21 @@ def attach_scoped(t: Tables) -> DataFrame:
     return log.unionByName(entry).unionByName(node).distinct()
 
 
+@query()
+def attach_scoped_whole(t: Tables) -> DataFrame:
+    """All blockers that reach a customer, one row each: whom they block (log: everyone, entry: the customers of
+    c_nationkey, node: c_custkey) and how many those are. Pairs would be customers x blockers."""
+    k = F.col("s_suppkey") % 10
+    scope = F.when(k == 0, "log").when(k < 4, "entry").otherwise("node")
+    b = t("supplier").select(F.col("s_suppkey").alias("blocker"), scope.alias("scope"), F.col("s_nationkey").alias("k"))
+    b = b.select("blocker", "scope", F.when(F.col("scope") == "entry", F.col("k")).alias("c_nationkey"), F.when(F.col("scope") == "node", F.col("blocker")).alias("c_custkey"))
+    c = t("customer").select("c_custkey", "c_nationkey")
+    log = b.where("scope = 'log'").join(F.broadcast(c.agg(F.count("*").alias("customers"))))  # one row
+    entry = b.where("scope = 'entry'").join(c.groupBy("c_nationkey").agg(F.count("*").alias("customers")), "c_nationkey")
+    node = b.where("scope = 'node'").join(c.groupBy("c_custkey").agg(F.count("*").alias("customers")), "c_custkey")
+    return log.unionByName(entry).unionByName(node).where("customers > 0")
+
+
 @query(r"""with l as (select page_id, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) link from pages) select link, count(*) n from l where link not in (select url from pages) group by 1""")
 def broken_links(t: Tables) -> DataFrame:
     links = t("pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))).alias("link"))
