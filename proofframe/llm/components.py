@@ -1,22 +1,32 @@
-"""Connected components of an edge table by min-label stars, all in DataFrames."""
+"""Connected components of an edge table, all in DataFrames."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
 
+#: Up to so many edges (16 bytes each) are joined up by one task.
+TASK_EDGES = 1_000_000
+
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node and label (the smallest node reachable) of every node in edges (x, y: long).
 
     Large-star and small-star steps take turns (Kiveris et al. 2014): every node hands its neighbours to the smallest
-    one, so paths halve and the edges never grow beyond their number. Each round is written to the shared folder.
+    one, so paths halve and the edges never grow beyond their number. Each round is written to the shared folder. Edge
+    tables of at most TASK_EDGES rows are labelled by one task instead, which takes the place of many small jobs.
     """
     at = written(edges.select("x", "y").where("x <> y").distinct(), "edges")
     before = None
     for _ in range(rounds):
+        if at.count() <= TASK_EDGES:
+            return at.coalesce(1).mapInArrow(labelled, "node long, label long")
         both = at.unionByName(at.select(F.col("y").alias("x"), F.col("x").alias("y")))
         low = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
         large = both.join(low, "x").where("y > x").select(F.col("y").alias("x"), F.col("m").alias("y"))
@@ -33,3 +43,20 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         raise RuntimeError("components did not settle")
     label = at.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("label"))
     return label.unionByName(at.select(F.col("y").alias("node"), F.col("y").alias("label")).distinct()).groupBy("node").agg(F.min("label").alias("label"))
+
+
+def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node and label of the edges (x, y) in all batches."""
+    batches = list(batches)
+    x, y = (np.concatenate([np.zeros(0, np.int64), *(np.asarray(b.column(c)) for b in batches)]) for c in range(2))
+    nodes, number = np.unique(np.concatenate([x, y]), return_inverse=True)
+    x, y = number[: len(x)], number[len(x) :]
+    root = np.arange(len(nodes))
+    while True:  # hook the larger root below the smaller, then let every node jump to its root
+        low, high = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
+        if (low == high).all():
+            break
+        np.minimum.at(root, high, low)
+        while (root != root[root]).any():
+            root = root[root]
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[root])], names=["node", "label"])

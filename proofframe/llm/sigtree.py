@@ -19,11 +19,9 @@ thousands of near copies costs its size, not its square, and links between compo
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 from fractions import Fraction
-from hashlib import blake2b
-from math import ceil, exp
+from math import log2
 
 import numpy as np
 import pyarrow as pa
@@ -32,109 +30,17 @@ from pyspark.sql import functions as F
 
 from .common import docs_text, slices, written
 from .components import components
+from .shingles import Parts, Sets, Shingler, text_bytes
 
-M = (1 << 64) - 1
-BATCH_CHARS = 2_000_000
-FANOUT = 8
+BATCH_BYTES = 1_000_000
+FANOUT = 4
 LEADERS = 3  # further leaders that buckets are verified against before the trees
-MOST_BITS = 1 << 18
-BLOCK = 4_096  # classes of a bucket that one tree holds; larger buckets are split into pairs of blocks
+BITS, MOST_BITS = 16, 1 << 18  # bits of a bitmap for each shingle, and of one bitmap
+BLOCK_BYTES = 8_000_000  # of bitmaps that a tree holds; larger buckets are split into pairs of blocks
+PAIRS_BYTES = 8_000_000  # of bitmaps that one step of a traversal compares
 BROADCAST_ROWS = 1_000_000  # 16 bytes each
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    z = x + np.uint64(0x9E3779B97F4A7C15)
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return z ^ (z >> np.uint64(31))
-
-
-class Shingler:
-    """Distinct shingle hashes of texts; a bounded cache keeps words' hashes."""
-
-    def __init__(self, width: int, limit: int = 400_000):
-        gc.disable()  # nothing here makes cycles
-        self.width, self.limit, self.cache = width, limit, {}
-        self.factors = [np.uint64(int.from_bytes(blake2b(bytes([i]), digest_size=8).digest(), "little") | 1) for i in range(width)]
-
-    def hashes(self, words: list[bytes]) -> np.ndarray:
-        new = set(words).difference(self.cache)
-        if len(self.cache) + len(new) > self.limit:
-            self.cache = {w: self.cache[w] for w in set(words).difference(new)}
-        for w in new:
-            self.cache[w] = int.from_bytes(blake2b(w, digest_size=8).digest(), "little")
-        return np.fromiter(map(self.cache.__getitem__, words), np.uint64, len(words))
-
-    def sets(self, texts: list[str]) -> list[np.ndarray]:
-        lists = [t.encode().lower().split() for t in texts]  # of bytes: A-Z and ASCII white space only
-        flat = self.hashes([w for x in lists for w in x])
-        out, a = [], 0
-        n = len(flat) - self.width + 1
-        run = mix(sum((flat[i : i + n] * self.factors[i] for i in range(self.width)), np.zeros(max(n, 0), np.uint64))) if n > 0 else flat[:0]
-        for x in lists:
-            if len(x) >= self.width:
-                out.append(np.unique(run[a : a + len(x) - self.width + 1]))
-            elif x:  # the whole sequence is one shingle
-                out.append(mix(mix(sum(flat[a + i : a + i + 1] * self.factors[i] for i in range(len(x)))) + np.uint64(len(x))))
-            else:
-                out.append(flat[:0])
-            a += len(x)
-        return out
-
-
-def set_id(s: np.ndarray) -> int:
-    return int(np.add.reduce(mix(s ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64).view(np.int64))
-
-
-class Parts:
-    """How sets of a size are cut, for a threshold given as a fraction."""
-
-    def __init__(self, threshold: Fraction):
-        self.t, self.first = threshold, [1]
-        self.plans: dict[int, tuple[int, int]] = {}
-
-    def size_class(self, n: int) -> int:
-        while self.first[-1] <= n:
-            self.first.append(int(self.first[-1] / self.t) + 1)
-        return int(np.searchsorted(self.first, n, side="right")) - 1
-
-    def plan(self, c: int) -> tuple[int, int]:
-        """Parts for pairs whose smaller set is in class c, and the empty ones allowed for. (0, 0): only equal sets."""
-        if c not in self.plans:
-            while len(self.first) < c + 3:
-                self.first.append(int(self.first[-1] / self.t) + 1)
-            small = self.first[c + 1] - 1
-            differ = int((small + int(small / self.t)) * (1 - self.t) / (1 + self.t))
-            spare = 0
-            if differ:
-                mean = (differ + 1) * exp(-self.first[c] / (differ + 1))
-                spare = min(ceil(2 * mean), (differ + 1) // 6)
-            self.plans[c] = (differ + 1 + spare, spare) if differ else (0, 0)
-        return self.plans[c]
-
-    def buckets(self, s: np.ndarray) -> np.ndarray:
-        """The bucket hashes of a set."""
-        if not len(s):
-            return s
-        own = self.size_class(len(s))
-        out = []
-        for c in {own, max(0, own - 1)}:
-            parts, spare = self.plan(c)
-            if not parts:
-                continue
-            part = ((s >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            at = part[order]
-            starts = np.nonzero(np.concatenate([[True], at[1:] != at[:-1]]))[0]
-            total = np.add.reduceat(mix(s ^ np.uint64(0xA0761D6478BD642F))[order], starts)
-            number = at[starts]
-            if parts - len(number) > spare:
-                empty = np.setdiff1d(np.arange(parts), number)
-                number, total = np.concatenate([number, empty]), np.concatenate([total, np.zeros(len(empty), np.uint64)])
-            out.append(mix(total ^ mix(np.uint64(c << 32) + number.astype(np.uint64))))
-        return np.concatenate(out) if out else s[:0]
-
-
 def linked(x: np.ndarray, y: np.ndarray, t: Fraction) -> bool:
     small, large = (x, y) if len(x) <= len(y) else (y, x)
     both = int(np.count_nonzero(large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small)) if len(large) else 0
@@ -142,36 +48,50 @@ def linked(x: np.ndarray, y: np.ndarray, t: Fraction) -> bool:
 
 
 class SignatureTree:
-    """Leaves with token bitmaps and sizes; inner nodes with the OR of bitmaps and the range of sizes, FANOUT each.
+    """Leaves are classes: token bitmap, size, label. An inner node holds FANOUT nodes: the OR of their bitmaps, the
+    range of their sizes, the most shingles that share a bit within a leaf (slack), and the range of labels.
 
-    levels[0] are the leaves by size and bitmap, so that nodes hold alike ones."""
+    levels[0] are the leaves by bitmap and size, so that nodes hold alike ones."""
 
-    def __init__(self, sizes: np.ndarray, bits: np.ndarray):
-        self.order = np.lexsort((*bits.T, sizes))
-        low, high, union = sizes[self.order], sizes[self.order], bits[self.order]
-        self.levels = [(low, high, union)]
+    def __init__(self, sizes: np.ndarray, bits: np.ndarray, labels: np.ndarray):
+        self.order = np.lexsort((sizes, *bits.T[::-1]))
+        low, union, lo, label = sizes[self.order], bits[self.order], labels[self.order], labels[self.order]
+        high, slack = low, low - np.bitwise_count(union).sum(1).astype(np.int64)
+        self.levels = [(low, high, union, slack, lo, label)]
         while len(low) > 1:
-            starts = np.arange(0, len(low), FANOUT)
-            low, high, union = np.minimum.reduceat(low, starts), np.maximum.reduceat(high, starts), np.bitwise_or.reduceat(union, starts)
-            self.levels.append((low, high, union))
-
-    def pairs(self, other: SignatureTree, t: Fraction) -> tuple[np.ndarray, np.ndarray]:
-        """Leaf pairs that may link, by traversal of both trees from the roots; pairs of one tree with itself once."""
+            at = np.arange(0, len(low), FANOUT)
+            low, high, union, slack = np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.bitwise_or.reduceat(union, at), np.maximum.reduceat(slack, at)
+            lo, label = np.minimum.reduceat(lo, at), np.maximum.reduceat(label, at)
+            self.levels.append((low, high, union, slack, lo, label))
+
+    def pairs(self, other: SignatureTree, t: Fraction, tested: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Leaf pairs of different labels that may link, by a traversal of both trees from the roots; pairs of one tree
+        with itself once. The traversal goes depth first and compares PAIRS_BYTES of bitmaps at a time, so its memory
+        is bounded, whatever is left of the pairs. tested: gets the numbers of node pairs compared, from the leaves up."""
+        most = max(1, PAIRS_BYTES // (8 * self.levels[0][2].shape[1]))
         depth = max(len(self.levels), len(other.levels)) - 1
-        i = j = np.zeros(1, np.int64)
-        while True:
-            a, b = self.levels[min(depth, len(self.levels) - 1)], other.levels[min(depth, len(other.levels) - 1)]
-            keep = possible(a[0][i], a[1][i], a[2][i], b[0][j], b[1][j], b[2][j], t, depth == 0)
+        todo = [(depth, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+        if tested is not None:
+            tested += [0] * (depth + 1)
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        while todo:
+            depth, i, j = todo.pop()
+            if len(i) > most:
+                todo.append((depth, i[most:], j[most:]))
+                i, j = i[:most], j[:most]
+            if tested is not None:
+                tested[depth] += len(i)
+            keep = possible([x[i] for x in self.levels[min(depth, len(self.levels) - 1)]], [x[j] for x in other.levels[min(depth, len(other.levels) - 1)]], t, depth == 0)
             i, j = i[keep], j[keep]
             if depth == 0:
-                break
-            i, j = descend(i, j, depth, self.levels, other.levels)
-            if self is other:
-                up = i <= j
-                i, j = i[up], j[up]
-            depth -= 1
-        if self is other:
-            i, j = i[i != j], j[i != j]
+                own = i != j if self is other else slice(None)
+                out.append((i[own], j[own]))
+            elif len(i):
+                i, j = descend(i, j, depth, self.levels, other.levels)
+                if self is other:
+                    i, j = i[i <= j], j[i <= j]
+                todo.append((depth - 1, i, j))
+        i, j = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*out, strict=True) if out else ((), ())))
         return self.order[i], other.order[j]
 
 
@@ -185,33 +105,38 @@ def descend(i: np.ndarray, j: np.ndarray, depth: int, mine: list, others: list)
     return x[there], y[there]
 
 
-def possible(low_a, high_a, bits_a, low_b, high_b, bits_b, t: Fraction, leaves: bool) -> np.ndarray:
-    """Whether some pair below two nodes may reach the threshold.
+def possible(a: list[np.ndarray], b: list[np.ndarray], t: Fraction, leaves: bool) -> np.ndarray:
+    """Whether some pair below two nodes may reach the threshold and has different labels.
 
-    Sizes x <= high_a and y <= high_b overlap in at most min(x, y). Between leaves every bit that only one side has is
-    a shingle outside the overlap, and from an inner node's OR only bits that the other side surely lacks count."""
+    Shingles in both sets set bits in both bitmaps, and no more of them share bits than a leaf's slack: the overlap is
+    at most the bits in both ORs and the smaller slack together, and at most the smaller size. Between leaves every bit
+    that one side alone has is a shingle outside the overlap."""
+    (low_a, high_a, bits_a, slack_a, lo_a, hi_a), (low_b, high_b, bits_b, slack_b, lo_b, hi_b) = a, b
     num, den = t.numerator, t.denominator
-    ok = (den * np.minimum(high_a, high_b) >= num * np.maximum(low_a, low_b))
+    both = np.bitwise_count(bits_a & bits_b).sum(1).astype(np.int64)
+    most = np.minimum(both + np.minimum(slack_a, slack_b), np.minimum(high_a, high_b))
     if leaves:
-        only_a = np.bitwise_count(bits_a & ~bits_b).sum(1).astype(np.int64)
-        only_b = np.bitwise_count(bits_b & ~bits_a).sum(1).astype(np.int64)
-        most = np.minimum(high_a - only_a, high_b - only_b)
-        ok &= (num + den) * most >= num * (high_a + high_b)
-    else:  # the overlap's bits lie in both ORs
-        most = np.bitwise_count(bits_a & bits_b).sum(1).astype(np.int64)
-        ok &= most > 0
-    return ok
+        only_a, only_b = high_a - slack_a - both, high_b - slack_b - both
+        most = np.minimum(most, np.minimum(high_a - only_a, high_b - only_b))
+    ok = (num + den) * most >= num * (low_a + low_b)
+    ok &= den * np.minimum(high_a, high_b) >= num * np.maximum(low_a, low_b)
+    return ok & ~((lo_a == hi_a) & (lo_b == hi_b) & (lo_a == lo_b))
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
-    """A bit for each hash modulo the width, a power of two of at least 64 and eight times the set's size (up to
-    MOST_BITS): few shingles share a bit, so that bitmaps tell nearly how far sets are apart."""
-    width = 1 << max(6, (min(8 * len(s), MOST_BITS) - 1).bit_length())
+    """A bit for each hash modulo the width, the power of two near BITS times the set's size, from 64 to MOST_BITS: few
+    shingles share a bit, so that bitmaps tell nearly how far sets are apart."""
+    width = 1 << max(6, round(log2(min(BITS * len(s), MOST_BITS))))
     out = np.zeros(width, bool)
     out[(s & np.uint64(width - 1)).astype(np.int64)] = True
     return np.packbits(out, bitorder="little").view(np.uint64)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and key: the doc_id, or a hash of the text where that is null."""
+    return docs_text(docs).withColumn("key", F.coalesce("doc_id", F.xxhash64("text")))
+
+
 def merged(label: DataFrame, links: DataFrame) -> DataFrame:
     """label (node, label) after further links (x, y): components of the labels that the links join."""
     name = lambda c: label.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
@@ -222,6 +147,26 @@ def merged(label: DataFrame, links: DataFrame) -> DataFrame:
     return written(old.unionByName(joined.join(label, "node", "left_anti")), "labels")
 
 
+def traverse(parts: list[tuple[list[np.ndarray], list[np.ndarray]]], t: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of classes of one pair of blocks that the trees let through. parts: the rows' columns and bitmaps."""
+    _, i, j, block, a, label, size = (np.concatenate(c) for c in zip(*(p[0] for p in parts), strict=True))
+    maps = [m for p in parts for m in p[1]]
+    words = min(map(len, maps))
+    bits = np.stack([np.bitwise_or.reduce(m.reshape(-1, words), axis=0) if len(m) > words else m for m in maps])  # wider ones are folded
+    left, right = np.flatnonzero(block == i[0]), np.flatnonzero(block == j[0])
+    if not len(left) or not len(right):
+        return a[:0], a[:0]
+    tree = SignatureTree(size[left], bits[left], label[left])
+    x, y = tree.pairs(tree if i[0] == j[0] else SignatureTree(size[right], bits[right], label[right]), t)
+    x, y = a[left[x]], a[right[y]]
+    return np.minimum(x, y), np.maximum(x, y)
+
+
+def pairs_batch(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    x, y = (np.concatenate([np.zeros(0, np.int64), *c]) for c in (zip(*found, strict=True) if found else ((), ())))
+    return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["x", "y"])
+
+
 class JaccardJoin:
     """The join's steps for shingles of `width` words and a threshold."""
 
@@ -229,25 +174,25 @@ class JaccardJoin:
         self.width, self.t = width, threshold
 
     def map_sets(self, rows: DataFrame, make, schema: str) -> DataFrame:
-        """make(keys, sets) of batches of texts; rows are doc_id and text (and what make wants beside)."""
+        """make(rows, their sets) of batches; the second column of rows is text."""
         width = self.width
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shingler = Shingler(width)
             for batch in batches:
-                texts = batch.column(1).to_pylist()
-                for a, b in slices(map(len, texts), BATCH_CHARS):
-                    yield make(batch.slice(a, b - a), shingler.sets(texts[a:b]))
+                data, bounds = text_bytes(batch.column(1))
+                for a, b in slices(np.diff(bounds).tolist(), BATCH_BYTES):
+                    yield make(batch.slice(a, b - a), shingler.sets(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a]))
 
         return rows.mapInArrow(run, schema)
 
     def classes(self, docs: DataFrame) -> DataFrame:
-        """doc_id, n_shingles and a (the set's hash) of every document."""
+        """doc_id, n_shingles, a (the set's hash) and key (of the text, where doc_id is null) of every document."""
 
-        def make(batch: pa.RecordBatch, sets: list[np.ndarray]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64())], names=["doc_id", "n_shingles", "a"])
+        def make(batch: pa.RecordBatch, sets: Sets) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets.sizes), pa.array(sets.ids()), batch.column(2)], names=["doc_id", "n_shingles", "a", "key"])
 
-        return self.map_sets(docs_text(docs), make, "doc_id long, n_shingles long, a long")
+        return self.map_sets(keyed(docs), make, "doc_id long, n_shingles long, a long, key long")
 
     def members(self, docs: DataFrame) -> DataFrame:
         """bucket, leader, a: the classes of buckets that hold several, each beside a leader of its bucket.
@@ -256,22 +201,14 @@ class JaccardJoin:
         streamed, whatever its size."""
         t = self.t
 
-        def make(batch: pa.RecordBatch, sets: list[np.ndarray]) -> pa.RecordBatch:
-            cut, seen = Parts(t), set()
-            ids, buckets = [], []
-            for s in sets:
-                a = set_id(s)
-                if a not in seen:
-                    seen.add(a)
-                    found = cut.buckets(s)
-                    buckets.append(found)
-                    ids.append(np.full(len(found), a, np.int64))
-            key = np.concatenate(buckets or [np.zeros(0, np.uint64)]).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.concatenate(ids or [np.zeros(0, np.int64)]))], names=["bucket", "a"])
+        def make(batch: pa.RecordBatch, sets: Sets) -> pa.RecordBatch:
+            ids, first = np.unique(sets.ids(), return_index=True)
+            key, owner = Parts(t).buckets(sets.of(first))
+            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[owner])], names=["bucket", "a"])
 
         def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """Rows by (bucket, a): a bucket's first class leads the others; lone classes go."""
-            key = lead = None
+            """Rows by (bucket, a): a bucket's first class leads the others; lone classes and repeats go."""
+            key = lead = last = None
             for batch in batches:
                 k, a = (np.asarray(c) for c in batch.columns)
                 if not len(k):
@@ -279,8 +216,10 @@ class JaccardJoin:
                 head = a[np.searchsorted(k, k)]  # k ascends
                 if k[0] == key:
                     head = np.where(k == key, lead, head)
-                key, lead = int(k[-1]), int(head[-1])
                 keep = head != a
+                keep[1:] &= (k[1:] != k[:-1]) | (a[1:] != a[:-1])
+                keep[0] &= k[0] != key or a[0] != last
+                key, lead, last = int(k[-1]), int(head[-1]), int(a[-1])
                 yield pa.RecordBatch.from_arrays([pa.array(k[keep]), pa.array(head[keep]), pa.array(a[keep])], names=["bucket", "leader", "a"])
 
         rows = self.map_sets(docs_text(docs), make, "bucket long, a long")
@@ -288,16 +227,17 @@ class JaccardJoin:
         return rows.repartition(n, "bucket").sortWithinPartitions("bucket", "a").mapInArrow(star, "bucket long, leader long, a long")
 
     def sets_of(self, docs: DataFrame, reps: DataFrame) -> DataFrame:
-        """a, shingles (sorted hashes as bytes), their number n and bitmap of the classes in reps (doc_id, a). Equal rows of
+        """a, shingles (sorted hashes as bytes), their number n and bitmap of the classes in reps (key, a). Equal rows of
         docs give equal rows, which do no harm in the joins that follow."""
 
-        def make(batch: pa.RecordBatch, sets: list[np.ndarray]) -> pa.RecordBatch:
-            want = batch.column(2).to_pylist()
-            keep = [k for k, s in enumerate(sets) if set_id(s) == want[k]]
-            return pa.RecordBatch.from_arrays([pa.array([want[k] for k in keep], pa.int64()), pa.array([len(sets[k]) for k in keep], pa.int64()), pa.array([bitmap(sets[k]).tobytes() for k in keep], pa.binary()), pa.array([sets[k].tobytes() for k in keep], pa.binary())], names=["a", "n", "bits", "shingles"])
+        def make(batch: pa.RecordBatch, sets: Sets) -> pa.RecordBatch:
+            ids, want = sets.ids(), np.asarray(batch.column(3))
+            keep = np.flatnonzero(ids == want)
+            own = [sets[i] for i in keep]
+            return pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(sets.sizes[keep]), pa.array([bitmap(s).tobytes() for s in own], pa.binary()), pa.array([s.tobytes() for s in own], pa.binary())], names=["a", "n", "bits", "shingles"])
 
         small = reps.count() <= BROADCAST_ROWS
-        rows = docs_text(docs).join(F.broadcast(reps) if small else reps, "doc_id").select("doc_id", "text", "a")
+        rows = keyed(docs).join(F.broadcast(reps) if small else reps, "key").select("doc_id", "text", "key", "a")
         return self.map_sets(rows, make, "a long, n long, bits binary, shingles binary")
 
     def verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -317,37 +257,35 @@ class JaccardJoin:
     def tree_pairs(self, open_buckets: DataFrame, sets: DataFrame) -> DataFrame:
         """Pairs of different labels (bucket, a, label) that the signature trees of their buckets let through."""
         t = self.t
-        counts = open_buckets.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-        rows = open_buckets.join(counts, "bucket").withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
+        rows = open_buckets.join(sets.select("a", "n", F.octet_length("bits").alias("bytes")).distinct(), "a")
+        counts = rows.groupBy("bucket").agg(F.ceil(F.sum("bytes") / BLOCK_BYTES).cast("int").alias("blocks"))
+        rows = rows.join(counts, "bucket").withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
         # a block meets every block of its bucket once: as (small, large)
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         rows = rows.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "a", "label")
         rows = rows.join(sets.select("a", "n", "bits").distinct(), "a")
 
-        def traverse(table: pa.Table) -> pa.Table:
-            a, label, block = (np.asarray(table.column(c)) for c in ("a", "label", "block"))
-            size = np.asarray(table.column("n"))
-            maps = [np.frombuffer(x, np.uint64) for x in table.column("bits").to_pylist()]
-            words = min(map(len, maps))
-            bits = np.stack([np.bitwise_or.reduce(m.reshape(-1, words), axis=0) for m in maps])  # wider ones are folded
-            i, j = int(table.column("i")[0].as_py()), int(table.column("j")[0].as_py())
-            left = np.nonzero(block == i)[0]
-            tree = SignatureTree(size[left], bits[left])
-            if i == j:
-                x, y = tree.pairs(tree, t)
-                x, y = left[x], left[y]
-            else:
-                right = np.nonzero(block == j)[0]
-                if not len(left) or not len(right):
-                    x = y = left[:0]
-                else:
-                    x, y = tree.pairs(SignatureTree(size[right], bits[right]), t)
-                    x, y = left[x], right[y]
-            keep = label[x] != label[y]
-            x, y = a[x[keep]], a[y[keep]]
-            return pa.table({"x": np.minimum(x, y), "y": np.maximum(x, y)})
-
-        return rows.groupBy("bucket", "i", "j").applyInArrow(traverse, "x long, y long").distinct()
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Rows by (bucket, i, j): what one of these has is held, no more."""
+            names, held = ["bucket", "i", "j", "block", "a", "label", "n"], []
+            for batch in batches:
+                cols = [np.asarray(batch.column(c)) for c in names]
+                maps = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("bits")]
+                ends = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols[:3]], axis=0)) + 1 if len(maps) else []
+                found = []
+                for p, q in zip([0, *ends], [*ends, len(maps)], strict=True):
+                    if p == q:
+                        continue
+                    if held and any(c[p] != h[0] for c, h in zip(cols[:3], held[-1][0], strict=False)):
+                        found.append(traverse(held, t))
+                        held = []
+                    held.append(([c[p:q].copy() for c in cols], [m.copy() for m in maps[p:q]] if q == len(maps) else maps[p:q]))
+                yield pairs_batch(found)
+            yield pairs_batch([traverse(held, t)] if held else [])
+
+        n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        rows = rows.repartition(n, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+        return rows.mapInArrow(run, "x long, y long").distinct()
 
     def run(self, docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(doc_id, n_shingles, a) of all documents, (node, label) of linked classes, and links (x, y) between classes
@@ -356,11 +294,11 @@ class JaccardJoin:
         members = written(self.members(docs), "members")
         pairs = members.select(F.least("leader", "a").alias("x"), F.greatest("leader", "a").alias("y")).distinct()
         wanted = members.select("a").union(members.select("leader")).distinct()
-        reps = ids.where("n_shingles > 0").join(wanted, "a", "left_semi").groupBy("a").agg(F.min("doc_id").alias("doc_id"))
+        reps = ids.where("n_shingles > 0").join(wanted, "a", "left_semi").groupBy("a").agg(F.min("key").alias("key"))
         sets = written(self.sets_of(docs, written(reps, "reps")), "sets")
         links = written(self.verified(pairs, sets), "links")
         label = written(components(links), "labels")
-        named = members.select("bucket", "a").union(members.select("bucket", F.col("leader").alias("a"))).distinct()
+        named = written(self.shared(members), "buckets")
         for turn in range(LEADERS):
             open_ = self.open_buckets(named, label, turn)
             star = open_.where("label <> leader.label").select(F.least("a", "leader.a").alias("x"), F.greatest("a", "leader.a").alias("y")).distinct()
@@ -374,17 +312,20 @@ class JaccardJoin:
             links, label = links.unionByName(more), merged(label, more)
         return ids, label, links
 
+    def shared(self, members: DataFrame) -> DataFrame:
+        """bucket, a of buckets of three classes or more, one bucket for each set of classes. A bucket of two has been
+        verified whole by its leader."""
+        facts = members.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.xxhash64("a").cast("decimal(38,0)")).alias("alike"), F.first("leader").alias("leader"))
+        facts = facts.where("n > 1").groupBy("alike", "n", "leader").agg(F.min("bucket").alias("bucket")).select("bucket", "leader")
+        rest = members.select("bucket", "a").join(facts.select("bucket"), "bucket", "left_semi")
+        return facts.select("bucket", F.col("leader").alias("a")).unionByName(rest)
+
     def open_buckets(self, named: DataFrame, label: DataFrame, turn: int) -> DataFrame:
-        """bucket, a, label and leader (a, label) of buckets that hold several components, one bucket for each set of
-        classes; the leader is another class each turn. A bucket of two has been verified whole."""
+        """bucket, a, label and leader (a, label) of buckets that hold several components; the leader is another class
+        each turn."""
         rows = named.join(label.withColumnRenamed("node", "a"), "a", "left").select("bucket", "a", F.coalesce("label", "a").alias("label"))
-        facts = rows.groupBy("bucket").agg(
-            F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"),
-            F.sum(F.xxhash64("a").cast("decimal(38,0)")).alias("alike"),
-            F.min_by(F.struct("a", "label"), F.xxhash64("a", F.lit(turn))).alias("leader"),
-        )
-        facts = facts.where("lo <> hi and n > 2").groupBy("alike", "n").agg(F.min("bucket").alias("bucket"), F.first("leader").alias("leader"))
-        return rows.join(facts.select("bucket", "leader"), "bucket")
+        facts = rows.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by(F.struct("a", "label"), F.xxhash64("a", F.lit(turn))).alias("leader"))
+        return rows.join(facts.where("lo <> hi").select("bucket", "leader"), "bucket")
 
     def groups(self, docs: DataFrame) -> DataFrame:
         """doc_id, n_shingles and component_id (the smallest doc_id reachable by links, itself included).

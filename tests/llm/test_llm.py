@@ -216,7 +216,7 @@ def test_tree_finds_what_all_pairs_find():
     base = [rng.integers(0, 2**63, 100).astype(np.uint64) for _ in range(5)]
     sets = [np.unique(np.concatenate([b[k:], rng.integers(0, 2**63, k).astype(np.uint64)])) for b in base for k in range(12)]
     size, bits = np.array([len(s) for s in sets]), np.stack([sigtree.bitmap(s) for s in sets])
-    tree = sigtree.SignatureTree(size, bits)
+    tree = sigtree.SignatureTree(size, bits, np.arange(len(sets)))
     found = {tuple(sorted(p)) for p in zip(*tree.pairs(tree, t), strict=True)}
     true = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if sigtree.linked(sets[i], sets[j], t)}
     assert true <= found and len(found) < len(sets) * (len(sets) - 1) // 4
