@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,7 +25,7 @@ from .token_ids import token_ids
 WINDOW = 4096
 GRAIN = 16
 SALTS_ROWS = 50_000  # pieces for each part of a bin that is ranked by one task, about
-BATCH_CHARS = 2_000_000
+BATCH_BYTES = 2_000_000
 
 
 def combinations(bins: int) -> list[tuple[int, ...]]:
@@ -124,13 +125,13 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, window: int = WIND
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = token_ids(tokenizer_path)
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in slices(map(len, texts), BATCH_CHARS):
+            keys, texts = batch.column(0).to_pylist(), batch.column(1)
+            for a, b in slices(pc.binary_length(texts).to_pylist(), BATCH_BYTES):
+                found = enc.encode(texts.slice(a, b - a))
                 rows: list[tuple] = []
-                for key, blob in zip(keys[a:b], enc.encode(texts[a:b]), strict=True):
-                    ids = np.append(np.frombuffer(blob, enc.dtype), end_id).astype("<u4")
-                    n = len(ids)
-                    rows += [(key, s, min(window, n - s), zlib.crc32(ids[s : s + window].tobytes()), n) for s in range(0, n, window)]
+                for key, x, n in zip(keys[a:b], found.start.tolist(), found.size.tolist(), strict=True):
+                    ids = np.append(found.ids[x : x + n], found.ids.dtype.type(end_id)).astype("<u4")
+                    rows += [(key, s, min(window, n + 1 - s), zlib.crc32(ids[s : s + window].tobytes()), n + 1) for s in range(0, n + 1, window)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     return docs_text(docs).mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
@@ -144,23 +145,24 @@ def pack(found: DataFrame, window: int = WINDOW, grain: int = GRAIN) -> DataFram
     bins; the seats, at most some thousand rows, are broadcast. A bin is ranked in salted parts, so pieces of one
     length that are a third of all do not meet in one task.
     """
-    spark = found.sparkSession
     bins = window // grain
-    binned = found.withColumn("bin", F.ceil(F.col("length") / grain).cast("int"))
+    piece = F.struct(*(F.col(c) for c in found.columns)).alias("piece")  # whatever its columns are called
+    binned = found.select(piece, F.ceil(F.col("length") / grain).cast("int").alias("bin"))
     histogram = {r["bin"]: r["n"] for r in binned.groupBy("bin").agg(F.count("*").alias("n")).collect()}  # <= window/grain rows
     salts = max(16, sum(histogram.values()) // SALTS_ROWS)
-    binned = binned.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(salts)))
+    binned = binned.withColumn("salt", F.pmod(F.xxhash64("piece.doc_id", "piece.start"), F.lit(salts)))
     counts = binned.groupBy("bin", "salt").agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("bin").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("bin", "salt", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    own = F.row_number().over(Window.partitionBy("bin", "salt").orderBy("doc_id", "start")) - 1
-    ranked = binned.withColumn("own", own).join(counts, ["bin", "salt"]).withColumn("rank", F.col("own") + F.col("before"))
-    rows = seats(plan(histogram, bins)) or [(0, 0, 0, 0, 0)]
-    places = F.broadcast(spark.createDataFrame(rows, "bin int, first long, end long, sequence long, slot int"))
+    own = F.row_number().over(Window.partitionBy("bin", "salt").orderBy("piece.doc_id", "piece.start")) - 1
+    ranked = binned.withColumn("own", own).join(counts, ["bin", "salt"]).select("piece", "bin", (F.col("own") + F.col("before")).alias("rank"))
+    places = seats(plan(histogram, bins)) or [(0, 0, 0, 0, 0)]
+    places = F.broadcast(found.sparkSession.createDataFrame(places, "bin int, first long, end long, sequence long, slot int"))
     seated = ranked.join(places, "bin").where((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("end")))
-    seated = seated.withColumn("sequence_id", F.col("sequence") + F.col("rank") - F.col("first"))
+    seated = seated.select("piece", "slot", (F.col("sequence") + F.col("rank") - F.col("first")).alias("sequence_id"))
     before = Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)  # <= window rows
-    return seated.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0))).select(*found.columns, "sequence_id", "offset")
+    offset = F.coalesce(F.sum("piece.length").over(before), F.lit(0))
+    return seated.select("piece", "sequence_id", offset.alias("offset")).select("piece.*", "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, window: int = WINDOW, grain: int = GRAIN) -> DataFrame:

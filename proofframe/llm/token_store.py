@@ -3,9 +3,9 @@
 A store is a Parquet folder, so any file system that Spark reaches can hold it; one row is one shard of SHARD_BYTES
 of ids or so, and its column `blob` is the shard file:
 
-    8 bytes   magic PFIDS001
-    6 x int64 keys n, distinct keys m, id width in bytes, hash seed, buckets b, payload bytes
-    n x int64 document keys in payload order (ascending; null is the smallest int64)
+    8 bytes   magic PFIDS002
+    7 x int64 keys n, distinct keys m, id width in bytes, hash seed, buckets b, payload bytes, null keys
+    n x int64 document keys in payload order (ascending; null keys stand first, as the smallest int64)
     n+1 int64 byte offsets into the payload
     b x int64 displacements of the minimal perfect hash; negative: -1 - slot
     m x int64 slots: the first record of the key
@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -33,11 +34,11 @@ from pyspark.sql.window import Window
 from .common import docs_text, slices
 from .token_ids import token_ids
 
-MAGIC = b"PFIDS001"
+MAGIC = b"PFIDS002"
 SHARD_BYTES = 4_000_000
 TRIES = 1 << 15
 NULL_KEY = -(1 << 63)
-BATCH_CHARS = 2_000_000
+BATCH_BYTES = 2_000_000
 
 
 def mix(x: np.ndarray, seed: int | np.ndarray) -> np.ndarray:
@@ -92,8 +93,8 @@ def build_hash(keys: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
     raise ValueError("no seed separates these keys")
 
 
-def build_shard(keys: list[int], blobs: list[bytes], width: int) -> bytes:
-    """The shard file of records whose keys ascend; equal keys stand side by side."""
+def build_shard(keys: list[int], blobs: list[bytes], width: int, nulls: int = 0) -> bytes:
+    """The shard file of records whose keys ascend; equal keys stand side by side. The first `nulls` keys are null."""
     key = np.array(keys, np.int64)
     first = np.nonzero(np.concatenate([[True], key[1:] != key[:-1]]))[0]
     distinct = key[first]
@@ -103,7 +104,7 @@ def build_shard(keys: list[int], blobs: list[bytes], width: int) -> bytes:
     head[slots] = first
     prints[slots] = (mix(distinct, seed + 104729) & np.uint64(0x7FFFFFFF)).astype(np.int32)
     offsets = np.cumsum([0, *map(len, blobs)]).astype(np.int64)
-    return b"".join([MAGIC, struct.pack("<6q", len(key), len(distinct), width, seed, len(disp), int(offsets[-1])), key.tobytes(), offsets.tobytes(), disp.tobytes(), head.tobytes(), prints.tobytes(), *blobs])
+    return b"".join([MAGIC, struct.pack("<7q", len(key), len(distinct), width, seed, len(disp), int(offsets[-1]), nulls), key.tobytes(), offsets.tobytes(), disp.tobytes(), head.tobytes(), prints.tobytes(), *blobs])
 
 
 class Shard:
@@ -112,8 +113,8 @@ class Shard:
     def __init__(self, blob: bytes):
         if blob[:8] != MAGIC:
             raise ValueError("not a token-id shard")
-        n, self.m, self.width, self.seed, self.b, size = struct.unpack_from("<6q", blob, 8)
-        at = 56
+        n, self.m, self.width, self.seed, self.b, size, self.nulls = struct.unpack_from("<7q", blob, 8)
+        at = 64
         take = []
         for count, kind in ((n, np.int64), (n + 1, np.int64), (self.b, np.int64), (self.m, np.int64), (self.m, np.int32)):
             take.append(np.frombuffer(blob, kind, count, at))
@@ -132,6 +133,15 @@ class Shard:
         hit = self.prints[slot] == (mix(keys, self.seed + 104729) & np.uint64(0x7FFFFFFF)).astype(np.int32)
         return np.where(hit & (self.keys[record] == keys), record, -1)
 
+    def records(self, key: int | None) -> range:
+        """The records of a key; null is a key of its own."""
+        if key is None:
+            return range(self.nulls)
+        first = int(self.find(np.array([key], np.int64))[0])
+        if first < 0:
+            return range(0)
+        return range(max(first, self.nulls if key == NULL_KEY else 0), int(np.searchsorted(self.keys, key, side="right")))
+
     def ids(self, record: int) -> np.ndarray:
         return np.frombuffer(self.payload[self.offsets[record] : self.offsets[record + 1]], f"<u{self.width}")
 
@@ -152,23 +162,24 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int) ->
         width = enc.dtype.itemsize
         keys: list[int] = []
         blobs: list[bytes] = []
-        size = seq = 0
+        size = seq = nulls = 0
 
         def shard() -> pa.RecordBatch:
             cols = [part, seq, keys[0], keys[-1], len(keys), size // width]
-            return pa.RecordBatch.from_arrays([*(pa.array([c], pa.int64()) for c in cols), pa.array([build_shard(keys, blobs, width)], pa.binary())], names=["part", "seq", "first_key", "last_key", "n_docs", "n_ids", "blob"])
+            return pa.RecordBatch.from_arrays([*(pa.array([c], pa.int64()) for c in cols), pa.array([build_shard(keys, blobs, width, nulls)], pa.binary())], names=["part", "seq", "first_key", "last_key", "n_docs", "n_ids", "blob"])
 
         for batch in batches:
-            ids = [NULL_KEY if k is None else k for k in batch.column(0).to_pylist()]
-            texts = batch.column(1).to_pylist()
-            for a, b in slices(map(len, texts), BATCH_CHARS):
-                for key, blob in zip(ids[a:b], enc.encode(texts[a:b]), strict=True):
-                    keys.append(key)
-                    blobs.append(blob + end)
-                    size += len(blob) + width
+            ids, texts = batch.column(0).to_pylist(), batch.column(1)
+            for a, b in slices(pc.binary_length(texts).to_pylist(), BATCH_BYTES):
+                found = enc.encode(texts.slice(a, b - a))
+                for key, x, n in zip(ids[a:b], found.start.tolist(), found.size.tolist(), strict=True):
+                    keys.append(NULL_KEY if key is None else key)
+                    nulls += key is None
+                    blobs.append(found.ids[x : x + n].tobytes() + end)
+                    size += (n + 1) * width
                     if size >= SHARD_BYTES:
                         yield shard()
-                        keys, blobs, size, seq = [], [], 0, seq + 1
+                        keys, blobs, size, seq, nulls = [], [], 0, seq + 1, 0
         if keys:
             yield shard()
 
@@ -201,7 +212,7 @@ def read_store(store: DataFrame) -> DataFrame:
                 rank = np.arange(len(s.keys)) - np.searchsorted(s.keys, s.keys)  # among records of one key
                 crc = [zlib.crc32(s.ids(r).astype("<u4").tobytes()) for r in (first + rank).tolist()]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(n), part)), pa.array(np.full(len(n), seq)), pa.array(s.keys, mask=s.keys == NULL_KEY), pa.array(start), pa.array(n), pa.array(crc, pa.int64())],
+                    [pa.array(np.full(len(n), part)), pa.array(np.full(len(n), seq)), pa.array(s.keys, mask=np.arange(len(n)) < s.nulls), pa.array(start), pa.array(n), pa.array(crc, pa.int64())],
                     names=["part", "seq", "doc_id", "own", "n_tokens", "ids_crc32"],
                 )
 
@@ -213,19 +224,17 @@ def lookup(store: DataFrame, keys: DataFrame) -> DataFrame:
     """doc_id and ids of the records with the asked doc_ids: keys go to the shards whose key range holds them, then
     through the shard's hash. Every record of a repeated key is returned; strangers give no row."""
     ranges = store.select("part", "seq", "first_key", "last_key")
-    asked = keys.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY)).alias("key")).distinct()
-    routed = asked.join(ranges, F.col("key").between(F.col("first_key"), F.col("last_key"))).groupBy("part", "seq").agg(F.array_sort(F.collect_set("key")).alias("keys"))
+    parts = ranges.groupBy("part").agg(F.min("first_key").alias("low"), F.max("last_key").alias("high"))  # a row for each task that wrote
+    held = lambda low, high: F.coalesce("doc_id", F.lit(NULL_KEY)).between(F.col(low), F.col(high))
+    asked = keys.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    routed = asked.join(F.broadcast(parts), held("low", "high")).join(ranges, "part").where(held("first_key", "last_key"))
+    routed = routed.groupBy("part", "seq").agg(F.collect_list(F.struct("doc_id")).alias("keys"))  # no more than a shard's documents, and strangers between them
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for blob, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 s = Shard(blob)
-                out_k, out_v = [], []
-                for key, r in zip(wanted, s.find(np.array(wanted, np.int64)).tolist(), strict=True):
-                    while 0 <= r < len(s.keys) and s.keys[r] == key:
-                        out_k.append(None if key == NULL_KEY else key)
-                        out_v.append(s.ids(r).astype(np.int64).tolist())
-                        r += 1
-                yield pa.RecordBatch.from_arrays([pa.array(out_k, pa.int64()), pa.array(out_v, pa.list_(pa.int64()))], names=["doc_id", "ids"])
+                out = [(k["doc_id"], s.ids(r).astype(np.int64).tolist()) for k in wanted for r in s.records(k["doc_id"])]
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([v for _, v in out], pa.list_(pa.int64()))], names=["doc_id", "ids"])
 
     return store.join(routed, ["part", "seq"]).select("blob", "keys").mapInArrow(run, "doc_id long, ids array<long>")
