@@ -13,11 +13,11 @@ into one number for each subsequence of three letters, and scoring a word is a s
 
 from __future__ import annotations
 
-import gc
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +37,7 @@ LANDMARKS = 150  # of either side
 ROUNDS = 8
 RIDGE = 1e-2
 PREFIXES = (4, 5, 6)
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 1_000_000
 NOTHING = -3.0  # the decision for a text without words
 SPACED = re.compile(r"(?<!\S)\w(?:[ ]\w){2,}(?!\S)")
 
@@ -53,25 +53,31 @@ def bare(word: str) -> str:
     return word if word.isalnum() else "".join(c for c in word if c.isalnum())
 
 
-def prepared(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Six-bit letters of words of about one length, between borders; 0 fills. And the lengths."""
-    size = np.array([len(w) + 2 for w in words], np.int64)
-    out = np.zeros((len(words), max(3, int(size.max(initial=3))) + GAP + 2), np.int32)
-    flat = np.frombuffer("".join(words).encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
-    code = np.where((flat >= 97) & (flat < 123), flat - 96, 27 + flat % 34)
-    at = np.arange(out.shape[1])
-    out[(at > 0) & (at < size[:, None] - 1)] = code
-    out[:, 0] = 62
-    out[np.arange(len(words)), size - 1] = 63
-    return out, size
+class Letters:
+    """Numbers of letters: 1 to n for those of an alphabet, n + 1 for all others, n + 2 and n + 3 for the borders."""
 
+    def __init__(self, alphabet: str):
+        self.n = len(alphabet)
+        self.bits = max(2, (self.n + 3).bit_length())
+        self.code = np.full(0x110000, self.n + 1, np.int16)
+        self.code[[ord(c) for c in alphabet]] = np.arange(1, self.n + 1)
 
-def subsequences(letters: np.ndarray) -> Iterator[tuple[np.ndarray, float]]:
-    """For each way to step: the key of the subsequence that begins at each place (0 where it leaves the word)."""
-    n = letters.shape[1] - GAP - 2
-    for a, b in STEPS:
-        x, y, z = letters[:, :n], letters[:, a : a + n], letters[:, a + b : a + b + n]
-        yield np.where(z > 0, x << 12 | y << 6 | z, 0), DECAY ** (a + b - 2)
+    def prepared(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Letters of words of about one length, between borders; 0 fills. And the lengths."""
+        size = np.array([len(w) + 2 for w in words], np.int64)
+        out = np.zeros((len(words), max(3, int(size.max(initial=3))) + GAP + 2), np.int64)
+        at = np.arange(out.shape[1])
+        out[(at > 0) & (at < size[:, None] - 1)] = self.code[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        out[:, 0] = self.n + 2
+        out[np.arange(len(words)), size - 1] = self.n + 3
+        return out, size
+
+    def subsequences(self, letters: np.ndarray) -> Iterator[tuple[np.ndarray, float]]:
+        """For each way to step: the key of the subsequence that begins at each place (0 where it leaves the word)."""
+        n = letters.shape[1] - GAP - 2
+        for a, b in STEPS:
+            x, y, z = letters[:, :n], letters[:, a : a + n], letters[:, a + b : a + b + n]
+            yield np.where(z > 0, x << 2 * self.bits | y << self.bits | z, 0), DECAY ** (a + b - 2)
 
 
 def self_weight(size: np.ndarray) -> np.ndarray:
@@ -91,14 +97,14 @@ def by_length(words: list[str]) -> Iterator[np.ndarray]:
         a = b
 
 
-def kernel_rows(words: list[str], columns: np.ndarray, weights: np.ndarray) -> np.ndarray:
+def kernel_rows(letters_of: Letters, words: list[str], columns: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """words' subsequence sums over a table of weights: one row of weights for each of the sorted keys in columns."""
-    out = np.zeros((len(words), weights.shape[1]), np.float64)
+    out = np.zeros((len(words), weights.shape[1]), np.float32)
     for block in by_length(words):
         for some in np.array_split(block, max(1, len(block) // 500)):
-            letters, size = prepared([words[i] for i in some])
+            letters, size = letters_of.prepared([words[i] for i in some])
             total = np.zeros((len(some), weights.shape[1]))
-            for key, decay in subsequences(letters):
+            for key, decay in letters_of.subsequences(letters):
                 at = np.minimum(np.searchsorted(columns, key), len(columns) - 1)
                 hit = columns[at] == key
                 row, _ = np.nonzero(hit)
@@ -107,13 +113,13 @@ def kernel_rows(words: list[str], columns: np.ndarray, weights: np.ndarray) -> n
     return out
 
 
-def feature_table(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def feature_table(letters_of: Letters, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted keys of the words' subsequences and their weights in each word: keys x words."""
     found: Counter = Counter()
     for j, w in enumerate(words):
-        letters, size = prepared([w])
+        letters, size = letters_of.prepared([w])
         scale = float(self_weight(size)[0])
-        for key, decay in subsequences(letters):
+        for key, decay in letters_of.subsequences(letters):
             for k in key[key > 0].tolist():
                 found[k, j] += decay / scale
     columns = np.array(sorted({k for k, _ in found}), np.int64)
@@ -138,40 +144,53 @@ def squared_hinge(z: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float =
 
 @dataclass
 class Model:
-    table: np.ndarray  # a number for each subsequence key
-    bias: float
-    slope: float  # of the probability in the worst word's decision
-    shift: float
+    alphabet: str = ""
+    table: np.ndarray = field(default_factory=lambda: np.zeros(1 << 6, np.float32))  # a number for each subsequence key
+    bias: float = -1.0
+    slope: float = 1.0  # of the probability in the worst word's decision
+    shift: float = 0.0
+
+    @cached_property
+    def letters(self) -> Letters:
+        return Letters(self.alphabet)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "letters"}
 
     def decisions(self, words: list[str]) -> np.ndarray:
         out = np.zeros(len(words))
         for block in by_length(words):
-            letters, size = prepared([words[i] for i in block])
+            letters, size = self.letters.prepared([words[i] for i in block])
             total = np.zeros(len(block))
-            for key, decay in subsequences(letters):
+            for key, decay in self.letters.subsequences(letters):
                 total += decay * self.table[key].sum(1)
             out[block] = total / self_weight(size)
         return out + self.bias
 
-    def probability(self, decision: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * decision + self.shift, -40, 40)))
-
 
 class Scorer:
-    """Worst words of texts; a bounded cache keeps the decisions of words."""
-
-    def __init__(self, model: Model, limit: int = 400_000):
-        gc.disable()  # nothing here makes cycles
-        self.model, self.limit, self.cache = model, limit, {}
+    """Decisions on words; those asked for last are kept, in two generations of at most `limit` words or so."""
+
+    def __init__(self, model: Model, limit: int = 100_000):
+        self.model, self.limit = model, limit
+        self.young: dict[str, float] = {}
+        self.old: dict[str, float] = {}
+
+    def learn(self, words: set[str]) -> dict[str, float]:
+        """A table that holds the words."""
+        if len(self.young) > self.limit:
+            self.young, self.old = {}, self.young
+        old = self.old
+        new = [w for w in words if w not in self.young]
+        self.young.update((w, old[w]) for w in new if w in old)
+        new = [w for w in new if w not in self.young]
+        self.young.update(zip(new, self.model.decisions([bare(w) for w in new]).tolist(), strict=True))
+        return self.young
 
     def worst(self, texts: list[str]) -> np.ndarray:
+        """The decision on the worst word of each text."""
         lists = [units(t) for t in texts]
-        words = set().union(*lists)
-        new = list(words.difference(self.cache))
-        if len(self.cache) + len(new) > self.limit:
-            self.cache = {w: self.cache[w] for w in words.difference(new)}
-        self.cache.update(zip(new, self.model.decisions([bare(w) for w in new]).tolist(), strict=True))
-        get = self.cache.__getitem__
+        get = self.learn(set().union(*lists)).__getitem__
         return np.array([max(map(get, x), default=NOTHING) for x in lists])
 
 
@@ -182,25 +201,26 @@ def fit_machine(positive: dict[str, int], negative: dict[str, int], pool: list[s
     positive side join the negatives, round after round.
     """
     if not positive:
-        return Model(np.zeros(1 << 18, np.float32), -1.0, 1.0, 0.0)
+        return Model()
     likely = sorted(positive, key=lambda w: (-positive[w], w))
     hard: list[str] = []
     negatives = list(negative) or ["-"]
     for _ in range(ROUNDS):
         landmarks = [*likely[:LANDMARKS], *hard[:LANDMARKS]] if hard else [*likely[:LANDMARKS], *negatives[: LANDMARKS // 4]]
-        columns, weights = feature_table(landmarks)
+        letters = Letters(alphabet := "".join(sorted(set("".join(landmarks)))))
+        columns, weights = feature_table(letters, landmarks)
         value, vector = np.linalg.eigh(weights.T @ weights)
         keep = value > 1e-5 * value.max()
         root = vector[:, keep] / np.sqrt(value[keep])
         words = [*likely, *negatives, *hard]
         y = np.array([1.0] * len(likely) + [-1.0] * (len(words) - len(likely)))
-        z = np.column_stack([kernel_rows(words, columns, weights) @ root, np.ones(len(words))])
+        z = np.column_stack([kernel_rows(letters, words, columns, weights @ root), np.ones(len(words))])
         often = np.sqrt([positive.get(w) or 1 for w in words])
         cost = np.where(y > 0, often / often[y > 0].mean(), 1.0) * np.where(y > 0, len(y) / 4 / len(likely), 1.0)
         w = squared_hinge(z, y, cost, RIDGE)
-        table = np.zeros(1 << 18, np.float32)
+        table = np.zeros(1 << 3 * letters.bits, np.float32)
         table[columns] = weights @ (root @ w[:-1])
-        model = Model(table, float(w[-1]), 1.0, 0.0)
+        model = Model(alphabet, table, float(w[-1]))
         if not pool:
             break
         order = np.argsort(-(d := model.decisions(pool)))[:400]
@@ -228,7 +248,8 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from docs (doc_id, text) and labels (doc_id, toxic 0 or 1); null texts and labels teach nothing.
 
-    Without toxic documents the model calls nothing toxic.
+    Of several labels of a document toxic counts; repeated documents teach as often as they stand there. Without toxic
+    or without clean documents the model calls nothing toxic.
     """
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     top = [known.where(F.col("toxic") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for v, n in ((1, TRAIN_TOXIC), (0, TRAIN_CLEAN))]
@@ -250,7 +271,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     sums = {r["item"]: r["toxic"] + r["clean"] for r in counts.where("item in ('#0', '#1')").collect()}
     n_toxic, n_clean = sums.get("#1", 0), sums.get("#0", 0)
     if not n_toxic or not n_clean:
-        return Model(np.zeros(1 << 18, np.float32), -1.0, 1.0, 0.0)
+        return Model()
     share = n_toxic / (n_toxic + n_clean)
     found = counts.where(~F.col("item").startswith("#"))
     # The chance that a word of this frequency has no clean documents, or few: far below one word of all
@@ -265,33 +286,37 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     clean = {r["word"]: r["clean"] for r in words.where((F.col("clean") > 0) & ~sign & (F.length("word") <= 40)).orderBy(F.xxhash64("word")).limit(HARD_POOL).collect()}
     model = fit_machine(positive, dict(list(clean.items())[:NEGATIVE_WORDS]), list(clean))
     scored = written(decisions(texts.withColumn("doc_id", F.lit(0)), model, "toxic"), "toxicity-decisions").collect()  # TRAIN_* rows
-    model.slope, model.shift = logistic(np.array([r["decision"] for r in scored]), np.array([r["toxic"] for r in scored]))
+    model.slope, model.shift = logistic(np.array([r["__decision"] for r in scored]), np.array([r["toxic"] for r in scored]))
     return model
 
 
 def decisions(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
-    """doc_id (or the columns in keep) and the worst word's decision of every whole text."""
+    """doc_id (or the columns in keep, whatever their names) and __decision, the worst word's, of every whole text."""
     keep = keep or ("doc_id",)
-    rows = docs.select(*keep, F.coalesce("text", F.lit("")).alias("__text"))
-    table, rest = model.table, (model.bias, model.slope, model.shift)
+    row = F.struct(*(F.col(f"`{c}`") for c in keep))
+    rows = docs.select(row.alias("row"), F.coalesce("text", F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(Model(table, *rest))
+        scorer = Scorer(model)
         for batch in batches:
-            texts = batch.column(len(keep)).to_pylist()
+            texts = batch.column(1).to_pylist()
             for a, b in slices(map(len, texts), BATCH_CHARS):
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(len(keep))), pa.array(scorer.worst(texts[a:b]))], names=[*keep, "decision"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(scorer.worst(texts[a:b]))], names=["row", "decision"])
+
+    found = rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, decision double")
+    return found.select(*(F.col("row")[c].alias(c) for c in keep), F.col("decision").alias("__decision"))
+
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keep)])
-    return rows.mapInArrow(run, f"{schema}, decision double")
+def toxic(model: Model, decision: str = "__decision"):
+    """The probability of a decision, as a Column."""
+    return 1 / (1 + F.exp(-(F.lit(model.slope) * F.col(decision) + F.lit(model.shift))))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score (0 to 1) and predicted (1 where score >= 0.5) of every whole text.
 
     Null and empty texts, and texts without words, get the score of no word at all; repeated rows stay; other columns
-    are not read.
+    are not read; an empty table gives no rows.
     """
-    p = 1 / (1 + F.exp(-(F.lit(model.slope) * F.col("decision") + F.lit(model.shift))))
-    out = decisions(docs_text(docs), model).select("doc_id", p.alias("score"))
+    out = decisions(docs_text(docs), model).select("doc_id", toxic(model).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
