@@ -16,7 +16,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the machine trained on `labels` calls toxic go."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
     found = toxicity.decisions(docs, model, *docs.columns)
-    return found.where(F.lit(model.slope) * F.col("decision") + F.lit(model.shift) < 0).select(docs.columns)
+    return found.where(toxicity.toxic(model) < 0.5).select(docs.columns)
 
 
 def drop_no_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
