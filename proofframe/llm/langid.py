@@ -21,23 +21,22 @@ from .common import slices
 PROFILE = 300
 #: At most so many documents of each language are learned from, those of least hash of the id.
 TRAIN_DOCS = 3_000
-BATCH_CHARS = 1_000_000
+BATCH_CHARS = 500_000
 UND = "und"
-SPACE = 0
+BROADCAST_LANGS = 200  # so many languages at most have their numbers and picked ids broadcast
+SPACE = 1
 #: Distance beyond which a text is in none of the languages. The labelled documents of all given tables stay below 0.65; random letters, base64 and hexadecimal digits are at 0.8 and more.
 FAR = 0.75
 
 
 @lru_cache(1)
 def letters() -> np.ndarray:
-    """A 10-bit code for every code point: 0 for all that is not a letter; letters up to U+02FF stand for themselves in
-    lower case, further ones share the codes above."""
-    out = np.zeros(0x110000, np.int16)
+    """A code for every code point: 1 (SPACE) for all that is not a letter, else the small letter's code point and 1."""
+    out = np.full(0x110000, SPACE, np.int32)
     for cp in range(0x110000):
         c = chr(cp)
         if c.isalpha():
-            low = ord(c.lower()[0])
-            out[cp] = low if low < 0x300 else 0x300 + (low ^ low >> 8) % 0x100
+            out[cp] = ord(c.lower()[0]) + 1
     return out
 
 
@@ -49,25 +48,31 @@ def codes_of(text: str) -> np.ndarray:
 
 
 def grams(c: np.ndarray) -> np.ndarray:
-    """n-grams of codes: letters, pairs (spaces stand alone, so at least one letter), triples around a letter; the length is in the key."""
-    one = c[c != SPACE]
-    two = 1 << 30 | c[:-1] << 10 | c[1:]
+    """n-grams of codes, 21 bits a code: letters, pairs (spaces stand alone, so at least one letter), triples around a
+    letter. A code is never 0, so keys of different lengths differ."""
     mid = c[1:-1] != SPACE
-    three = 2 << 30 | c[:-2] << 20 | c[1:-1] << 10 | c[2:]
-    return np.concatenate([one, two, three[mid]])
+    return np.concatenate([c[c != SPACE], c[:-1] << 21 | c[1:], (c[:-2] << 42 | c[1:-1] << 21 | c[2:])[mid]])
+
+
+def summed(doc: np.ndarray, gram: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (doc, gram), in order, with the sum of n, or with their number."""
+    name, number = np.unique(gram, return_inverse=True)
+    key, back = np.unique(doc * len(name) + number, return_inverse=True)
+    total = np.bincount(back, n, len(key)).astype(np.int64)
+    return key // max(1, len(name)), name[key % max(1, len(name))], total
 
 
 def counted(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text number, n-gram, count) of all texts; long texts are counted in windows."""
-    keys, counts = [], []
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    docs: list[np.ndarray] = []
     parts: list[np.ndarray] = []
 
     def flush() -> None:
         if parts:
-            k, n = np.unique(np.concatenate(parts), return_counts=True)
-            keys.append(k)
-            counts.append(n)
+            found.append(summed(np.concatenate(docs), np.concatenate(parts)))
             parts.clear()
+            docs.clear()
 
     size = 0
     for i, t in enumerate(texts):
@@ -78,27 +83,24 @@ def counted(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             g = grams(c[a : a + BATCH_CHARS])
             if a:  # what spans the border of two windows
                 g = np.concatenate([g, border(c, a)])
-            parts.append(i << 32 | g)
+            parts.append(g)
+            docs.append(np.full(len(g), i))
             size += len(g)
-            if size > 4 * BATCH_CHARS:
+            if size > 2 * BATCH_CHARS:
                 flush()
                 size = 0
     flush()
-    if not keys:
+    if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    k, n = np.concatenate(keys), np.concatenate(counts)
-    if len(keys) > 1:  # a long text may be in several
-        k, back = np.unique(k, return_inverse=True)
-        n = np.bincount(back, n).astype(np.int64)
-    return k >> 32, k & 0xFFFFFFFF, n
+    return found[0] if len(found) == 1 else summed(*map(np.concatenate, zip(*found, strict=True)))  # a long text may be in several
 
 
 def border(c: np.ndarray, a: int) -> np.ndarray:
     """The pair and the triples that windows ending and beginning at a miss."""
-    out = [1 << 30 | int(c[a - 1]) << 10 | int(c[a])]
+    out = [int(c[a - 1]) << 21 | int(c[a])]
     for s in (a - 2, a - 1):
         if s >= 0 and s + 2 < len(c) and c[s + 1] != SPACE:
-            out.append(2 << 30 | int(c[s]) << 20 | int(c[s + 1]) << 10 | int(c[s + 2]))
+            out.append(int(c[s]) << 42 | int(c[s + 1]) << 21 | int(c[s + 2]))
     return np.array(out, np.int64)
 
 
@@ -150,14 +152,19 @@ class Profiles:
 
 def train(docs: DataFrame, profile: int = PROFILE, train_docs: int = TRAIN_DOCS) -> dict[str, list[int]]:
     """Profiles of the languages in docs (text, lang; rows without either teach nothing). Counts are summed by Spark
-    over at most train_docs documents of each language; the driver gets the profiles only: languages x profile rows."""
+    over at most train_docs documents of each language; the driver gets the profiles only: languages x profile rows.
+
+    Documents are picked by the least hash of their id. A first cut by the hash, from the language's number of documents,
+    leaves some 2 train_docs rows a language for the window that picks, and the picked ids are broadcast: languages x
+    train_docs of them."""
     rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
     rank = F.shiftrightunsigned(F.xxhash64("doc_id"), 33)  # 31 bits
     sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    near = rows.select("doc_id", "lang", rank.alias("rank")).join(sizes, "lang").where(F.col("rank") * F.col("n") <= F.lit(2.0 * train_docs * 2**31))
+    few = sizes.count() <= BROADCAST_LANGS
+    near = rows.select("doc_id", "lang", rank.alias("rank")).join(F.broadcast(sizes) if few else sizes, "lang").where(F.col("rank") * F.col("n") <= F.lit(2.0 * train_docs * 2**31))
     pick = F.row_number().over(Window.partitionBy("lang").orderBy("rank", "doc_id"))  # over some 2 train_docs rows
     ids = near.withColumn("pick", pick).where(F.col("pick") <= train_docs).select("doc_id", "lang").distinct()
-    rows = rows.select("doc_id", "lang", "text").join(ids, ["doc_id", "lang"], "left_semi").select("lang", "text")
+    rows = rows.select("doc_id", "lang", "text").join(F.broadcast(ids) if few else ids, ["doc_id", "lang"], "left_semi").select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,9 +173,8 @@ def train(docs: DataFrame, profile: int = PROFILE, train_docs: int = TRAIN_DOCS)
                 names = sorted(set(langs[a:b]))
                 number = np.array([names.index(x) for x in langs[a:b]])
                 doc, gram, n = counted(texts[a:b])
-                k, back = np.unique(number[doc] << 32 | gram, return_inverse=True) if len(doc) else (doc, doc)
-                total = np.bincount(back, n, len(k)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in (k >> 32).tolist()], pa.string()), pa.array(k & 0xFFFFFFFF), pa.array(total)], names=["lang", "gram", "n"])
+                lang, gram, n = summed(number[doc], gram, n) if len(doc) else (doc, gram, n)
+                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in lang.tolist()], pa.string()), pa.array(gram), pa.array(n)], names=["lang", "gram", "n"])
 
     sums = rows.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
@@ -179,22 +185,30 @@ def train(docs: DataFrame, profile: int = PROFILE, train_docs: int = TRAIN_DOCS)
 
 
 def identify(docs: DataFrame, profiles: dict[str, list[int]], *keep: str) -> DataFrame:
-    """doc_id (or the columns in keep) with lang_pred, score and distance (0 to 1) of every whole text.
-
-    Null texts and texts without a letter are und with score 0 and no distance. Repeated rows stay, other columns are not read; with
-    no profiles everything is und, and texts with letters are at distance 0.
-    """
+    """doc_id (or the columns in keep, whatever their names) with lang_pred, score and distance (0 to 1) of every whole
+    text; columns of these names in keep stay under theirs, and the found ones are then called __lang_pred and so on.
 
+    Null texts and texts without a letter are und with score 0 and no distance. Repeated rows stay, other columns are
+    not read; an empty table gives no rows; with no profiles everything is und, and texts with letters are at distance
+    0."""
     keep = keep or ("doc_id",)
-    rows = docs.select(*keep, F.coalesce("text", F.lit("")).alias("__text"))
+    row = F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row")
+    rows = docs.select(row, F.coalesce("text", F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Profiles(profiles)
         for batch in batches:
-            texts = batch.column(len(keep)).to_pylist()
+            texts = batch.column(1).to_pylist()
             for a, b in slices(map(len, texts), BATCH_CHARS):
                 lang, score, distance = model.predict(texts[a:b])
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(len(keep))), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(distance, pa.float64())], names=[*keep, "lang_pred", "score", "distance"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(distance, pa.float64())], names=["row", *FOUND])
+
+    found = rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double, distance double")
+    return found.select(*(F.col("row")[c].alias(c) for c in keep), *(F.col(c).alias(named(c, keep)) for c in FOUND))
+
+
+FOUND = ("lang_pred", "score", "distance")
+
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keep)])
-    return rows.mapInArrow(run, f"{schema}, lang_pred string, score double, distance double")
+def named(column: str, keep: tuple[str, ...] | list[str]) -> str:
+    return f"__{column}" if column in keep else column
