@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import docs_text, slices
+from .common import docs_text, slices, written
 
 PACKET = 188
 SYNC = 0x47
@@ -187,16 +187,25 @@ def to_media(docs: DataFrame) -> DataFrame:
     return docs_text(docs).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
+#: What a stream gives, with Arrow and Spark types.
+READ = {
+    "payload": (pa.binary(), "binary"), "pts": (pa.list_(pa.int64()), "array<long>"), "random_access": (pa.list_(pa.int64()), "array<long>"),
+    "continuity_errors": (pa.int64(), "long"), "packets": (pa.int64(), "long"),
+}
+
+
 def from_media(media: DataFrame) -> DataFrame:
-    """media's other columns with payload, pts, random_access, continuity_errors, packets, error.
+    """media's other columns with payload, pts, random_access, continuity_errors, packets, error. Where media has a
+    column of such a name, the found one gets two underscores before its name.
 
-    A null or broken stream gives null fields and error with the reason, not an exception."""
+    A null or broken stream gives null fields and error with the reason, not an exception. Repeated rows stay; an empty
+    table gives no rows."""
     names = [c for c in media.columns if c != "media"]
-    out = ", ".join(f"`{c}` {t}" for c, t in media.dtypes if c != "media")
+    rows = media.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), "media")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(len(names))
+            column = batch.column(1)
             for a, b in slices([0 if x is None else len(x) for x in column.to_pylist()], BATCH_BYTES):
                 rows, why = [], []
                 for x in column.slice(a, b - a).to_pylist():
@@ -208,17 +217,18 @@ def from_media(media: DataFrame) -> DataFrame:
                     except (ValueError, IndexError, StopIteration) as e:
                         rows.append({})
                         why.append(str(e) or "malformed stream")
-                types = {"payload": pa.binary(), "pts": pa.list_(pa.int64()), "random_access": pa.list_(pa.int64()), "continuity_errors": pa.int64(), "packets": pa.int64()}
-                made = [pa.array([r.get(k) for r in rows], t) for k, t in types.items()]
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in range(len(names))), *made, pa.array(why, pa.string())], names=[*names, *types, "error"])
+                made = [pa.array([r.get(k) for r in rows], t) for k, (t, _) in READ.items()]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *made, pa.array(why, pa.string())], names=["row", *READ, "error"])
 
-    schema = f"{out}, payload binary, pts array<long>, random_access array<long>, continuity_errors long, packets long, error string"
-    return media.select(*names, "media").mapInArrow(run, schema)
+    schema = f"row {rows.schema['row'].dataType.simpleString()}, {', '.join(f'{k} {t}' for k, (_, t) in READ.items())}, error string"
+    found = rows.mapInArrow(run, schema)
+    return found.select(*(F.col("row")[c].alias(c) for c in names), *(F.col(c).alias(f"__{c}" if c in names else c) for c in [*READ, "error"]))
 
 
 def media_digests(docs: DataFrame) -> DataFrame:
-    """Digests of what is read back from the media column, with a feature string of the stream's timing."""
-    read = from_media(to_media(docs).select("doc_id", "n_bytes", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media"))
+    """Digests of what is read back from the stored media column, with a feature string of the stream's timing."""
+    stored = written(to_media(docs), "media", compression="zstd")
+    read = from_media(stored.select("doc_id", "n_bytes", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media"))
     tail = F.crc32(F.substring("payload", -ALIGN, ALIGN))
     feature = F.format_string(
         "pes=%d;pts=%d..%d;rap=%d;cc_errors=%d;packets=%d",
