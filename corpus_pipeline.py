@@ -25,7 +25,7 @@ def drop_no_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     profiles = langid.train(docs)
     learned = any(len(p) == langid.PROFILE for p in profiles.values())
     found = langid.identify(docs, profiles, *docs.columns)
-    return found.where(F.col("distance") <= (langid.FAR if learned else 1.0)).select(docs.columns)
+    return found.where(F.col(langid.named("distance", docs.columns)) <= (langid.FAR if learned else 1.0)).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
