@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+ARROW_LIMIT, ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 2_000_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -36,11 +41,31 @@ def written(df: DataFrame, label: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts are long: a session that holds more bytes in an Arrow batch than ARROW_BYTES is set to that. It bounds what
+    the executor and its Python workers hold at a time, and changes no result."""
+    now = re.fullmatch(r"(\d+)b?", spark.conf.get(ARROW_LIMIT))
+    if not now or int(now[1]) > ARROW_BYTES:
+        spark.conf.set(ARROW_LIMIT, str(ARROW_BYTES))
+
+
 def docs_text(docs: DataFrame) -> DataFrame:
     """doc_id and text, null texts as empty ones."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def rows_and_text(docs: DataFrame, keep: Sequence[str]) -> tuple[DataFrame, Callable[[pa.RecordBatch], pa.Array]]:
+    """docs as one struct column `row` of the columns in keep, whatever their names, and what gives a batch's texts,
+    null ones as empty. Texts travel once: only where keep lacks text, they are a second column."""
+    small_batches(docs.sparkSession)
+    row = F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row")
+    if "text" not in keep:
+        return docs.select(row, F.coalesce("text", F.lit("")).alias("text")), lambda batch: batch.column(1)
+    at = list(keep).index("text")
+    return docs.select(row), lambda batch: batch.column(0).flatten()[at].fill_null("")
+
+
 def slices(sizes: Iterable[int], limit: int) -> Iterator[tuple[int, int]]:
     """[start, end) runs whose sizes sum to about limit; an item above it stands alone."""
     start = total = 0

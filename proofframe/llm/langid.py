@@ -12,11 +12,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import slices
+from .common import rows_and_text, slices
 
 PROFILE = 300
 #: At most so many documents of each language are learned from, those of least hash of the id.
@@ -25,6 +26,7 @@ BATCH_CHARS = 500_000
 UND = "und"
 BROADCAST_LANGS = 200  # so many languages at most have their numbers and picked ids broadcast
 SPACE = 1
+BITS = 21  # of a code
 #: Distance beyond which a text is in none of the languages. The labelled documents of all given tables stay below 0.65; random letters, base64 and hexadecimal digits are at 0.8 and more.
 FAR = 0.75
 
@@ -47,11 +49,11 @@ def codes_of(text: str) -> np.ndarray:
     return c[np.concatenate([[True], (c[1:] != SPACE) | (c[:-1] != SPACE)])]
 
 
-def grams(c: np.ndarray) -> np.ndarray:
-    """n-grams of codes, 21 bits a code: letters, pairs (spaces stand alone, so at least one letter), triples around a
-    letter. A code is never 0, so keys of different lengths differ."""
+def grams(c: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """n-grams of codes, `bits` bits a code: letters, pairs (spaces stand alone, so at least one letter), triples around
+    a letter. A code is never 0, so keys of different lengths differ."""
     mid = c[1:-1] != SPACE
-    return np.concatenate([c[c != SPACE], c[:-1] << 21 | c[1:], (c[:-2] << 42 | c[1:-1] << 21 | c[2:])[mid]])
+    return np.concatenate([c[c != SPACE], c[:-1] << bits | c[1:], (c[:-2] << 2 * bits | c[1:-1] << bits | c[2:])[mid]])
 
 
 def summed(doc: np.ndarray, gram: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -65,42 +67,58 @@ def summed(doc: np.ndarray, gram: np.ndarray, n: np.ndarray | None = None) -> tu
 def counted(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text number, n-gram, count) of all texts; long texts are counted in windows."""
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    docs: list[np.ndarray] = []
-    parts: list[np.ndarray] = []
-
-    def flush() -> None:
-        if parts:
-            found.append(summed(np.concatenate(docs), np.concatenate(parts)))
-            parts.clear()
-            docs.clear()
-
+    windows: list[tuple[int, np.ndarray, int]] = []
     size = 0
     for i, t in enumerate(texts):
         c = codes_of(t)
         if len(c) < 3:
             continue
         for a in range(0, len(c), BATCH_CHARS):
-            g = grams(c[a : a + BATCH_CHARS])
-            if a:  # what spans the border of two windows
-                g = np.concatenate([g, border(c, a)])
-            parts.append(g)
-            docs.append(np.full(len(g), i))
-            size += len(g)
-            if size > 2 * BATCH_CHARS:
-                flush()
-                size = 0
-    flush()
+            windows.append((i, c[max(0, a - 2) : a + BATCH_CHARS], min(a, 2)))
+            size += len(windows[-1][1])
+            if size > BATCH_CHARS:
+                found.append(count_windows(windows))
+                windows, size = [], 0
+    if windows:
+        found.append(count_windows(windows))
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     return found[0] if len(found) == 1 else summed(*map(np.concatenate, zip(*found, strict=True)))  # a long text may be in several
 
 
-def border(c: np.ndarray, a: int) -> np.ndarray:
+def count_windows(windows: list[tuple[int, np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, n-gram, count) of windows (text number, codes, how many codes at the front were in the window
+    before). Codes are renumbered among those at hand, so that text and n-gram fit into one number to sort by."""
+    alphabet = np.flatnonzero(np.bincount(np.concatenate([c for _, c, _ in windows])))
+    rank = np.zeros(int(alphabet[-1]) + 1, np.int64)
+    rank[alphabet] = np.arange(1, len(alphabet) + 1) if alphabet[0] == SPACE else np.arange(2, len(alphabet) + 2)
+    bits = (len(alphabet) + 1).bit_length()
+    parts, docs = [], []
+    for i, c, old in windows:
+        c = rank[c]
+        g = grams(c, bits)
+        if old:  # n-grams that lie in what was counted before
+            g = np.concatenate([grams(c[old:], bits), border(c, old, bits)])
+        parts.append(g)
+        docs.append(np.full(len(g), i))
+    doc, gram = np.concatenate(docs), np.concatenate(parts)
+    if int(doc[-1]).bit_length() + 3 * bits <= 62:
+        key, n = np.unique(doc << 3 * bits | gram, return_counts=True)
+        doc, gram = key >> 3 * bits, key & (1 << 3 * bits) - 1
+    else:
+        doc, gram, n = summed(doc, gram)
+    codes = np.concatenate([[0], alphabet] if alphabet[0] == SPACE else [[0, SPACE], alphabet])
+    low = (1 << bits) - 1
+    gram = codes[gram >> 2 * bits] << 2 * BITS | codes[gram >> bits & low] << BITS | codes[gram & low]
+    return doc, gram, n  # codes ascend as their numbers do, so the order stays
+
+
+def border(c: np.ndarray, a: int, bits: int) -> np.ndarray:
     """The pair and the triples that windows ending and beginning at a miss."""
-    out = [int(c[a - 1]) << 21 | int(c[a])]
+    out = [int(c[a - 1]) << bits | int(c[a])]
     for s in (a - 2, a - 1):
         if s >= 0 and s + 2 < len(c) and c[s + 1] != SPACE:
-            out.append(int(c[s]) << 42 | int(c[s + 1]) << 21 | int(c[s + 2]))
+            out.append(int(c[s]) << 2 * bits | int(c[s + 1]) << bits | int(c[s + 2]))
     return np.array(out, np.int64)
 
 
@@ -168,11 +186,11 @@ def train(docs: DataFrame, profile: int = PROFILE, train_docs: int = TRAIN_DOCS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in slices(map(len, texts), BATCH_CHARS):
+            langs, texts = batch.column(0).to_pylist(), batch.column(1)
+            for a, b in slices(pc.binary_length(texts).to_pylist(), BATCH_CHARS):
                 names = sorted(set(langs[a:b]))
                 number = np.array([names.index(x) for x in langs[a:b]])
-                doc, gram, n = counted(texts[a:b])
+                doc, gram, n = counted(texts.slice(a, b - a).to_pylist())
                 lang, gram, n = summed(number[doc], gram, n) if len(doc) else (doc, gram, n)
                 yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in lang.tolist()], pa.string()), pa.array(gram), pa.array(n)], names=["lang", "gram", "n"])
 
@@ -192,15 +210,14 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], *keep: str) -> Dat
     not read; an empty table gives no rows; with no profiles everything is und, and texts with letters are at distance
     0."""
     keep = keep or ("doc_id",)
-    row = F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row")
-    rows = docs.select(row, F.coalesce("text", F.lit("")).alias("text"))
+    rows, text_of = rows_and_text(docs, keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Profiles(profiles)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in slices(map(len, texts), BATCH_CHARS):
-                lang, score, distance = model.predict(texts[a:b])
+            texts = text_of(batch)
+            for a, b in slices(pc.binary_length(texts).to_pylist(), BATCH_CHARS):
+                lang, score, distance = model.predict(texts.slice(a, b - a).to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(distance, pa.float64())], names=["row", *FOUND])
 
     found = rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double, distance double")

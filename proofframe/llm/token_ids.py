@@ -18,7 +18,7 @@ class Cache:
     """The last words asked for and their ids, in two generations of at most `limit` words or so: when the young one
     is full, it takes the place of the old one, and words that are asked for again move back."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 100_000):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 60_000):
         self.encode, self.limit = encode, limit
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}

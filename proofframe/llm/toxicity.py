@@ -21,10 +21,11 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import docs_text, slices, written
+from .common import docs_text, rows_and_text, slices, written
 
 GAP = 2
 DECAY = 0.5
@@ -171,7 +172,7 @@ class Model:
 class Scorer:
     """Decisions on words; those asked for last are kept, in two generations of at most `limit` words or so."""
 
-    def __init__(self, model: Model, limit: int = 100_000):
+    def __init__(self, model: Model, limit: int = 60_000):
         self.model, self.limit = model, limit
         self.young: dict[str, float] = {}
         self.old: dict[str, float] = {}
@@ -293,15 +294,14 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 def decisions(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     """doc_id (or the columns in keep, whatever their names) and __decision, the worst word's, of every whole text."""
     keep = keep or ("doc_id",)
-    row = F.struct(*(F.col(f"`{c}`") for c in keep))
-    rows = docs.select(row.alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    rows, text_of = rows_and_text(docs, keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in slices(map(len, texts), BATCH_CHARS):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(scorer.worst(texts[a:b]))], names=["row", "decision"])
+            texts = text_of(batch)
+            for a, b in slices(pc.binary_length(texts).to_pylist(), BATCH_CHARS):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(scorer.worst(texts.slice(a, b - a).to_pylist()))], names=["row", "decision"])
 
     found = rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, decision double")
     return found.select(*(F.col("row")[c].alias(c) for c in keep), F.col("decision").alias("__decision"))
