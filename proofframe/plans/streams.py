@@ -42,7 +42,7 @@ def session_trace(t: Tables) -> DataFrame:
 
 @query("""select event_id, row_number() over (partition by user_id order by event_id) k from events where event_type = 'error'""")
 def stream_new_boundary(t: Tables) -> DataFrame:
-    return traces.drained(t.spark, t.sf_dir, EVENTS, traces.boundaries, "append", "events.parquet")
+    return traces.boundaries(t.spark, t.sf_dir, EVENTS, "events.parquet")
 
 
 @query()

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..storage import shared_path
 
@@ -18,37 +19,33 @@ def event_summary(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").agg(F.count("*").alias("events"), F.count_if(F.col("event_type") == "error").alias("errors"), F.count_if(F.try_parse_json("props").isNull()).alias("invalid"), F.sum(cents).alias("cents"))
 
 
-def boundaries(events: DataFrame) -> DataFrame:
-    """event_id of each event at which its user's error count grew, with that count, each emitted once.
+def boundaries(spark: SparkSession, source: str, schema: str, pattern: str = "*", files_per_batch: int | None = None) -> DataFrame:
+    """event_id of each event at which its user's error count grew, with that count k, each emitted once, after all that
+    is in the folder has run through a stream.
 
-    State: one counter for each user, dropped after TTL_MS without events."""
-    from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+    The counters of users are a table, one generation for each batch; a batch takes its numbers from the generation
+    before and writes its own rows and counters to paths that hold its number, so a batch that is run again overwrites
+    what it wrote. Within a batch events count in order of event_id, and batches in order of arrival. No counter is ever
+    dropped. Rows of a batch are numbered by a window over its user's errors in JVM operators alone."""
+    out, counters = shared_path(spark, "boundaries"), shared_path(spark, "boundary-counters")
+    schema_of_counters = "user_id long, n long"
 
-    class Boundary(StatefulProcessor):
-        def init(self, handle: StatefulProcessorHandle) -> None:
-            self.count = handle.getValueState("errors", "n long", TTL_MS)
+    def count(batch: DataFrame, number: int) -> None:
+        s = batch.sparkSession
+        before = s.read.schema(schema_of_counters).parquet(f"{counters}/{number - 1}") if number else s.createDataFrame([], schema_of_counters)
+        errors = batch.where("event_type = 'error'").select("user_id", "event_id")
+        own = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+        numbered = errors.withColumn("own", own).join(before, "user_id", "left")
+        numbered.select("event_id", (F.col("own") + F.coalesce("n", F.lit(0))).cast("long").alias("k")).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        after = before.unionByName(errors.groupBy("user_id").agg(F.count("*").alias("n"))).groupBy("user_id").agg(F.sum("n").alias("n"))
+        after.write.mode("overwrite").parquet(f"{counters}/{number}")
 
-        def handleInputRows(self, key, rows: Iterator, timerValues) -> Iterator:  # noqa: N802, N803
-            import pandas as pd
-
-            n = self.count.get()[0] if self.count.exists() else 0
-            pdf = pd.concat(list(rows)).sort_values("event_id")
-            out = []
-            for event, kind in zip(pdf["event_id"], pdf["event_type"], strict=True):
-                if kind == "error":
-                    n += 1
-                    out.append((event, n))
-            self.count.update((n,))
-            yield pd.DataFrame(out, columns=["event_id", "k"]).astype("int64")
-
-        def close(self) -> None:
-            pass
-
-    grouped = events.groupBy("user_id")
-    return grouped.transformWithStateInPandas(statefulProcessor=Boundary(), outputStructType="event_id long, k long", outputMode="Append", timeMode="ProcessingTime")
-
-
-TTL_MS = 7 * 24 * 3600 * 1000
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    writer = reader.parquet(source).writeStream.trigger(availableNow=True).option("checkpointLocation", shared_path(spark, "stream-state"))
+    writer.foreachBatch(count).start().awaitTermination()
+    return spark.read.schema("event_id long, k long, batch int").parquet(out).select("event_id", "k")
 
 
 def drained(spark: SparkSession, source: str, schema: str, build: Callable[[DataFrame], DataFrame], mode: str = "append", pattern: str = "*", files_per_batch: int | None = None) -> DataFrame:
