@@ -347,3 +347,124 @@ def test_neighbours_have_high_recall(spark):
             assert [i for _, i in mine] == list(range(701, 711))
     assert hits >= 0.9 * 150 and all(r["query_id"] < 1500 for r in got)
     assert ann.search(e.limit(0), e.limit(0)).collect() == []
+
+
+# further brute-force tests
+
+
+def test_inner_nodes_of_unlinked_classes_are_pruned():
+    rng = np.random.default_rng(1)
+    part = rng.integers(0, 2**63, 8).astype(np.uint64)
+    sets = [np.unique(np.concatenate([part, rng.integers(0, 2**63, 200).astype(np.uint64)])) for _ in range(512)]
+    bits, sizes = np.stack([sigtree.bitmap(s) for s in sets]), np.array([len(s) for s in sets])
+    tree, tested = sigtree.SignatureTree(sizes, bits, np.arange(512)), []
+    assert len(tree.pairs(tree, Fraction(9, 10), tested)[0]) == 0
+    assert tested[0] < 0.02 * 512 * 513 / 2  # leaf pairs that were looked at
+    one = sigtree.SignatureTree(sizes, bits, np.zeros(512, np.int64))
+    tested = []
+    assert len(one.pairs(one, Fraction(1, 10), tested)[0]) == 0 and sum(tested) == 1  # one label: nothing to find
+
+
+def test_traversal_in_small_steps_finds_the_same(monkeypatch):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 60).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[k:], rng.integers(0, 2**63, k).astype(np.uint64)])) for k in list(range(9)) * 4]
+    bits, sizes = np.stack([sigtree.bitmap(s) for s in sets]), np.array([len(s) for s in sets])
+    tree = sigtree.SignatureTree(sizes, bits, np.arange(len(sets)))
+    whole = {tuple(sorted(p)) for p in zip(*tree.pairs(tree, Fraction(8, 10)), strict=True)}
+    monkeypatch.setattr(sigtree, "PAIRS_BYTES", 1)
+    assert whole and {tuple(sorted(p)) for p in zip(*tree.pairs(tree, Fraction(8, 10)), strict=True)} == whole
+
+
+def test_components_by_rounds(spark, monkeypatch):
+    from proofframe.llm import components as module
+
+    monkeypatch.setattr(module, "TASK_EDGES", 0)
+    edges = spark.createDataFrame([(5, 4), (4, 3), (9, 8), (3, 2), (2, 1), (8, 7), (1, 5)], "x long, y long")
+    assert rows(module.components(edges)) == [(1, 1), (2, 1), (3, 1), (4, 1), (5, 1), (7, 7), (8, 7), (9, 7)]
+
+
+def test_links_of_null_doc_ids_are_kept(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    data = [(None, text), (None, text), (5, text + " end"), (6, "other words here")]
+    got = rows(sigtree.JaccardJoin(3, Fraction(9, 10)).groups(spark.createDataFrame(data, "doc_id long, text string")))
+    assert sorted((r[0], r[2]) for r in got if r[0]) == [(5, 5), (6, 6)] and [r[2] for r in got if r[0] is None] == [5, 5]
+
+
+def plain_profile(text):
+    c = [1]
+    for ch in text + " ":
+        v = ord(ch.lower()[0]) + 1 if ch.isalpha() else 1
+        if v != 1 or c[-1] != 1:
+            c.append(v)
+    n = {}
+    if len(c) > 2:
+        for g in [(x,) for x in c if x != 1] + list(zip(c, c[1:], strict=False)) + [g for g in zip(c, c[1:], c[2:], strict=False) if g[1] != 1]:
+            key = 0
+            for x in g:
+                key = key << 21 | x
+            n[key] = n.get(key, 0) + 1
+    return sorted(n, key=lambda k: (-n[k], k))[: langid.PROFILE]
+
+
+def test_out_of_place_distance_is_the_plain_one():
+    r = random.Random(5)
+    texts = ["".join(r.choice("abc éÀ日本𝒜 .1 ") for _ in range(r.randint(0, 80))) for _ in range(200)]
+    profiles = {"x": plain_profile("abc cab ab é " * 3), "y": plain_profile("日本 𝒜b a " * 3)}
+    lang, _, distance = langid.Profiles(profiles).predict(texts)
+    for t, got, far in zip(texts, lang, distance, strict=True):
+        mine = plain_profile(t)
+        want = {k: sum(abs(p.index(g) - i) if g in p else langid.PROFILE for i, g in enumerate(mine)) for k, p in profiles.items()}
+        assert (got, far) == ("und", None) if not mine else got == min(want, key=lambda k: (want[k], k)) and abs(far - want[got] / langid.PROFILE / len(mine)) < 1e-12
+
+
+def test_string_kernel_is_plain_counting():
+    words = ["moron", "moroon", "idiot", "éa", "aaa"]
+    letters = toxicity.Letters("".join(sorted(set("".join(words)))))
+
+    def plain(w):
+        s, out = "<" + w + ">", {}
+        for i in range(len(s)):
+            for a, b in toxicity.STEPS:
+                if i + a + b < len(s):
+                    g = s[i] + s[i + a] + s[i + a + b]
+                    out[g] = out.get(g, 0) + toxicity.DECAY ** (a + b - 2)
+        return out
+
+    columns, weights = toxicity.feature_table(letters, words)
+    kernel = toxicity.kernel_rows(letters, words, columns, weights)
+    scale = toxicity.self_weight(np.array([len(w) + 2 for w in words]))
+    for i, x in enumerate(words):
+        for j, y in enumerate(words):
+            p, q = plain(x), plain(y)
+            assert abs(kernel[i, j] - sum(v * q.get(g, 0) for g, v in p.items()) / scale[i] / scale[j]) < 1e-5
+
+
+def test_clashing_names_are_kept(spark):
+    d = docs(spark).withColumns({c: F.lit("mine") for c in ("lang_pred", "distance", "decision", "__decision", "row", "base", "cand", "spans", "error", "payload")})
+    found = langid.identify(d, {}, *d.columns)
+    assert {r["lang_pred"] for r in found.collect()} == {"mine"} and {r["__lang_pred"] for r in found.collect()} == {"und"}
+    assert {r["row"] for r in toxicity.decisions(d, toxicity.Model(), "doc_id", "row", "decision").collect()} == {"mine"}
+    kept = pii.redacted(d)
+    assert kept.columns == d.columns and {r["spans"] for r in kept.collect()} == {"mine"}
+    media = mpegts.to_media(d).withColumn("error", F.lit("mine"))
+    assert {(r["error"], r["__error"]) for r in mpegts.from_media(media).collect()} == {("mine", None)}
+
+
+def test_em_finds_the_reliable_labelers():
+    counts = {}
+    r = random.Random(8)
+    for _ in range(4000):
+        true = r.random() < 0.4
+        votes = tuple(int(r.random() < (hit if true else false)) for hit, false in ((0.95, 0.02), (0.9, 0.05), (0.7, 0.3), (0.85, 0.1)))
+        counts["secret", *votes] = counts.get(("secret", *votes), 0) + 1
+    prior, rates = pii.estimate(counts)
+    assert abs(prior["secret"] - 0.4) < 0.05 and all(abs(a - b) < 0.06 for got, want in zip(rates, ((0.95, 0.02), (0.9, 0.05), (0.7, 0.3), (0.85, 0.1)), strict=True) for a, b in zip(got, want, strict=True))
+
+
+def test_pii_finds_assigned_secrets_and_many_matches(spark):
+    texts = ['x token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" y', "a plain text", "a@b.cc " * 3000, 'name = "nothing much here"']
+    got = {r["doc_id"]: r for r in pii.digests(docs(spark, texts)).collect()}
+    assert got[0]["spans"] == "secret:11:51" and [got[i]["n_spans"] for i in range(4)] == [1, 0, 3000, 0]
+    assert got[2]["spans"].split(",")[-1] == f"email:{7 * 2999}:{7 * 2999 + 6}"
+    assert pii.digests(docs(spark).limit(0)).collect() == []
