@@ -9,8 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A new path below the cluster's spark.checkpoint.dir; where that is unset, below one of this user's in /tmp."""
-    base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir() or f"/tmp/proofframe-{os.getuid()}-checkpoints"
+    """A new path below the cluster's spark.checkpoint.dir; where that is unset, on a local master only, below one of
+    this user's in /tmp: executors of a cluster couldn't see each other's."""
+    base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = f"/tmp/proofframe-{os.getuid()}-checkpoints"
     return f"{base}/{label}-{uuid.uuid4().hex}"
 
 
