@@ -349,6 +349,41 @@ def test_neighbours_have_high_recall(spark):
     assert ann.search(e.limit(0), e.limit(0)).collect() == []
 
 
+def test_neighbours_across_blocks(spark, monkeypatch):
+    """Many cells, one of them split for its copies; a repeated vec_id, clashing and extra columns, an odd length."""
+    monkeypatch.setattr(ann, "BLOCK", 200)
+    rng = np.random.default_rng(3)
+    v = rng.standard_normal((40, 32))[rng.integers(0, 40, 2400)] * 5 + rng.standard_normal((2400, 32))
+    v[800:1600] = v[800]
+    data = [(i, [float(c) for c in x], 0.0, 1) for i, x in enumerate(v)] + [(801, [float(c) for c in v[801]], 0.0, 2), (9000, [1.0] * 5, 0.0, 3)]
+    e = spark.createDataFrame(data, "vec_id long, embedding array<double>, score double, cell int").repartition(5)
+    got = ann.search(e, e.where("vec_id % 100 = 0"), k=10).collect()
+    hits = 0
+    for q in range(0, 2400, 100):
+        d = np.sqrt(((v - v[q]) ** 2).sum(1))
+        d[q] = np.inf
+        want = np.lexsort((np.arange(2400), d))[:10]
+        mine = sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == q)
+        assert [k for k, _, _ in mine] == list(range(1, 11)) and all(s == d[i] for _, i, s in mine)
+        hits += len(set(want.tolist()) & {i for _, i, _ in mine})
+        if 800 <= q < 1600:
+            assert [i for _, i, _ in mine] == [i for i in range(800, 812) if i != q][:10]
+    assert hits >= 0.9 * 240 and all(r["query_id"] < 2400 for r in got)
+
+
+def test_the_search_stops_early_and_keeps_a_bound():
+    rng = np.random.default_rng(5)
+    v = (rng.standard_normal((200, 64)) * 3)[rng.integers(0, 200, 8000)] + 0.2 * rng.standard_normal((8000, 64))
+    low = v @ ann.projection(64)
+    tree, seen = ann.KDTree(low), []
+    ids, d = ann.nearest(np.arange(8000), v, tree, 0, v[0], low[0], 10, seen=seen)
+    exact = np.sort(np.sqrt(((v - v[0]) ** 2).sum(1)))[1:11]
+    assert seen[0] < 800 and (d == exact).mean() >= 0.8
+    some, near = ann.nearest(np.arange(8000), v, tree, 0, v[0], low[0], 10, bound=float(d[4]), seen=seen)
+    assert seen[1] <= seen[0] and len(some) >= 4 and near.max() <= d[4]
+    assert abs(ann.chance_within(ann.REACH) - ann.CONFIDENCE) < 1e-9
+
+
 # further brute-force tests
 
 
