@@ -2,61 +2,95 @@
 
 from __future__ import annotations
 
-from decimal import Decimal
+from collections.abc import Callable
+from decimal import MAX_EMAX, MIN_EMIN, Context, Decimal
+from math import isfinite
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-INTEGER = r"^[+-]?(0|[1-9][0-9]*)$"
-DECIMAL = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
-ATTACHED_UNITS = ("%", "°", "x")
+WIDE = Context(prec=2_000, Emin=MIN_EMIN, Emax=MAX_EMAX)
+
+# Grammars of numbers in text, of cells, units written without a space, names of boolean styles.
+INTEGER = r"^-?(?:0|[1-9][0-9]*)\z"
+DECIMAL = r"^-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?\z"
+CELL_INTEGER = r"^[+-]?(?:0|[1-9][0-9]*)\z"
+CELL_FLOAT = r"(?i)^[+-]?(?:(?:[0-9]+\.[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?|[0-9]+e[+-]?[0-9]+|inf(?:inity)?|nan)\z"
+ATTACHED_UNITS = ("%", "°", "°C", "°F", "x")
+BOOLEAN_STYLES = {"pass_fail": ("Pass", "Fail"), "true_false": ("true", "false"), "yes_no": ("yes", "no")}
+FORM_VALUES = {"interval": (3, 3), "plus_minus": (2, 2), "range": (2, 2), "scalar": (1, 1), "text": (1, 1), "tuple": (2, 8)}
+
+
+def is_number(text: Column, kind: str) -> Column:
+    """Whether text is an integer or decimal by the closed grammar: no plus, no leading zeros, digits around the point."""
+    return text.rlike(INTEGER if kind == "integer" else DECIMAL)
 
 
 def parse(text: Column, kind: str) -> Column:
     """Text as decimal(38,18), null where it isn't an integer or decimal by the closed grammar."""
-    return F.when(text.rlike(INTEGER if kind == "integer" else DECIMAL), text.try_cast("decimal(38,18)"))
+    return F.when(is_number(text, kind), text.try_cast("decimal(38,18)"))
+
+
+def exactly(x: Column, write: Callable[[Decimal], str]) -> Column:
+    """write(value) of a number column, from a double's exact binary value; null for null, NaN and infinities.
+
+    The type is known when Spark plans, so only one of the two functions runs."""
+
+    @F.pandas_udf("string")
+    def doubles(s: pd.Series) -> pd.Series:
+        return s.map(lambda v: write(Decimal.from_float(float(v))) if isfinite(v) else None)
+
+    @F.pandas_udf("string")
+    def texts(s: pd.Series) -> pd.Series:
+        return s.map(lambda v: None if v is None else write(Decimal(v)))
+
+    return F.when(F.typeof(x).isin("double", "float"), doubles(x.cast("double"))).otherwise(texts(x.cast("string")))
 
 
 def scaled(x: Column, factor: str) -> Column:
     return x * F.lit(Decimal(factor))
 
 
-def fixed(x: Column, places: int) -> Column:
-    """Decimal text with that many places, rounded half to even; places above 0."""
-    return F.bround(x.cast("decimal(30,10)"), places).cast(f"decimal(30,{places})").cast("string")
+def half_even(x: Column, places: int) -> Column:
+    """x rounded half to even at a decimal place (tens: -1), as decimal(38, places); doubles by their exact value."""
+    kind = f"decimal(38,{max(places, 0)})"
+    text = exactly(x, lambda v: format(Decimal(round(v.scaleb(places, WIDE))).scaleb(-places, WIDE), "f"))
+    return F.when(F.typeof(x).isin("double", "float"), text.cast(kind)).otherwise(F.bround(x, places).cast(kind))
+
 
+def fixed(x: Column, places: int) -> Column:
+    """Decimal text with that many places, rounded half to even, doubles by their exact value; no sign before a zero."""
+    def write(v: Decimal) -> str:
+        text = format(v, f".{places}f")
+        return text if text.strip("-0.") else text.lstrip("-")
 
-def significant_exponent(x: Column) -> Column:
-    return F.floor(F.log10(F.abs(x).cast("double")))
+    inner = F.bround(x, places).cast(f"decimal(38,{places})").cast("string")
+    return F.when(F.typeof(x).isin("double", "float"), exactly(x, write)).otherwise(inner)
 
 
-def significant(x: Column, digits: int, most: int = 12) -> Column:
-    """Text with that many significant figures, rounded half to even, zeros kept; null beyond most places either way.
+def significant(x: Column, digits: int) -> Column:
+    """Text with that many significant figures, rounded half to even on the exact value, zeros kept, of any size.
 
     Where rounding carries into a further figure (9.996 to 10.0), places follow the rounded value."""
 
-    def at(places: Column, text: bool) -> Column:
-        x10 = x.cast("decimal(30,10)")
-        out = F.lit(None)
-        for p in range(-most, min(most, 9) + 1):
-            r = F.bround(x10, p)
-            out = F.when(places == p, r.cast(f"decimal(30,{max(p, 0)})").cast("string") if text else r.cast("double")).otherwise(out)
-        return out
+    def write(v: Decimal) -> str:
+        if not v:
+            return format(Decimal(0), f".{digits - 1}f")
+        rounded = Decimal(format(v, f".{digits - 1}e"))
+        return format(rounded, f".{max(digits - 1 - rounded.adjusted(), 0)}f")
 
-    places = digits - 1 - significant_exponent(x)
-    carried = digits - 1 - significant_exponent(at(places, text=False))
-    return F.when(x == 0, fixed(x, digits - 1)).otherwise(at(carried, text=True))
+    return exactly(x, write)
 
 
 def scientific(x: Column, digits: int) -> Column:
-    """c e x with that many digits, carried where rounding reaches ten."""
-    e = significant_exponent(x)
-    c = F.bround((x.cast("double") / F.pow(F.lit(10.0), e)).cast("decimal(30,15)"), digits - 1)
-    carry = F.abs(c) >= 10
-    c = F.when(carry, F.bround(c / 10, digits - 1)).otherwise(c).cast(f"decimal(30,{digits - 1})")
-    e = F.when(carry, e + 1).otherwise(e)
-    return F.when(x == 0, F.lit("0")).otherwise(F.concat(c.cast("string"), F.lit("e"), e.cast("string")))
+    """c e x with that many digits, rounded half to even on the exact value, carried where rounding reaches ten."""
+
+    def write(v: Decimal) -> str:
+        c, e = format(v if v else Decimal(0), f".{digits - 1}e").split("e")
+        return f"{c}e{int(e) if v else 0}"
+
+    return exactly(x, write)
 
 
 def grouped(x: Column) -> Column:
@@ -73,46 +107,53 @@ def percentage(x: Column, places: int = 1) -> Column:
 
 
 def boolean(x: Column, style: str) -> Column:
-    yes, no = style.split("/")
+    yes, no = BOOLEAN_STYLES[style]
     return F.when(x, yes).when(~x, no)
 
 
+def suffix(unit: str | None) -> str:
+    return "" if not unit else unit if unit in ATTACHED_UNITS else f" {unit}"
+
+
 def with_unit(text: Column, unit: str) -> Column:
-    return F.concat(text, F.lit(unit if unit in ATTACHED_UNITS else f" {unit}"))
-
-
-def forms(values: list[Column], form: str, unit: str = "") -> Column:
-    """Accepted spellings of a composite value."""
-    u = F.lit(unit if unit in ATTACHED_UNITS or not unit else f" {unit}")
-    a, b, c = [*values, *values[-1:] * 2][:3]
-    if form == "scalar":
-        return F.array(F.concat(a, u))
-    if form == "range":
-        return F.array(F.concat(a, F.lit("–"), b, u))
-    if form == "plus_minus":
-        return F.array(F.concat(a, F.lit(" +/- "), b, u), F.concat(a, F.lit(" ± "), b, u))
-    if form == "interval":
-        return F.array(F.concat(a, F.lit(" ["), b, F.lit(", "), c, F.lit("]"), u))
-    if form == "tuple":
-        return F.array(F.concat(F.lit("("), F.concat_ws(", ", *values), F.lit(")"), u))
-    raise ValueError(form)
+    return F.concat(text, F.lit(suffix(unit)))
+
+
+def forms(values: list[Column], form: str, unit: str | None = None) -> Column:
+    """Accepted spellings of a composite value; ValueError for a form that doesn't take so many values."""
+    least, most = FORM_VALUES.get(form, (1, 0))
+    if not least <= len(values) <= most:
+        raise ValueError(f"{form} of {len(values)} values")
+    one = values[0]
+    spelled = {
+        "range": lambda: [F.concat(one, F.lit("–"), values[1])],
+        "plus_minus": lambda: [F.concat(one, F.lit(sign), values[1]) for sign in (" ± ", " +/- ")],
+        "interval": lambda: [F.concat(one, F.lit(" ["), F.concat_ws(", ", *values[1:]), F.lit("]"))],
+        "tuple": lambda: [F.concat(F.lit("("), F.concat_ws(", ", *values), F.lit(")"))],
+    }.get(form, lambda: [one])()
+    return F.array(*(F.concat(text, F.lit(suffix(unit))) for text in spelled))
 
 
 def cell_type(text: Column) -> Column:
+    """Type of a delimited cell: empty (and null) ones are null, leading zeros make text, inf and nan are floats."""
     return (
         F.when(text.isNull() | (text == ""), "null")
         .when(F.lower(text).isin("true", "false"), "boolean")
-        .when(text.rlike(r"^[+-]?[0-9]+$"), "integer")
-        .when(text.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), "float")
+        .when(text.rlike(CELL_INTEGER), "integer")
+        .when(text.rlike(CELL_FLOAT), "float")
         .otherwise("text")
     )
 
 
 def numeric_expression(token: Column) -> Column:
-    """Whether a token presents a number: it starts as one and isn't a date, an address, a hash or an assignment."""
-    starts = token.rlike(r"^[+-]?[0-9]")
-    other = token.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}") | token.rlike(r"^[0-9a-f]{32,}$") | token.rlike(r"^[0-9]+(\.[0-9]+){2,}") | token.contains("=") | token.contains("@")
-    return starts & ~other
+    """Whether a token presents a number: it starts as one, after brackets and signs of comparison, and isn't a date, an
+    option, a pH, an assignment, a hash or a UUID."""
+    text = F.regexp_replace(token, r"^\s+|\s+$", "")
+    other = [r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$", "^--", r"(?i)^[0-9]+\s*PH(?:\b|$)", r"[A-Za-z_][A-Za-z0-9_.-]*\s*=", "^[0-9a-fA-F]{12,}$", "^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"]
+    holds = text.rlike(r"(?:^|[^A-Za-z0-9_])[-+]?(?:[0-9]|\.[0-9])") & text.rlike(r"^[\s~≈<>≤≥(\[{]*[-+]?(?:[0-9]|\.[0-9])")
+    for pattern in other:
+        holds = holds & ~text.rlike(pattern)
+    return holds
 
 
 def preview(text: Column, n: int = 1024) -> Column:
@@ -126,8 +167,4 @@ def canonical_json(pairs: dict[str, Column]) -> Column:
 
 def exact_float(x: Column) -> Column:
     """The exact decimal expansion of a double, as text; null for null, NaN and infinities."""
-    @F.pandas_udf("string")
-    def expand(s: pd.Series) -> pd.Series:
-        return s.map(lambda v: None if v is None or v != v or abs(v) == float("inf") else format(Decimal.from_float(v), "f"))
-
-    return expand(x)
+    return exactly(x, lambda v: format(v, "f"))

@@ -27,13 +27,14 @@ def fn_scale(t: Tables) -> DataFrame:
 
 @query("""select l_orderkey, l_partkey, l_suppkey, l_linenumber, cast(round_even(cast(l_extendedprice * 100 as decimal(20,0)) / 1000, 0) as bigint) v from lineitem""")
 def fn_round_half_even(t: Tables) -> DataFrame:
-    tens = F.bround((F.col("l_extendedprice") * 100).cast("decimal(20,0)") / 1000, 0)
+    tens = r.half_even(F.col("l_extendedprice"), -1).cast("long") / 10
     return t("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", tens.cast("long").alias("v"))
 
 
-@query("""select p_partkey, cast(cast(p_retailprice as decimal(20,2)) as varchar) v from part""")
+@query("""select p_partkey, format('{:.2f}', p_retailprice / 2) v from part""")
 def fn_fixed(t: Tables) -> DataFrame:
-    return t("part").select("p_partkey", r.fixed(F.col("p_retailprice"), 2).alias("v"))
+    """Halves of cents: ties as printed, but mostly not in binary."""
+    return t("part").select("p_partkey", r.fixed(F.col("p_retailprice") / 2, 2).alias("v"))
 
 
 @query("""select p_partkey, cast(case when p_retailprice >= 999.5 then cast(round_even(cast(p_retailprice as decimal(20,2)) / 10, 0) as bigint) * 10 else cast(round_even(cast(p_retailprice as decimal(20,2)), 0) as bigint) end as varchar) v from part""")
@@ -41,9 +42,9 @@ def fn_significant(t: Tables) -> DataFrame:
     return t("part").select("p_partkey", r.significant(F.col("p_retailprice"), 3).alias("v"))
 
 
-@query("""select r_regionkey, case when r_regionkey = 0 then '0' else cast(r_regionkey as varchar) || '.00e0' end v from region""")
+@query(r"""select o_orderkey, replace(regexp_replace(format('{:.2e}', o_totalprice), 'e\+0?', 'e'), 'e-0', 'e-') v from orders""")
 def fn_scientific(t: Tables) -> DataFrame:
-    return t("region").select("r_regionkey", r.scientific(F.col("r_regionkey").cast("decimal(20,4)"), 3).alias("v"))
+    return t("orders").select("o_orderkey", r.scientific(F.col("o_totalprice"), 3).alias("v"))
 
 
 @query("""select o_orderkey, format('{:,}', o_custkey * 1000) v from orders""")
@@ -61,24 +62,25 @@ def fn_percentage(t: Tables) -> DataFrame:
     return t("lineitem").groupBy(r.percentage(F.col("l_discount")).alias("v")).agg(F.count("*").alias("n"))
 
 
-@query("""select doc_id, case when quality = 1 then 'pass' else 'fail' end a, case when toxic = 1 then 'yes' else 'no' end b from labels""")
+@query("""select doc_id, case when quality = 1 then 'Pass' else 'Fail' end a, case when toxic = 1 then 'yes' else 'no' end b from labels""")
 def fn_boolean_style(t: Tables) -> DataFrame:
-    return t("labels").select("doc_id", r.boolean(F.col("quality") == 1, "pass/fail").alias("a"), r.boolean(F.col("toxic") == 1, "yes/no").alias("b"))
+    return t("labels").select("doc_id", r.boolean(F.col("quality") == 1, "pass_fail").alias("a"), r.boolean(F.col("toxic") == 1, "yes_no").alias("b"))
 
 
-@query("""select p_partkey, p_size || ' mm' a, p_size || '%' b from part""")
+@query("""select p_partkey, p_size || ' mm' a, p_size || '%' b, p_size || '°C' c from part""")
 def fn_unit(t: Tables) -> DataFrame:
     size = F.col("p_size").cast("string")
-    return t("part").select("p_partkey", r.with_unit(size, "mm").alias("a"), r.with_unit(size, "%").alias("b"))
+    return t("part").select("p_partkey", r.with_unit(size, "mm").alias("a"), r.with_unit(size, "%").alias("b"), r.with_unit(size, "°C").alias("c"))
 
 
 @query("""with s as (select p_brand, cast(cast(min(p_retailprice) as decimal(20,2)) as varchar) a, cast(cast(max(p_retailprice) as decimal(20,2)) as varchar) b from part group by 1)
-select p_brand, a || '–' || b spelled_range, a || ' ± ' || b spelled_pm, a || ' [' || a || ', ' || b || '] USD' spelled_interval, '(' || a || ', ' || b || ')' spelled_tuple from s""")
+select p_brand, a || '–' || b spelled_range, a || ' ± ' || b spelled_pm, a || ' +/- ' || b spelled_pm_ascii, a || ' [' || a || ', ' || b || '] USD' spelled_interval, '(' || a || ', ' || b || ')' spelled_tuple from s""")
 def fn_forms(t: Tables) -> DataFrame:
     s = t("part").groupBy("p_brand").agg(r.fixed(F.min("p_retailprice"), 2).alias("a"), r.fixed(F.max("p_retailprice"), 2).alias("b"))
     a, b = F.col("a"), F.col("b")
     return s.select(
-        "p_brand", r.forms([a, b], "range")[0].alias("spelled_range"), r.forms([a, b], "plus_minus")[1].alias("spelled_pm"),
+        "p_brand", r.forms([a, b], "range")[0].alias("spelled_range"), r.forms([a, b], "plus_minus")[0].alias("spelled_pm"),
+        r.forms([a, b], "plus_minus")[1].alias("spelled_pm_ascii"),
         r.forms([a, a, b], "interval", "USD")[0].alias("spelled_interval"), r.forms([a, b], "tuple")[0].alias("spelled_tuple"),
     )
 
@@ -110,14 +112,16 @@ def fn_sha256(t: Tables) -> DataFrame:
 
 
 @query(r"""with w as (select doc_id, unnest(string_split(text, ' ')) w from documents where doc_id is not null)
-select case when w = '' then 'null' when lower(w) in ('true', 'false') then 'boolean' when regexp_matches(w, '^[+-]?[0-9]+$') then 'integer' when regexp_matches(w, '^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$') then 'float' else 'text' end kind, count(*) n from w group by 1""")
+select case when w = '' then 'null' when lower(w) in ('true', 'false') then 'boolean' when regexp_matches(w, '^[+-]?(0|[1-9][0-9]*)$') then 'integer' when regexp_matches(w, '(?i)^[+-]?(([0-9]+\.[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?|[0-9]+e[+-]?[0-9]+|inf(inity)?|nan)$') then 'float' else 'text' end kind, count(*) n from w group by 1""")
 def fn_infer_type(t: Tables) -> DataFrame:
     words = t("documents").where("text is not null").select(F.explode(F.split("text", " ")).alias("w"))
     return words.groupBy(r.cell_type(F.col("w")).alias("kind")).agg(F.count("*").alias("n"))
 
 
 @query(r"""with w as (select unnest(string_split(text, ' ')) w from documents)
-select w token, count(*) n from w where regexp_matches(w, '^[+-]?[0-9]') and not regexp_matches(w, '^[0-9]{4}-[0-9]{2}-[0-9]{2}') and not regexp_matches(w, '^[0-9a-f]{32,}$') and not regexp_matches(w, '^[0-9]+(\.[0-9]+){2,}') and not contains(w, '=') and not contains(w, '@') group by 1""")
+select w token, count(*) n from (select w, regexp_replace(w, '^\s+|\s+$', '', 'g') x from w)
+where regexp_matches(x, '(^|[^A-Za-z0-9_])[-+]?([0-9]|\.[0-9])') and regexp_matches(x, '^[\s~≈<>≤≥(\[{]*[-+]?([0-9]|\.[0-9])') and not regexp_matches(x, '^[0-9]{4}-[0-9]{2}-[0-9]{2}$') and not regexp_matches(x, '^--') and not regexp_matches(x, '(?i)^[0-9]+\s*PH(\b|$)')
+and not regexp_matches(x, '[A-Za-z_][A-Za-z0-9_.-]*\s*=') and not regexp_matches(x, '^[0-9a-fA-F]{12,}$') and not regexp_matches(x, '^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$') group by 1""")
 def fn_numeric_expression(t: Tables) -> DataFrame:
     words = t("documents").select(F.explode(F.split("text", " ")).alias("token"))
     return words.where(r.numeric_expression(F.col("token"))).groupBy("token").agg(F.count("*").alias("n"))

@@ -40,10 +40,10 @@ def where_all_checked(t: Tables) -> DataFrame:
 
 
 @query(r"""with w as (select conv_id, turn, unnest(string_split(text, ' ')) w from conversations)
-select conv_id, turn, count(*) words, count(case when regexp_matches(w, '^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$') then 1 end) numbers from w group by 1, 2""")
+select conv_id, turn, count(*) words, count(case when regexp_matches(w, '^-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?$') then 1 end) numbers from w group by 1, 2""")
 def parse_guarded(t: Tables) -> DataFrame:
     words = t("conversations").select("conv_id", "turn", F.explode(F.split("text", " ")).alias("w"))
-    return words.groupBy("conv_id", "turn").agg(F.count("*").alias("words"), F.count(render.parse(F.col("w"), "decimal")).alias("numbers"))
+    return words.groupBy("conv_id", "turn").agg(F.count("*").alias("words"), F.count_if(render.is_number(F.col("w"), "decimal")).alias("numbers"))
 
 
 @query("""select s_suppkey record, 's_name' field, s_name "value" from supplier union all select s_suppkey, 's_nationkey', cast(s_nationkey as varchar) from supplier""")

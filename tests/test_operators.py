@@ -46,7 +46,32 @@ def test_rendering(spark):
     some = spark.createDataFrame([(9.996,), (0.012345,), (123456.0,), (0.0,)], "v double")
     assert [r[0] for r in some.select(render.significant(F.col("v"), 3)).collect()] == ["10.0", "0.0123", "123000", "0.00"]
     spelled = spark.sql("select 1 x").select(render.forms([F.lit("1.300"), F.lit("0.010")], "plus_minus")).first()[0]
-    assert spelled[0] == "1.300 +/- 0.010"
+    assert spelled == ["1.300 ± 0.010", "1.300 +/- 0.010"]
+
+
+def test_rendering_by_exact_value(spark):
+    """Doubles by their binary value, decimals by their digits; any size; no sign before a zero."""
+    df = spark.createDataFrame([(2.675, -0.001, 1e300, 25.0), (float("nan"), None, 5e-324, -35.0)], "a double, b double, c double, d double")
+    got = df.select(*(render.fixed(F.col(c), 2) for c in "ab"), render.significant(F.col("c"), 2), render.scientific(F.col("c"), 17), render.half_even(F.col("d"), -1)).collect()
+    assert tuple(got[0])[:2] == ("2.67", "0.00") and got[0][2] == "1" + "0" * 300 and got[0][3] == "1.0000000000000001e300" and got[0][4] == 20
+    assert tuple(got[1])[:2] == (None, None) and got[1][2] == "0." + "0" * 323 + "49" and got[1][3] == "4.9406564584124654e-324" and got[1][4] == -40
+    exact = spark.sql("select cast(12345678901234567890.12345 as decimal(38,5)) v, cast(0 as decimal(5,2)) z")
+    got = exact.select(render.fixed(F.col("v"), 2), render.scientific(F.col("v"), 20), render.scientific(F.col("z"), 3), render.significant(F.col("z"), 3)).first()
+    assert tuple(got) == ("12345678901234567890.12", "1.2345678901234567890e19", "0.00e0", "0.00")
+
+
+def test_closed_grammars(spark):
+    words = "7 007 +7 -7 -0 1.5 .5 5. 1e5 1E-05 inf NaN true x 2024-01-01 --7 (≈5) k=5 7pH 0123456789ab 5%".split()
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    w = F.col("w")
+    got = {r[0]: r[1:] for r in df.select(w, render.is_number(w, "integer"), render.is_number(w, "decimal"), render.cell_type(w), render.numeric_expression(w)).collect()}
+    assert {x for x in words if got[x][0]} == {"7", "-7", "-0"}
+    assert {x for x in words if got[x][1]} == {"7", "-7", "-0", "1.5", "1e5", "1E-05"}
+    assert {x for x in words if got[x][2] == "integer"} == {"7", "+7", "-7", "-0"}
+    assert {x for x in words if got[x][2] == "float"} == {"1.5", ".5", "5.", "1e5", "1E-05", "inf", "NaN"} and got["007"][2] == "text"
+    assert {x for x in words if got[x][3]} == {"7", "007", "+7", "-7", "-0", "1.5", ".5", "5.", "1e5", "1E-05", "(≈5)", "5%"}
+    with pytest.raises(ValueError):
+        render.forms([w], "tuple")
 
 
 def test_exact_float(spark):
@@ -97,3 +122,8 @@ def test_slots_are_replaced_alone(spark):
     sinks.publish_slots(df, path)
     sinks.publish_slots(df.where("slot = 'b'").withColumn("v", F.lit(9)), path)
     assert rows(spark.read.parquet(path)) == [(1, "a"), (9, "b")]
+
+
+def test_rendering_of_decimals_runs_no_python(spark, capsys):
+    spark.range(3).select(render.fixed(F.col("id").cast("decimal(10,3)"), 2), render.half_even(F.col("id"), -1)).explain()
+    assert "Python" not in capsys.readouterr().out
