@@ -23,6 +23,21 @@ def within(a: Column, b: Column, tolerance: str) -> Column:
     return F.abs(a.cast("decimal(30,10)") - b.cast("decimal(30,10)")) <= F.lit(Decimal(tolerance))
 
 
+def bytes_diff(a: Column, b: Column, block: int = 512) -> Column:
+    """Whether two texts or binaries are equal, their sizes in bytes, and the offset of the first byte that differs: null
+    where sizes differ, which is told first, or where all are equal. Null is equal to null alone.
+
+    The first block that differs is found by slices, then the byte in it."""
+    a, b = (x.cast("binary") for x in (a, b))
+    part = lambda x, at, n: F.substr(x, at + 1, F.lit(n))
+    starts = F.sequence(F.lit(0), F.octet_length(a), F.lit(block))
+    at = F.filter(starts, lambda i: part(a, i, block) != part(b, i, block))[0]
+    byte = F.filter(F.sequence(at, at + block - 1), lambda i: part(a, i, 1) != part(b, i, 1))[0]
+    equal = a.eqNullSafe(b)
+    first = F.when(~equal & (F.octet_length(a) == F.octet_length(b)), byte)
+    return F.struct(equal.alias("equal"), *(F.octet_length(x).cast("long").alias(n) for x, n in ((a, "a_bytes"), (b, "b_bytes"))), first.cast("long").alias("first"))
+
+
 def full(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """left and right, full outer by keys, as struct columns a and b (null where missing)."""
     a = left.select(*keys, F.struct(*left.columns).alias("a"))

@@ -135,22 +135,11 @@ def first_after_flip(t: Tables) -> DataFrame:
     return c.where("role = 'user' and p = 'assistant'").groupBy("conv_id").agg(F.min("turn").alias("turn"))
 
 
-@query(r"""with l as (select doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) line_no from documents where doc_id % 10 = 3)
-select doc_id, line_no::bigint line_no, last_value(case when regexp_matches(line, '^[A-Z][^ ]*\.') then left(line, 12) end ignore nulls) over (partition by doc_id order by line_no) section from l""")
-def section_of_line(t: Tables) -> DataFrame:
-    """The tenth of the documents that its SQL names; section_of_line_whole reads all."""
-    return sections(t("documents").where("doc_id % 10 = 3"))
-
-
 @query(r"""with l as (select doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) line_no from documents)
 select doc_id, line_no::bigint line_no, last_value(case when regexp_matches(line, '^[A-Z][^ ]*\.') then left(line, 12) end ignore nulls) over (partition by doc_id order by line_no) section from l""")
-def section_of_line_whole(t: Tables) -> DataFrame:
-    return sections(t("documents"))
-
-
-def sections(docs: DataFrame) -> DataFrame:
+def section_of_line(t: Tables) -> DataFrame:
     """Every line of documents with the last heading up to it."""
-    lines = files.lines(docs, "text", "doc_id")
+    lines = files.lines(t("documents"), "text", "doc_id")
     head = F.when(F.col("line").rlike(r"^[A-Z][^ ]*\."), F.left("line", F.lit(12)))
     w = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     return lines.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.last(head, ignorenulls=True).over(w).alias("section"))

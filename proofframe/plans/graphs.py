@@ -219,22 +219,12 @@ def path_ambiguities(t: Tables) -> DataFrame:
     return forward.select("node").intersect(backward.select("node")).where(~F.col("node").startswith("customer:"))
 
 
-@query("""select 'customer:' || c_custkey target, 'region:' || n_regionkey holder from customer join nation on n_nationkey = c_nationkey where c_custkey % 10 = 3""")
-def holders_of_target(t: Tables) -> DataFrame:
-    """The tenth of the customers that its SQL names; holders_of_target_whole traces all."""
-    return holders(t, t("customer").where("c_custkey % 10 = 3"))
-
-
 @query("""select 'customer:' || c_custkey target, 'region:' || n_regionkey holder from customer join nation on n_nationkey = c_nationkey""")
-def holders_of_target_whole(t: Tables) -> DataFrame:
-    return holders(t, t("customer"))
-
-
-def holders(t: Tables, customers: DataFrame) -> DataFrame:
+def holders_of_target(t: Tables) -> DataFrame:
     """Regions above customers."""
     e = foreign_keys(t).where(F.col("dst").rlike("^(nation|customer):"))
     name = F.concat(F.lit("customer:"), F.col("c_custkey").cast("string"))
-    up = reach(customers.select(name.alias("target"), name.alias("node")), e.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ("target",))
+    up = reach(t("customer").select(name.alias("target"), name.alias("node")), e.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ("target",))
     return up.where(F.col("node").startswith("region:")).select("target", F.col("node").alias("holder"))
 
 

@@ -195,22 +195,9 @@ def mismatched_fields(t: Tables) -> DataFrame:
     return both.select("o_orderkey", fields.alias("fields")).where(F.size("fields") > 0)
 
 
-@query("""with b as (select s_suppkey blocker, s_nationkey k, case when s_suppkey % 10 = 0 then 'log' when s_suppkey % 10 < 4 then 'entry' else 'node' end scope from supplier where s_suppkey <= 40)
-select distinct c_custkey, blocker from customer join b on scope = 'log' or (scope = 'entry' and c_nationkey = k) or (scope = 'node' and c_custkey = blocker)""")
+@query("""with b as (select s_suppkey blocker, s_nationkey k, case when s_suppkey % 10 = 0 then 'log' when s_suppkey % 10 < 4 then 'entry' else 'node' end scope from supplier)
+select blocker, scope, case when scope = 'entry' then k end c_nationkey, case when scope = 'node' then blocker end c_custkey, count(*) customers from customer join b on scope = 'log' or (scope = 'entry' and c_nationkey = k) or (scope = 'node' and c_custkey = blocker) group by all""")
 def attach_scoped(t: Tables) -> DataFrame:
-    """The pairs of the 40 blockers that its SQL names; attach_scoped_whole has all blockers, by class."""
-    scope = F.when(F.col("s_suppkey") % 10 == 0, "log").when(F.col("s_suppkey") % 10 < 4, "entry").otherwise("node")
-    b = t("supplier").where("s_suppkey <= 40").select(F.col("s_suppkey").alias("blocker"), F.col("s_nationkey").alias("c_nationkey"), scope.alias("scope"))
-    c = t("customer").select("c_custkey", "c_nationkey")
-    wide = b.where("scope = 'log'").agg(F.collect_set("blocker").alias("all"))  # at most the rows of the fixed range
-    log = c.join(F.broadcast(wide)).select("c_custkey", F.explode("all").alias("blocker"))
-    entry = c.join(b.where("scope = 'entry'"), "c_nationkey").select("c_custkey", "blocker")
-    node = c.join(b.where("scope = 'node'").select(F.col("blocker").alias("c_custkey"), "blocker"), "c_custkey").select("c_custkey", "blocker")
-    return log.unionByName(entry).unionByName(node).distinct()
-
-
-@query()
-def attach_scoped_whole(t: Tables) -> DataFrame:
     """All blockers that reach a customer, one row each: whom they block (log: everyone, entry: the customers of
     c_nationkey, node: c_custkey) and how many those are. Pairs would be customers x blockers."""
     k = F.col("s_suppkey") % 10

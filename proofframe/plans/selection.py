@@ -63,19 +63,10 @@ def value_properties(t: Tables) -> DataFrame:
     return t("embeddings").select("vec_id", F.size("embedding").cast("long").alias("size"), F.typeof("embedding").alias("dtype"))
 
 
-@query("""select vec_id, i - 1 pos, i * 10 idx, cast(embedding[i] as double) v from embeddings, range(1, 65) r(i) where vec_id < 50 and len(embedding) = 64""")
-def align_arrays(t: Tables) -> DataFrame:
-    """The 50 vectors that its SQL names; align_arrays_whole takes all."""
-    return aligned(t("embeddings").where("vec_id < 50"))
-
-
 @query("""select vec_id, i - 1 pos, i * 10 idx, cast(embedding[i] as double) v from embeddings, range(1, 65) r(i) where len(embedding) = 64""")
-def align_arrays_whole(t: Tables) -> DataFrame:
-    return aligned(t("embeddings"))
-
-
-def aligned(e: DataFrame) -> DataFrame:
+def align_arrays(t: Tables) -> DataFrame:
     """Components of vectors beside an index array, where both are of one length."""
+    e = t("embeddings")
     e = e.withColumn("idx", F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: i * 10))
     e = e.where(F.size("idx") == F.size("embedding")).select("vec_id", F.posexplode(F.arrays_zip("idx", "embedding")).alias("pos", "z"))
     return e.select("vec_id", F.col("pos").cast("long").alias("pos"), F.col("z.idx").cast("long").alias("idx"), F.col("z.embedding").cast("double").alias("v"))

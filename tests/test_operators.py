@@ -33,6 +33,14 @@ def test_array_diff_keeps_the_sign_of_zero(spark):
     assert [r[0] for r in df.select(compare.array_diff(F.col("a"), F.col("b"))["first"]).collect()] == [1, -1]
 
 
+def test_bytes_diff_tells_sizes_first_and_bytes_not_characters(spark):
+    long = "é" * 700
+    data = [("aéb", "aéc"), ("ab", "abc"), ("x", "x"), (None, ""), (None, None), (long + "p", long + "q"), ("z" * 512, "z" * 511 + "y"), ("", "")]
+    df = spark.createDataFrame(data, "a string, b string")
+    got = [tuple(r[0]) for r in df.select(compare.bytes_diff(F.col("a"), F.col("b"))).collect()]
+    assert got == [(False, 4, 4, 3), (False, 2, 3, None), (True, 1, 1, None), (False, None, 0, None), (True, None, None, None), (False, 1401, 1401, 1400), (False, 512, 512, 511), (True, 0, 0, None)]
+
+
 def test_cell_diff_of_lone_rows(spark):
     a = spark.createDataFrame([(1, "x"), (2, "y")], "k int, v string")
     b = spark.createDataFrame([(1, "z"), (3, "y")], "k int, v string")
