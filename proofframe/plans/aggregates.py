@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..operators import compare
 from ..operators.fixpoint import levels
+from ..operators.order import ranked, running
 from ..registry import Tables, query
 from ..sources import files
 from .joins import PERTURBED
@@ -174,21 +175,17 @@ def peak_and_last(t: Tables) -> DataFrame:
 
 @query("""select source, doc_id, bytes from (select source, doc_id, sum(strlen(text)) over (partition by source order by doc_id)::bigint bytes from documents) where bytes <= 16384""")
 def page_by_bytes(t: Tables) -> DataFrame:
-    w = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    return t("documents").select("source", "doc_id", F.sum(F.octet_length("text")).over(w).alias("bytes")).where("bytes <= 16384")
+    """The leading documents of each source, as far as their texts stay within the budget."""
+    rows = t("documents").select("source", "doc_id", F.octet_length("text").cast("long").alias("size"))
+    paged = running(rows, ["source"], [F.col("doc_id")], F.col("size"), "bytes")
+    return paged.where("bytes <= 16384").select("source", "doc_id", "bytes")
 
 
 @query("""select conv_id, turn, row_number() over (order by conv_id, turn) - 1 seq from conversations""")
 def global_sequence(t: Tables) -> DataFrame:
-    """Ranks inside each conversation, on top of the sizes of all earlier ones by a two-level sum over buckets of ids."""
-    c = t("conversations").select("conv_id", "turn")
-    size = c.groupBy("conv_id").agg(F.count("*").alias("n")).withColumn("bucket", F.floor(F.col("conv_id") / 1024))
-    upper = size.groupBy("bucket").agg(F.sum("n").alias("n"))  # a row for 1024 conversations
-    upper = upper.select("bucket", F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    inner = Window.partitionBy("bucket").orderBy("conv_id").rowsBetween(Window.unboundedPreceding, -1)
-    at = size.withColumn("own", F.coalesce(F.sum("n").over(inner), F.lit(0))).join(upper, "bucket").select("conv_id", (F.col("own") + F.col("base")).alias("base"))
-    rank = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1
-    return c.withColumn("rank", rank).join(at, "conv_id").select("conv_id", "turn", (F.col("base") + F.col("rank")).alias("seq"))
+    """Turns of all conversations numbered in one order."""
+    c = ranked(t("conversations").select("conv_id", "turn"), [F.col("conv_id"), F.col("turn")], "seq")
+    return c.select("conv_id", "turn", (F.col("seq") - 1).alias("seq"))
 
 
 @query("""select o_orderkey from orders where o_orderkey > 500 order by 1 limit 101""")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import compare
+from ..operators.order import running
 from ..registry import Tables, query
 from ..sources import sinks
 from ..storage import shared_path
@@ -98,9 +99,10 @@ def upsert_latest(t: Tables) -> DataFrame:
 
 @query("""select p_brand, p_partkey, bytes from (select p_brand, p_partkey, sum(strlen('{"name":"' || p_name || '","partkey":' || p_partkey || '}') + 1) over (partition by p_brand order by p_partkey)::bigint bytes from part) where bytes <= 1024""")
 def capped_json_rows(t: Tables) -> DataFrame:
+    """Parts as JSON rows, each brand's as far as its rows stay within the limit."""
     line = F.to_json(F.struct(F.col("p_name").alias("name"), F.col("p_partkey").alias("partkey")))
-    w = Window.partitionBy("p_brand").orderBy("p_partkey").rowsBetween(Window.unboundedPreceding, 0)
-    return t("part").select("p_brand", "p_partkey", F.sum(F.octet_length(line) + 1).over(w).alias("bytes")).where("bytes <= 1024")
+    rows = t("part").select("p_brand", "p_partkey", (F.octet_length(line) + 1).cast("long").alias("size"))
+    return running(rows, ["p_brand"], [F.col("p_partkey")], F.col("size"), "bytes").where("bytes <= 1024").select("p_brand", "p_partkey", "bytes")
 
 
 @query("""select '| ' || coalesce(r_name, 'total') || ' | ' || n || ' |' line from (select r_name, count(*) n from region join nation on n_regionkey = r_regionkey group by rollup (r_name))""")
