@@ -39,3 +39,43 @@ fits as (
 select c.page_id, c.host, c.path, f.rule, coalesce(f.action, 'allow') as verdict
 from cut c left join fits f on f.page_id = c.page_id and f.k = 1
 """
+
+
+def clusters(k: int = 40, rounds: int = 5, dim: int = 64, scale: int = 256, seed: int = 2) -> str:
+    """Every distance from every vector to every centroid, round after round."""
+    parts = [
+        f"kept as materialized (select row_number() over () r, vec_id, sha256('{seed}:' || vec_id) h, list_transform(embedding, lambda e: cast(floor({scale} * cast(e as double)) as bigint)) v from embeddings where len(embedding) = {dim} and len(list_filter(embedding, lambda e: isfinite(e))) = {dim})",
+        f"x as materialized (select r, i, v[i] x from (select r, v, unnest(range(1, {dim + 1})) i from kept))",
+        f"c0 as materialized (select c, i, v[i] x from (select c, v, unnest(range(1, {dim + 1})) i from (select row_number() over (order by h, v) - 1 c, v from kept where vec_id is not null qualify c < {k})))",
+    ]
+    for n in range(rounds + 1):
+        parts.append(f"a{n} as materialized (select r, arg_min(c, d * {k} + c) c, min(d) d from (select x.r, c.c, sum((x.x - c.x) * (x.x - c.x)) d from x join c{n} c on c.i = x.i group by 1, 2) group by 1)")
+        if n < rounds:
+            mean = "(sum(x.x) - ((sum(x.x) % count(*)) + count(*)) % count(*)) // count(*)"
+            new = f"select a.c, x.i, {mean} x from x join a{n} a on a.r = x.r group by 1, 2"
+            parts.append(f"c{n + 1} as materialized (select o.c, o.i, coalesce(m.x, o.x) x from c{n} o left join ({new}) m on m.c = o.c and m.i = o.i)")
+    final = f"""select k.vec_id, cast(a.c as integer) "cluster", cast(a.d as bigint) distance, cast(sum(a.d) over (partition by a.c) as bigint) cluster_inertia,
+  cast(sum(a.d) over () as bigint) inertia, s.s centroid_sha256
+from a{rounds} a join kept k on k.r = a.r join (select c, sha256(string_agg(cast(cast(x as bigint) as varchar), ',' order by i)) s from c{rounds} group by 1) s on s.c = a.c"""
+    return f"with {', '.join(parts)} {final}"
+
+
+CLUSTERS = clusters()
+
+#: CRC-32 byte by byte, from a table of the 256 bytes' remainders; distinct features only.
+RESAMPLE = r"""
+with crc as (select list(list_reduce(range(8), lambda c, k: case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end, i) order by i) t from (select unnest(range(256)) i)),
+texts as (select 'd' src, row_number() over () r, doc_id, coalesce(text, '') as text from documents union all select 'b', row_number() over (), null, coalesce(text, '') from benchmark),
+words as materialized (select src, r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from texts),
+runs as materialized (select src, r, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) f from words),
+bucket as materialized (select f, xor(list_reduce(list_transform(range(1, strlen(f) + 1), lambda i: cast('0x' || substr(hex(encode(f)), 2 * i - 1, 2) as bigint)), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) % 10000 b from (select distinct f from runs), crc),
+counts as (select b, count(*) filter (src = 'd') s, count(*) filter (src = 'b') t from runs join bucket using (f) group by 1),
+gain as (select b, floor(1000 * ln((cast(t + 1 as double) * cast(sum(s) over () + 10000 as double)) / (cast(s + 1 as double) * cast(sum(t) over () + 10000 as double)))) g from counts),
+weight as (select r, count(*) n_features, floor(cast(sum(cast(g as bigint)) as double) / count(*)) weight from runs join bucket using (f) join gain using (b) where src = 'd' group by 1),
+scored as (select doc_id, len(w) n, coalesce(n_features, 0) n_features, coalesce(weight, 0) weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((cast(cast('0x' || left(sha256('7:' || doc_id), 8) as bigint) as double) + 0.5) / 4294967296))) score
+  from words d left join weight using (r) where src = 'd')
+select doc_id, cast(n_features as bigint) n_features, cast(weight as bigint) weight, cast(score as bigint) score,
+  case when n >= 20 and k <= (25 * (select count(*) from scored where n >= 20)) // 100 then k end as "rank"
+from (select *, row_number() over (partition by n >= 20 order by score desc, doc_id) k from scored)
+"""

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, langid, mpegts, oracle, packing, pii, sigtree, token_store, toxicity, url_filter
+from . import ann, bpe, centroids, html_text, langid, mpegts, oracle, packing, pii, resample, sigtree, token_store, toxicity, url_filter
 from .common import shared_folder, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -69,11 +69,24 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), BYTE_BPE, public_tokenizers.PATTERN)
 
 
+def op11_bisector_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"), k=40, rounds=5, dim=64, scale=256, seed=2)
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=25, least_words=20, width=2, buckets=10_000, seed=7)
+
+
+def op13_block_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_projected_neighbours, op2_nnls_packing, op3_string_kernel_toxicity, op4_token_store, op5_transport_stream,
         op6_signature_tree_join, op7_weak_supervision_pii, op8_rank_order_langid, op9_bloom_url_filter, op10_byte_bpe,
+        op11_bisector_clusters, op12_importance_resampling, op13_block_rules,
     )
 }
-ORACLES: dict[str, str] = {"op6_signature_tree_join": oracle.JACCARD, "op9_bloom_url_filter": oracle.URLS}
+ORACLES: dict[str, str] = {"op6_signature_tree_join": oracle.JACCARD, "op9_bloom_url_filter": oracle.URLS, "op11_bisector_clusters": oracle.CLUSTERS, "op12_importance_resampling": oracle.RESAMPLE}
