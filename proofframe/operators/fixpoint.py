@@ -1,4 +1,4 @@
-"""Loops over edge tables: closure, components, levels, cycles. Each step is a join and is written to the shared folder."""
+"""Loops over edge tables: closure and levels. Each step is a join and is written to the shared folder."""
 
 from __future__ import annotations
 
@@ -32,35 +32,21 @@ def reach(seeds: DataFrame, edges: DataFrame, carry: tuple[str, ...] = (), depth
     raise RuntimeError(f"deeper than {depth}")
 
 
-def components(edges: DataFrame, rounds: int = DEPTH) -> DataFrame:
-    """node and label (the least node of its component) by min-label propagation with shortcuts."""
-    both = stored(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "edges")
-    label = stored(both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
-    for _ in range(rounds):
-        near = both.join(label, both["dst"] == label["node"]).groupBy("src").agg(F.min("label").alias("m"))
-        step = label.join(near, label["node"] == near["src"]).select("node", F.least("label", "m").alias("label"))
-        jump = step.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        new = stored(step.join(jump, "label", "left").select("node", F.least("label", F.coalesce("next", "label")).alias("label")), "labels")
-        if new.join(label, ["node", "label"], "left_anti").isEmpty():
-            return new
-        label = new
-    raise RuntimeError("components did not settle")
-
-
-def levels(edges: DataFrame, depth: int = DEPTH) -> tuple[DataFrame, DataFrame]:
+def levels(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(node, level of every node that follows no cycle, the longest way from a source; the nodes left in or behind
-    cycles)."""
+    cycles). As many rounds as there are levels."""
     left = stored(edges.select("src", "dst").distinct(), "edges")
     nodes = stored(left.select(F.col("src").alias("node")).union(left.select(F.col("dst").alias("node"))).distinct(), "nodes")
     done = None
-    for level in range(depth + 1):
+    for level in count():
         free = stored(nodes.join(left.select(F.col("dst").alias("node")), "node", "left_anti").withColumn("level", F.lit(level)), "level")
         if free.isEmpty():
             return (free if done is None else done), nodes
         done = free if done is None else done.unionByName(free)
+        if level % ROUNDS == ROUNDS - 1:
+            done = stored(done, "levels")
         nodes = stored(nodes.join(free, "node", "left_anti"), "nodes")
         left = stored(left.join(free.select(F.col("node").alias("src")), "src", "left_anti"), "edges")
-    raise RuntimeError(f"deeper than {depth}")
 
 
 def ancestors(path: Column, sep: str = "/") -> Column:

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import render
 from ..operators import compare
-from ..operators.fixpoint import ancestors
+from ..operators.fixpoint import ancestors, reach
+from ..operators.generations import Generations, refreshed
 from ..registry import Tables, query
 from ..sources import files
+from ..storage import shared_path, stored
 from .joins import PATH_SQL, PERTURBED, url_path
 
 
@@ -183,21 +185,52 @@ def tree_hash(t: Tables) -> DataFrame:
     return rows.select("conv_id", F.sha2(F.array_join(F.transform("parts", lambda p: p["p"]), ""), 256).alias("digest"))
 
 
-@query("""select doc_id, sha256(text) digest, doc_id % 5 <> 0 reused from documents""")
+def earlier_documents(t: Tables) -> DataFrame:
+    """Documents as they were before: some had other texts, some weren't there yet, some have gone since."""
+    d = t("documents").select("doc_id", "n_chars", F.lit(1).alias("modified"), "text")
+    then = d.where("n_chars % 7 <> 0").withColumn("text", F.replace("text", F.lit(" and "), F.lit(" & ")))
+    gone = d.where("n_chars % 11 = 0").withColumns({"doc_id": -1 - F.col("doc_id"), "text": F.concat("text", F.lit(" gone"))})
+    return then.unionByName(gone).select("doc_id", "modified", "text")
+
+
+@query("""select doc_id, sha256(text) digest, n_chars % 7 <> 0 and not contains(text, ' and ') and lang <> 'de' reused from documents""")
 def incremental_hash(t: Tables) -> DataFrame:
-    """Only documents whose size is not the cached one are hashed anew."""
-    d = t("documents")
-    cache = d.select("doc_id", F.when(F.col("doc_id") % 5 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars")).alias("size"), F.sha2("text", 256).alias("known"))
-    rows = d.join(cache, "doc_id", "left")
-    hit = F.coalesce(F.col("size") == F.col("n_chars"), F.lit(False))
-    return rows.select("doc_id", F.when(hit, F.col("known")).otherwise(F.sha2("text", 256)).alias("digest"), hit.alias("reused"))
+    """Digests of the documents, after a run over the earlier ones: what has its size and time of change as before keeps
+    its stored digest, the rest alone is hashed."""
+    sized = lambda df: df.select("doc_id", F.octet_length("text").alias("size"), "modified", "text")
+    hashed = lambda df: df.select("doc_id", "size", "modified", F.sha2("text", 256).alias("digest"))
+    cache = Generations(t.spark, shared_path(t.spark, "digests"), "doc_id long, size int, modified int, digest string, reused boolean")
+    refreshed(cache, sized(earlier_documents(t)), ["doc_id"], ["size", "modified"], hashed, ["digest"])
+    touched = F.when(F.col("lang") == "de", 2).otherwise(1)
+    now = sized(t("documents").select("doc_id", touched.alias("modified"), "text"))
+    return refreshed(cache, now, ["doc_id"], ["size", "modified"], hashed, ["digest"])[0].select("doc_id", "digest", "reused")
+
+
+MEASURED = """select sha256(text) s, l.loc, case l.loc when '$.words' then length(text) - length(replace(text, ' ', '')) else length(text) - length(replace(text, chr(10), '')) end v from"""
 
 
-@query("""select user_id, event_type, max(event_id) // 1000 generation from events group by 1, 2 having max(event_id) // 1000 = (select max(event_id) // 1000 from events)""")
+@query(f"""with l as (select unnest(['$.words', '$.lines']) loc),
+a as (select distinct * from ({MEASURED} (select replace(text, ' and ', ' & ') as text from documents where n_chars % 7 <> 0 union all select text || ' gone' from documents where n_chars % 11 = 0), l)),
+b as (select distinct * from ({MEASURED} documents, l))
+select coalesce(a.s, b.s) source_identity, coalesce(a.loc, b.loc) locator, coalesce(a.v, b.v) "value", case when a.s is null then 'computed' when b.s is null then 'evicted' else 'hit' end outcome from a full join b on a.s = b.s and a.loc = b.loc""")
 def cache_evict(t: Tables) -> DataFrame:
-    used = t("events").groupBy("user_id", "event_type").agg(F.floor(F.max("event_id") / 1000).alias("generation"))
-    now = t("events").agg(F.floor(F.max("event_id") / 1000).alias("generation"))
-    return used.join(F.broadcast(now), "generation").select("user_id", "event_type", "generation")
+    """Measures of texts, kept by (source, profile, locator, version): found, computed anew, or gone with their texts."""
+    key = ["source_identity", "profile", "locator", "version"]
+
+    def wanted(docs: DataFrame) -> DataFrame:
+        texts = docs.select(F.sha2("text", 256).alias("source_identity"), F.lit("text").alias("profile"), F.lit("1").alias("version"), "text").dropDuplicates(["source_identity"])
+        return texts.withColumn("locator", F.explode(F.array(F.lit("$.words"), F.lit("$.lines"))))
+
+    def measured(rows: DataFrame) -> DataFrame:
+        mark = F.when(F.col("locator") == "$.words", " ").otherwise("\n")
+        return rows.select(*key, (F.length("text") - F.length(F.replace("text", mark, F.lit("")))).cast("long").alias("value"))
+
+    cache = Generations(t.spark, shared_path(t.spark, "selections"), "source_identity string, profile string, locator string, version string, value long, reused boolean")
+    before, _ = refreshed(cache, wanted(earlier_documents(t)), key, [], measured, ["value"])
+    now, _ = refreshed(cache, wanted(t("documents")), key, [], measured, ["value"])
+    gone = before.join(now, key, "left_anti").select("source_identity", "locator", "value", F.lit("evicted").alias("outcome"))
+    outcome = F.when(F.col("reused"), "hit").otherwise("computed")
+    return now.select("source_identity", "locator", "value", outcome.alias("outcome")).unionByName(gone)
 
 
 @query("""select o_custkey, sha256(string_agg(l, chr(10) order by l)) digest from (select o_custkey, o_orderkey || ':' || o_orderstatus l from orders) group by 1""")
@@ -211,23 +244,55 @@ def work_digest(t: Tables) -> DataFrame:
     return rows.groupBy("l_suppkey").agg(group_digest("k", "l_returnflag").alias("digest"))
 
 
-def results(t: Tables) -> DataFrame:
-    """Prior results of customers: a digest of their orders, and how they ended."""
-    end = F.when(F.col("o_custkey") % 3 == 0, "failed").otherwise("completed")
-    return dependency_digest(t).select("o_custkey", F.when(F.col("o_custkey") % 5 == 0, "old").otherwise(F.col("digest")).alias("prior"), end.alias("disposition"))
+TERMINAL = ("succeeded", "failed", "blocked")
+RESULT = "o_custkey long, digest string, disposition string"
 
 
-@query("""select o_custkey, case when o_custkey % 7 = 0 then 'blocked' when o_custkey % 5 = 0 then 'run' when o_custkey % 3 = 0 then 'retry' else 'unchanged' end work from (select distinct o_custkey from orders)""")
-def select_work(t: Tables) -> DataFrame:
-    j = dependency_digest(t).join(results(t), "o_custkey", "left")
-    work = F.when(F.col("o_custkey") % 7 == 0, "blocked").when(~F.col("prior").eqNullSafe(F.col("digest")), "run").when(F.col("disposition") == "failed", "retry").otherwise("unchanged")
-    return j.select("o_custkey", work.alias("work"))
+def closures(orders: DataFrame) -> DataFrame:
+    """o_custkey, a digest of all that its result depends on, and the number of its orders."""
+    o = orders.select("o_custkey", F.col("o_orderkey").cast("string").alias("k"), F.round(F.col("o_totalprice") * 1000).cast("long").cast("string").alias("price"), "o_orderstatus")
+    return o.groupBy("o_custkey").agg(group_digest("k", "price", "o_orderstatus").alias("digest"), F.count("*").alias("n"))
 
 
-@query("""select distinct o_custkey, o_custkey % 5 <> 0 and o_custkey % 3 <> 0 current from orders""")
+CLOSURES = """select o_custkey k, sha256(string_agg(l, chr(10) order by l)) digest, count(*) n from (select o_custkey, o_orderkey || ':' || cast(round(o_totalprice * 1000) as bigint) || ':' || o_orderstatus l from {}) group by 1"""
+RUNS = f"""b as materialized ({CLOSURES.format('orders')}), a as ({CLOSURES.format(PERTURBED)}), j as materialized (select b.k, coalesce(a.digest = b.digest and a.n <= 18, false) fresh from b left join a using (k))"""
+
+
+def prior_results(t: Tables) -> DataFrame:
+    """The stored results of a run over the orders as they were: of many orders it was cancelled, some failed."""
+    end = F.when(F.col("n") > 18, "cancelled").when(F.col("n") % 5 == 0, "failed").otherwise("succeeded")
+    runs = Generations(t.spark, shared_path(t.spark, "results"), RESULT)
+    runs.commit(closures(compare.perturbed(t("orders"))).select("o_custkey", "digest", end.alias("disposition")))
+    return runs.read()
+
+
+def judged(now: DataFrame, prior: DataFrame) -> DataFrame:
+    """now (o_custkey, digest) with current: whether the stored result is of the same digest and came to an end."""
+    old = prior.select("o_custkey", F.col("digest").alias("prior"), "disposition")
+    current = (F.col("prior") == F.col("digest")) & F.col("disposition").isin(*TERMINAL)
+    return now.join(old, "o_custkey", "left").select("o_custkey", F.coalesce(current, F.lit(False)).alias("current"))
+
+
+@query(f"""with recursive {RUNS},
+s as materialized (select k, fresh, c_mktsegment in ('BUILDING', 'MACHINERY') required, c_acctbal < -500 stuck from j join customer on c_custkey = k),
+run(k) as (select k from s where required and not fresh and not stuck union select s.k from run join s on s.k // 10 = run.k and s.k <> run.k where not s.stuck)
+select s.k o_custkey, case when run.k is not null then 'run' when not required and not stuck then 'not_needed' when fresh and not stuck then 'unchanged' else 'blocked' end work from s left join run on run.k = s.k""")
+def select_work(t: Tables) -> DataFrame:
+    """What a run over the present orders has to do after one over the earlier ones. A customer depends on the one with
+    its number without the last digit, and is run again after it unless it is blocked."""
+    found = judged(closures(t("orders")), prior_results(t))
+    facts = t("customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").isin("BUILDING", "MACHINERY").alias("required"), (F.col("c_acctbal") < -500).alias("stuck"))
+    state = stored(found.join(facts, "o_custkey"), "state")
+    able = state.where("not stuck").select(F.col("o_custkey").alias("dst"), F.floor(F.col("o_custkey") / 10).alias("src")).where("src <> dst")
+    again = reach(state.where("required and not current and not stuck").select(F.col("o_custkey").alias("node")), able)
+    run = again.select(F.col("node").alias("o_custkey"), F.lit(True).alias("run"))
+    work = F.when(F.col("run"), "run").when(~F.col("required") & ~F.col("stuck"), "not_needed").when(F.col("current") & ~F.col("stuck"), "unchanged").otherwise("blocked")
+    return state.join(run, "o_custkey", "left").select("o_custkey", work.alias("work"))
+
+
+@query(f"""with {RUNS} select k o_custkey, fresh current from j""")
 def prior_current(t: Tables) -> DataFrame:
-    j = dependency_digest(t).join(results(t), "o_custkey", "left")
-    return j.select("o_custkey", F.coalesce((F.col("prior") == F.col("digest")) & (F.col("disposition") == "completed"), F.lit(False)).alias("current"))
+    return judged(closures(t("orders")), prior_results(t))
 
 
 @query("""select l_orderkey, l_linenumber, count(*) n from lineitem where l_orderkey % 2 = 0 and l_orderkey % 10 <> 4 group by 1, 2""")

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
-from ..operators.fixpoint import DEPTH, components, levels, reach
+from ..operators.components import components
+from ..operators.cycles import cycles
+from ..operators.fixpoint import DEPTH, reach
 from ..registry import Tables, query
 from ..storage import stored
 from .aggregates import foreign_keys
@@ -159,20 +161,23 @@ def root_blockers(t: Tables) -> DataFrame:
     return e.where(F.size("roots") > 0)
 
 
-def ring(t: Tables) -> DataFrame:
-    """Nation edges with some rings of three, and chains into and out of them."""
-    k = F.col("n_nationkey")
-    nxt = F.when(k % 8 == 2, k - 2).when(k % 8 < 2, k + 1).when(k % 8 < 7, k + 1)
-    return t("nation").select(k.alias("src"), nxt.alias("dst")).where("dst is not null and dst < 25")
+def retries(t: Tables) -> DataFrame:
+    """Events depend on their user's next event; an error sends its user back to the last purchase before it."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    bought = F.last(F.when(F.col("event_type") == "purchase", F.col("event_id")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    e = t("events").select(F.col("event_id").alias("src"), F.lead("event_id").over(w).alias("next"), F.when(is_error(), bought).alias("back"))
+    return e.select("src", F.explode(F.array("next", "back")).alias("dst")).where("dst is not null")
+
+
+RETRIES = """(select event_id src, lead(event_id) over w dst from events window w as (partition by user_id order by ts, event_id)
+union all select event_id, p from (select event_id, event_type, last_value(case when event_type = 'purchase' then event_id end ignore nulls) over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding) p from events) where event_type = 'error')"""
 
 
-@query("""select n_nationkey node from nation where n_nationkey % 8 < 3 and n_nationkey < 24""")
+@query(f"""with recursive e as materialized (select src, dst from {RETRIES} where dst is not null), r(a, b) as (select src, dst from e union select r.a, e.dst from r join e on e.src = r.b)
+select x.a node, min(x.b) "cycle" from r x join r y on y.a = x.b and y.b = x.a group by 1""")
 def cycle_members(t: Tables) -> DataFrame:
-    """What is left when sources are peeled off, and then sinks."""
-    e = stored(ring(t), "ring")
-    left = levels(e)[1]
-    inner = e.join(left.select(F.col("node").alias("src")), "src", "left_semi").join(left.select(F.col("node").alias("dst")), "dst", "left_semi")
-    return levels(inner.select(F.col("dst").alias("src"), F.col("src").alias("dst")))[1].select("node")
+    """Events on cycles, each with the least event of its strongly connected component."""
+    return cycles(retries(t))
 
 
 PLACED = f"""with recursive c as (select src, dst from {CHAIN} where dst is not null), s as (select event_id from events where event_type = 'error'), r(seed, node) as (select event_id, event_id from s union select seed, c.dst from r join c on c.src = r.node)"""

@@ -8,16 +8,21 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_path(spark: SparkSession, label: str) -> str:
-    """A new path below the cluster's spark.checkpoint.dir; where that is unset, on a local master only, below one of
-    this user's in /tmp: executors of a cluster couldn't see each other's."""
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's spark.checkpoint.dir; where that is unset, on a local master only, one of this user's in /tmp:
+    executors of a cluster couldn't see each other's."""
     base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
     if not base:
         master = spark.sparkContext.master
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = f"/tmp/proofframe-{os.getuid()}-checkpoints"
-    return f"{base}/{label}-{uuid.uuid4().hex}"
+    return base
+
+
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new path below the shared folder."""
+    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, label: str = "step") -> DataFrame:
@@ -25,3 +30,20 @@ def stored(df: DataFrame, label: str = "step") -> DataFrame:
     path = shared_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder in whatever file system path names; one that isn't there is no error."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discarded(df: DataFrame) -> None:
+    """Deletes the files of a stored table that no plan reads any more."""
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        removed(df.sparkSession, folder)

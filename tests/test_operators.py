@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from proofframe.functions import render
 from proofframe.operators import compare
-from proofframe.operators.fixpoint import ancestors, components, levels, reach
+from proofframe.operators.components import components
+from proofframe.operators.fixpoint import ancestors, levels, reach
 from proofframe.sources import files, sinks
 from proofframe.storage import shared_path
 
