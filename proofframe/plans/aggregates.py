@@ -11,6 +11,7 @@ from ..operators.fixpoint import levels
 from ..operators.order import ranked, running
 from ..registry import Tables, query
 from ..sources import files
+from ..sources.fences import fenced_lines
 from .joins import PERTURBED
 
 TYPES = ["click", "error", "purchase", "signup", "view", "never"]
@@ -146,12 +147,19 @@ def section_of_line(t: Tables) -> DataFrame:
     return lines.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.last(head, ignorenulls=True).over(w).alias("section"))
 
 
-@query(r"""with l as (select doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) line_no from documents)
-select doc_id, line_no::bigint line_no, (sum(case when contains(line, '|') then 1 else 0 end) over (partition by doc_id order by line_no)) % 2 = 1 inside from l""")
+MARKED = r"""(select doc_id, regexp_replace(regexp_replace(regexp_replace(text, '(^|\n)(The|La|Der|El)( [^\n]*)?', '\1```\3', 'g'), '(^|\n)(Of|De|Die|Los) ?', '\1  ~~~~', 'g'), '(^|\n)(And|Et|Und|Y)[^\n]*', '\1`````  ', 'g') as text from documents)"""
+
+
+@query(rf"""with recursive l as materialized (select doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) i from {MARKED}),
+r(doc_id, i, fence, inside) as (select doc_id, 0, '', false from documents where text is not null union all
+select l.doc_id, l.i, case when r.fence = '' then regexp_extract(l.line, '^\s*(```+|~~~+)', 1) when regexp_full_match(l.line, '\s*' || left(r.fence, 1) || '{{' || length(r.fence) || ',}}\s*') then '' else r.fence end,
+r.fence <> '' or regexp_matches(l.line, '^\s*(```|~~~)') from r join l on l.doc_id = r.doc_id and l.i = r.i + 1)
+select doc_id, i::bigint line_no, inside from r where i > 0""")
 def fence_parity(t: Tables) -> DataFrame:
-    w = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    fence = F.sum(F.col("line").contains("|").cast("int")).over(w)
-    return files.lines(t("documents"), "text", "doc_id").select("doc_id", F.col("line_no").cast("long").alias("line_no"), (fence % 2 == 1).alias("inside"))
+    """Lines of documents, with fences put in for some first words, and whether they are in a fenced block."""
+    text = F.regexp_replace("text", r"(^|\n)(The|La|Der|El)(?:( [^\n]*)|)", "$1```$3")
+    text = F.regexp_replace(F.regexp_replace(text, r"(^|\n)(Of|De|Die|Los) ?", "$1  ~~~~"), r"(^|\n)(And|Et|Und|Y)[^\n]*", "$1`````  ")
+    return fenced_lines(t("documents").select("doc_id", text.alias("text")), "text", "doc_id")
 
 
 @query("""select conv_id, case when list_contains(r, 'system') and list_contains(r, 'assistant') then 'experimental' when list_contains(r, 'assistant') then 'synthesis' when list_contains(r, 'user') then 'prose' else 'invalid' end kind from (select conv_id, list(distinct role) r from conversations group by 1)""")

@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import render
-from ..operators import compare
+from ..operators import compare, tables
 from ..operators.fixpoint import ancestors, reach
 from ..operators.generations import Generations, refreshed
 from ..registry import Tables, query
-from ..sources import files
+from ..sources import delimited, files, json_text
 from ..storage import shared_path, stored
 from .joins import PATH_SQL, PERTURBED, url_path
 
@@ -22,11 +22,39 @@ def diff_profile(t: Tables) -> DataFrame:
     return t("pages").select("page_id", profile.alias("profile"))
 
 
-@query(f"""select o_orderkey, case when b.o_orderkey is not null then 'o_totalprice' end field, case when b.o_orderkey is null then 'row' else cast(a.o_totalprice as varchar) end "expected", cast(b.o_totalprice as varchar) found from orders a left join {PERTURBED} b using (o_orderkey) where b.o_orderkey is null or a.o_totalprice <> b.o_totalprice""")
+OLD_ROWS = """(select o_orderkey, o_orderstatus, cast(o_custkey as varchar) a, cast(round(o_totalprice * 100) as bigint) || '.5' b, case when o_orderkey % 50 = 0 then 'nan' else o_orderstatus end c from orders)"""
+
+
+@query(f"""with a as (select row_number() over (order by o_orderkey) p, o_orderkey k, a, b, c from {OLD_ROWS} s),
+b as (select row_number() over (order by o_orderkey) p, o_orderkey k, case when k % 101 = 0 then a || '.0' else a end a, case when k % 97 = 0 then '1' || b when k % 103 = 0 then b || '0' else b end b, case when k % 50 = 0 then 'NaN' when k % 89 = 0 then 'O,X' else c end c from (select *, o_orderkey k from {OLD_ROWS} s where o_orderstatus <> 'P' or o_orderkey < (select 0.9 * max(o_orderkey) from orders)) s),
+j as (select coalesce(a.p, b.p) "position", a.k, b.k bk, a.a, a.b, a.c, b.a xa, b.b xb, b.c xc from a full join b on a.p = b.p),
+d as (select "position", null "column", 'availability' what, case when k is not null then 'row' end "expected", case when bk is not null then 'row' end found from j where k is null or bk is null
+union all select "position", null, 'width', '4', '5' from j where contains(xc, ',') and k is not null
+union all select "position", 1, 'value', cast(k as varchar), cast(bk as varchar) from j where k <> bk and not contains(xc, ',')
+union all select "position", 2, case when contains(xa, '.') then 'type' else 'value' end, a, xa from j where a <> xa and not contains(xc, ',')
+union all select "position", 3, 'value', b, xb from j where cast(b as double) <> cast(xb as double) and not contains(xc, ',')
+union all select "position", 4, case when (lower(c) = 'nan') <> (lower(xc) = 'nan') then 'type' else 'value' end, c, xc from j where lower(c) <> lower(xc) and not contains(xc, ','))
+select "position", cast("column" as integer) "column", what, "expected", found from d""")
 def table_diff(t: Tables) -> DataFrame:
-    d = compare.cell_diff(t("orders"), compare.perturbed(t("orders")), ["o_orderkey"], ["o_totalprice", "o_orderstatus"])
-    text = lambda c: F.when(F.col("field") == "o_totalprice", F.col(c).cast("double").cast("decimal(20,3)").cast("double").cast("string")).otherwise(F.col(c))
-    return d.select("o_orderkey", "field", text("expected").alias("expected"), text("found").alias("found"))
+    """Orders written as delimited files, against a copy with other types, values, widths and spellings, and rows gone
+    near the end, by position."""
+    key = F.col("o_orderkey")
+    price = F.concat(F.round(F.col("o_totalprice") * 100).cast("long").cast("string"), F.lit(".5"))
+    old = t("orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("a"), price.alias("b"), F.when(key % 50 == 0, "nan").otherwise(F.col("o_orderstatus")).alias("c"), "o_orderstatus")
+    last = t("orders").agg((F.max("o_orderkey") * 0.9).alias("last"))
+    new = old.join(F.broadcast(last)).where("o_orderstatus <> 'P' or o_orderkey < last").select(
+        "o_orderkey", F.when(key % 101 == 0, F.concat("a", F.lit(".0"))).otherwise(F.col("a")).alias("a"),
+        F.when(key % 97 == 0, F.concat(F.lit("1"), "b")).when(key % 103 == 0, F.concat("b", F.lit("0"))).otherwise(F.col("b")).alias("b"),
+        F.when(key % 50 == 0, "NaN").when(key % 89 == 0, "O,X").otherwise(F.col("c")).alias("c"),
+    )
+    sides = []
+    for df in (old, new):
+        path = shared_path(t.spark, "orders-text")
+        n = int(t.spark.conf.get("spark.sql.shuffle.partitions"))
+        line = F.concat_ws(",", F.col("o_orderkey").cast("string"), "a", "b", "c")
+        df.repartitionByRange(n, "o_orderkey").sortWithinPartitions("o_orderkey").select(line).write.text(path)
+        sides.append(delimited.positioned(t.spark, path))
+    return tables.table_differences(*sides)
 
 
 def edited(docs: DataFrame) -> DataFrame:
@@ -46,17 +74,29 @@ def text_diff(t: Tables) -> DataFrame:
     return d.groupBy("doc_id").agg(F.min("line_no").alias("line_no"), F.min_by("x", "line_no").alias("expected"), F.min_by("y", "line_no").alias("found"))
 
 
-@query("""select event_id, '$.k' path, json_extract_string(props, '$.k') "expected", cast(cast(json_extract(props, '$.k') as bigint) + 1 as varchar) found from events where event_id % 5 = 0 union all select event_id, '$.extra', null, '1' from events where event_id % 5 = 0""")
+@query("""with e as (select event_id, event_type t, cast(json_extract(props, '$.k') as bigint) k from events)
+select event_id, '$["k"]' path, k::varchar "expected", '"' || k || '"' found from e where t = 'error' union all select event_id, '$["k"]', k::varchar, k || '.0' from e where t = 'purchase'
+union all select event_id, '$ keys', '["deep", "k", "l"]', '["deep", "k", "l", "m"]' from e where t = 'signup' and k % 2 = 0 union all select event_id, '$', '{"k": ' || k || ', "l": [1, 0.0], "deep": {"a": {"b": {"c": {"d": {"e": {"f": {"g": 1}}}}}}}}', 'duplicate_key' from e where t = 'signup' and k % 2 = 1
+union all select event_id, '$["l"] length', '2', '3' from e where t = 'view' and k % 2 = 0 union all select event_id, '$["l"][1]', '0.0', '-0.0' from e where t = 'view' and k % 2 = 1
+union all select event_id, '$["deep"]["a"]["b"]["c"]["d"]["e"]["f"]["g"]', '1', '2' from e where t = 'click' and k % 2 = 1""")
 def json_diff(t: Tables) -> DataFrame:
-    def flat(df: DataFrame, text: str) -> DataFrame:
-        m = df.select("event_id", F.explode(F.from_json(text, "map<string,string>")).alias("key", "value"))
-        return m.select("event_id", F.concat(F.lit("$."), "key").alias("path"), "value")
-
-    e = t("events").select("event_id", "props")
-    k = F.try_variant_get(F.parse_json("props"), "$.k", "bigint")
-    other = F.when(F.col("event_id") % 5 == 0, F.to_json(F.struct((k + 1).alias("k"), F.lit(1).alias("extra")))).otherwise(F.col("props"))
-    both = compare.full(flat(e, "props"), flat(e.select("event_id", other.alias("props")), "props"), ["event_id", "path"])
-    return both.where(~F.col("a.value").eqNullSafe(F.col("b.value"))).select("event_id", "path", F.col("a.value").alias("expected"), F.col("b.value").alias("found"))
+    """Properties of events against copies that differ in one thing each, and some in the order of keys alone."""
+    k = F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint")
+    e = t("events").select("event_id", "event_type", k.alias("k"), (k % 2 == 1).alias("odd"))
+    kind = lambda x: F.col("event_type") == x
+
+    def text(k: Column, array: Column, g: Column, more: Column) -> Column:
+        deep = F.concat(F.lit('"deep": {"a": {"b": {"c": {"d": {"e": {"f": {"g": '), g, F.lit("}}}}}}}"))
+        return F.concat(F.lit('{"k": '), k, F.lit(', "l": '), array, F.lit(", "), deep, more, F.lit("}"))
+
+    as_text, none = F.col("k").cast("string"), F.lit("")
+    other_k = F.when(kind("error"), F.concat(F.lit('"'), as_text, F.lit('"'))).when(kind("purchase"), F.concat(as_text, F.lit(".0"))).otherwise(as_text)
+    other_l = F.when(kind("view") & ~F.col("odd"), "[1, 0.0, null]").when(kind("view"), "[1, -0.0]").otherwise("[1, 0.0]")
+    more = F.when(kind("signup"), F.when(F.col("odd"), ', "k": 1').otherwise(', "m": null')).otherwise("")
+    turned = F.concat(F.lit('{"l": [1, 0.0], "k": '), as_text, F.lit(', "deep": {"a": {"b": {"c": {"d": {"e": {"f": {"g": 1}}}}}}}}'))
+    found = F.when(kind("click") & ~F.col("odd"), turned).otherwise(text(other_k, other_l, F.when(kind("click"), "2").otherwise("1"), more))
+    pairs = e.select("event_id", text(as_text, F.lit("[1, 0.0]"), F.lit("1"), none).alias("expected"), found.alias("found"))
+    return json_text.json_differences(pairs, "expected", "found", "event_id")
 
 
 @query("""select doc_id, strlen(text)::bigint a_bytes, strlen(text)::bigint b_bytes, strlen(left(text, instr(text, 'the') - 1))::bigint first from documents where doc_id % 3 = 0 and contains(text, 'the')""")

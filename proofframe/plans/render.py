@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import render as r
 from ..registry import Tables, query
+from ..sources import json_text
 
 
 @query(r"""select doc_id, regexp_extract(source, '[0-9]+$') token, try_cast(regexp_extract(source, '^src(0|[1-9][0-9]*)$', 1) as decimal(38,0))::bigint v from documents""")
@@ -134,18 +135,16 @@ def fn_extract_json(t: Tables) -> DataFrame:
     return t("events").select("event_id", F.try_variant_get(parsed, "$.k", "bigint").alias("k"))
 
 
-@query()
+NESTED = """json_object('a', role, 'l', json_array(json_object('b', text), json_object('n', turn, 'b', 'x')), 'z', json_object('y', json_object('x', json_array(role, null))))"""
+
+
+@query(f"""with j as (select conv_id, turn, {NESTED} j from conversations) select conv_id, turn, list(json_extract_string(t.atom, '$') order by t.id) strings from j, lateral (select * from json_tree(j.j)) t where t.type = 'VARCHAR' group by 1, 2""")
 def fn_collect_strings(t: Tables) -> DataFrame:
-    """All strings of a nested value, three levels deep, by repeated explosion of variants."""
-    v = F.parse_json(F.to_json(F.struct(F.col("n_name").alias("a"), F.array(F.struct(F.col("n_name").alias("b")), F.struct(F.lit("x").alias("b"))).alias("l"))))
-    t("nation").select("n_nationkey", v.alias("v")).createOrReplaceTempView("pf_variants")
-    one = t.spark.sql("select n_nationkey, e.value v from pf_variants, lateral variant_explode(v) e")
-    out = one
-    for _ in range(2):
-        out.createOrReplaceTempView("pf_variants_next")
-        out = out.unionByName(t.spark.sql("select n_nationkey, e.value v from pf_variants_next, lateral variant_explode_outer(v) e where e.value is not null"))
-    text = F.when(F.schema_of_variant("v") == "STRING", F.col("v").cast("string"))
-    return out.select("n_nationkey", text.alias("s")).where("s is not null").groupBy("n_nationkey").agg(F.array_sort(F.collect_set("s")).alias("strings"))
+    """All strings of the turns of conversations as nested JSON, in order."""
+    x = lambda **c: F.struct(*(v.alias(k) for k, v in c.items()))
+    inner = F.array(x(b=F.col("text"), n=F.lit(None).cast("long")), x(b=F.lit("x"), n=F.col("turn")))
+    nested = F.to_json(x(a=F.col("role"), l=inner, z=x(y=x(x=F.array("role", F.lit(None).cast("string"))))))
+    return json_text.json_strings(t("conversations").select("conv_id", "turn", nested.alias("j")), "j", "conv_id", "turn")
 
 
 @query("""select o_orderkey, coalesce(strftime(o_orderdate, '%b %-d'), '—') v from orders""")

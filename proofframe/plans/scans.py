@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..registry import Tables, query
-from ..sources import files
+from ..sources import files, json_text
 from ..storage import shared_path
 
 
@@ -18,9 +18,16 @@ def scan_delimited_strict(t: Tables) -> DataFrame:
     return files.read_delimited(t.spark, path, columns)[0]
 
 
-@query("""select event_id, cast(json_extract(props, '$.k') as bigint) k from events""")
+@query("""with e as (select event_id, event_type t, cast(json_extract(props, '$.k') as bigint) k from events)
+select event_id, case when t in ('view', 'click') then cast(k || '.123456789012345678' as decimal(38,18)) end k, case t when 'error' then 'duplicate_key' when 'signup' then 'non_finite' when 'purchase' then 'malformed' end reason from e""")
 def scan_json_props(t: Tables) -> DataFrame:
-    return t("events").select("event_id", files.json_field(F.col("props"), "$.k", "bigint").alias("k"))
+    """An exact decimal of each event's properties, or why they are refused."""
+    k = F.regexp_extract("props", "([0-9]+)", 1)
+    text = F.concat(F.lit('{"k": '), k, F.lit(".123456789012345678"))
+    kind = lambda x: F.col("event_type") == x
+    props = F.concat(text, F.when(kind("error"), ', "k": 1}').when(kind("signup"), ', "n": NaN}').when(kind("purchase"), "").otherwise("}"))
+    rows = json_text.json_reasons(t("events").select("event_id", props.alias("props")), "props", "event_id", "props")
+    return rows.select("event_id", F.when(F.col("reason").isNull(), files.json_field(F.col("props"), "$.k", "decimal(38,18)")).alias("k"), "reason")
 
 
 @query("""with l as (select event_type, case when event_id % 10 = 0 then '{"id":' || event_id else '{"id":' || event_id || '}' end line from events)
