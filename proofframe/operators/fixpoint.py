@@ -32,6 +32,20 @@ def reach(seeds: DataFrame, edges: DataFrame, carry: tuple[str, ...] = (), depth
     raise RuntimeError(f"deeper than {depth}")
 
 
+def neighbourhood(seeds: DataFrame, edges: DataFrame, ambiguities: DataFrame, operational: Column) -> DataFrame:
+    """node and depth of what belongs to seeds (node): one hop along edges (src, dst) either way, further hops from nodes
+    alone for which operational (an expression over src) holds, and all participants of every ambiguity that a node found
+    takes part in.
+
+    ambiguities (ambiguity, node) links each participant to its ambiguity, so that one of many participants makes as many
+    links and not their square; ambiguities count as nodes, named apart from others."""
+    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    to = ambiguities.select(F.col("node").alias("src"), F.col("ambiguity").alias("dst"))
+    links = stored(both.where(operational).unionByName(to).unionByName(to.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), "links")
+    near = both.join(seeds.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node"))
+    return reach(seeds.select("node").unionByName(near), links)
+
+
 def levels(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(node, level of every node that follows no cycle, the longest way from a source; the nodes left in or behind
     cycles). As many rounds as there are levels."""

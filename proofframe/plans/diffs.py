@@ -9,6 +9,7 @@ from ..functions import render
 from ..operators import compare, tables
 from ..operators.fixpoint import ancestors, reach
 from ..operators.generations import Generations, refreshed
+from ..operators.support import currentness, resolved
 from ..registry import Tables, query
 from ..sources import delimited, files, json_text
 from ..storage import shared_path, stored
@@ -349,11 +350,36 @@ def complete_same_run(t: Tables) -> DataFrame:
     return t("lineitem").groupBy("l_orderkey").agg((F.count_if(F.col("l_linestatus") == "F") == F.count("*")).alias("complete"))
 
 
-@query(f"""select o_orderkey, case when b.o_orderkey is null then 'unrecorded' when a.o_totalprice <> b.o_totalprice then 'fingerprint' else 'current' end state from orders a left join {PERTURBED} b using (o_orderkey)""")
+CURRENT = f"""p as materialized (select page_id, path, regexp_extract(path, '^[^/]*') script, split_part(path, '/', 2) parameters, sha256(html) fingerprint, html, length(html) n from (select page_id, html, {PATH_SQL} path from pages) s),
+rec as (select path, sha256(case when n % 7 = 0 then html || '!' else html end) fingerprint, case when n % 5 = 0 then 'old' else script end script, parameters, n % 11 <> 0 confirmed from (select distinct on (path) * from p order by path, page_id) s where n % 3 <> 0),
+m as (select page_id, n, fingerprint, script || '/' || parameters dir, script, parameters from p union all select page_id, n, fingerprint, script, script, '' from p),
+now as (select dir, sha256(string_agg(page_id || ':' || fingerprint, chr(10) order by page_id || ':' || fingerprint)) fingerprint from m group by 1),
+dirs as (select dir path, sha256(string_agg(page_id || ':' || fingerprint, chr(10) order by page_id || ':' || fingerprint) filter (n % 13 <> 0)) fingerprint, min(script) script, min(parameters) parameters, true confirmed from m where parameters = 'en' or (parameters = '' and ends_with(script, '.com')) group by 1)"""
+
+
+@query(f"""with {CURRENT}, x as (select p.*, r.path rp, r.fingerprint rf, r.script rs, r.parameters ra, r.confirmed rc from p left join rec r using (path)),
+c as (select x.page_id, count(*) k, min(d.path) path from x join dirs d on x.rp is null and starts_with(x.path, d.path || '/') group by 1),
+j as (select x.page_id, case when rp is not null then 'exact' when k = 1 then 'directory' when k > 1 then 'ambiguous' else 'none' end how, coalesce(rc, d.confirmed) confirmed,
+  list_filter([case when coalesce(now.fingerprint, x.fingerprint) is distinct from coalesce(rf, d.fingerprint) then 'fingerprint' end, case when x.script <> coalesce(rs, d.script) then 'script' end, case when x.parameters <> coalesce(ra, d.parameters) then 'parameters' end], lambda f: f is not null) fields
+  from x left join c on c.page_id = x.page_id left join dirs d on c.k = 1 and d.path = c.path left join now on now.dir = d.path)
+select page_id, case when how = 'ambiguous' then how when how = 'none' then 'unrecorded' when not confirmed then 'unconfirmed' when len(fields) > 0 then 'mismatch' else 'current' end state, case when how in ('exact', 'directory') and confirmed and len(fields) > 0 then fields end mismatches from j""")
 def output_currentness(t: Tables) -> DataFrame:
-    both = compare.full(t("orders"), compare.perturbed(t("orders")), ["o_orderkey"]).where("a is not null")
-    state = F.when(F.col("b").isNull(), "unrecorded").when(F.col("a.o_totalprice") != F.col("b.o_totalprice"), "fingerprint").when(F.col("a.o_orderstatus") != F.col("b.o_orderstatus"), "recipe").otherwise("current")
-    return both.select("o_orderkey", state.alias("state"))
+    """Whether the record of each page, or of the one directory around it, still says what is there."""
+    p = t("pages").select("page_id", url_path(F.col("url")).alias("path"), "html", F.length("html").alias("n"))
+    p = p.select("*", F.split("path", "/")[0].alias("script"), F.coalesce(F.get(F.split("path", "/"), F.lit(1)), F.lit("")).alias("parameters"), F.sha2("html", 256).alias("fingerprint"))
+    was = F.sha2(F.when(F.col("n") % 7 == 0, F.concat("html", F.lit("!"))).otherwise(F.col("html")), 256)
+    row = F.struct("page_id", "n", was.alias("fingerprint"), F.when(F.col("n") % 5 == 0, "old").otherwise(F.col("script")).alias("script"), "parameters", (F.col("n") % 11 != 0).alias("confirmed"))
+    records = p.groupBy("path").agg(F.min(row).alias("r")).where("r.n % 3 <> 0").select("path", "r.fingerprint", "r.script", "r.parameters", "r.confirmed")
+    level = lambda path, parameters: F.struct(path.alias("directory"), parameters.alias("parameters"))
+    members = p.select("page_id", "n", "fingerprint", "script", F.explode(F.array(level(F.concat_ws("/", "script", "parameters"), F.col("parameters")), level(F.col("script"), F.lit("")))).alias("l")).select("page_id", "n", "fingerprint", "script", "l.*")
+    line = F.concat_ws(":", F.col("page_id").cast("string"), "fingerprint")
+    digest = lambda lines: F.sha2(F.array_join(F.array_sort(F.collect_list(lines)), "\n"), 256)
+    now = members.groupBy("directory").agg(digest(line).alias("covering_fingerprint"))
+    kept = members.where((F.col("parameters") == "en") | ((F.col("parameters") == "") & F.col("script").endswith(".com"))).withColumn("line", F.when(F.col("n") % 13 != 0, line))
+    count = F.count("line")
+    directories = kept.groupBy(F.col("directory").alias("path")).agg(F.when(count > 0, digest("line")).alias("fingerprint"), F.min("script").alias("script"), F.min("parameters").alias("parameters"), F.lit(True).alias("confirmed"))
+    found = resolved(p.drop("html", "n"), records, directories, "page_id").withColumn("directory", F.when(F.col("how") == "directory", F.col("record.path")))
+    return currentness(found.join(now, "directory", "left"), ["fingerprint", "script", "parameters"]).select("page_id", "state", "mismatches")
 
 
 @query("""select doc_id, case when doc_id % 9 = 0 then 'unrecorded' else 'mismatch' end problem from documents where doc_id % 9 = 0 or doc_id % 8 = 0""")

@@ -8,11 +8,12 @@ from pyspark.sql.window import Window, WindowSpec
 
 from ..operators.components import components
 from ..operators.cycles import cycles
-from ..operators.fixpoint import DEPTH, reach
+from ..operators.fixpoint import DEPTH, neighbourhood, reach
+from ..operators.support import directory_inputs
 from ..registry import Tables, query
 from ..storage import stored
 from .aggregates import foreign_keys
-from .joins import PATH_SQL, owned
+from .joins import PATH_SQL, owned, url_path
 
 FK_SQL = """(select 'region:' || n_regionkey src, 'nation:' || n_nationkey dst from nation union all select 'nation:' || c_nationkey, 'customer:' || c_custkey from customer union all select 'customer:' || o_custkey, 'order:' || o_orderkey from orders)"""
 
@@ -111,10 +112,27 @@ def retention_coverage(t: Tables) -> DataFrame:
     return produced(t).join(retained, "owner", "left").groupBy("page_id").agg(F.max(F.coalesce("kept", F.lit(False))).alias("covered"))
 
 
-@query(f"""select o as "owner", count(distinct producer) - 1 outside, count(distinct producer) = 1 valid from {PRODUCED} where p <> o group by 1""")
+VISITS = f"""v as materialized (select page_id, path, regexp_extract(path, '^[^/]*/[^/]*') dir, regexp_extract(path, '^[^/]*') host, 'crawler-' || (length(html) % 3) producer, url, length(html) n from (select page_id, url, html, {PATH_SQL} path from pages) s),
+made as (select producer, page_id seq, dir path from v where contains(url, '?') union all select producer, page_id, host from v where contains(url, '#')),
+c as (select page_id, page_id seq, dir, case when n % 5 = 0 then path || '.gz' else path end member from v where regexp_matches(url, '(/|html)$'))"""
+
+
+@query(f"""with {VISITS}, o as (select distinct c.page_id, m.producer from c join made m on m.seq < c.seq and (m.path = c.dir or starts_with(c.dir, m.path || '/'))),
+w as (select distinct c.page_id, x.producer from c join (select producer, page_id seq, path from v union all select * from made) x on x.seq < c.seq and starts_with(x.path, c.dir || '/')),
+n as (select c.page_id, c.dir, c.member, (select count(*) from o where o.page_id = c.page_id) owners, (select min(producer) from o where o.page_id = c.page_id) one, (select count(*) from w where w.page_id = c.page_id and not exists (select 1 from o where o.page_id = w.page_id and o.producer = w.producer)) conflicts from c),
+k as (select n.*, owners = 1 and not exists (select 1 from v where v.producer = n.one and v.path = n.member) missing from n)
+select page_id consumer, dir directory, member, owners, conflicts, case when owners = 1 then one end as "owner", missing, case when owners = 0 then 'no_owner' when owners > 1 then 'several_owners' when conflicts > 0 then 'conflict' when missing then 'missing_member' else 'valid' end verdict from k""")
 def directory_input_conflicts(t: Tables) -> DataFrame:
-    b = produced(t).groupBy("owner").agg((F.count_distinct("producer") - 1).alias("outside"))
-    return b.select("owner", "outside", (F.col("outside") == 0).alias("valid"))
+    """Pages as runs of three crawlers: each run writes its page, some a directory; some runs read a directory for one
+    member, which one crawler alone must have made before."""
+    path = url_path(F.col("url"))
+    v = t("pages").select("page_id", "url", path.alias("path"), F.length("html").alias("n"))
+    part = lambda pattern: F.regexp_extract("path", pattern, 0)
+    v = v.select("*", part("^[^/]*/[^/]*").alias("directory"), part("^[^/]*").alias("host"), F.concat(F.lit("crawler-"), (F.col("n") % 3).cast("string")).alias("producer"), F.col("page_id").alias("seq"))
+    made = lambda mark, where: v.where(F.col("url").contains(mark)).select("producer", "seq", F.col(where).alias("path"))
+    member = F.when(F.col("n") % 5 == 0, F.concat("path", F.lit(".gz"))).otherwise(F.col("path"))
+    readers = v.where(F.col("url").rlike("(/|html)$")).select(F.col("page_id").alias("consumer"), "seq", "directory", member.alias("member"))
+    return directory_inputs(readers, v.select("producer", "seq", "path"), made("?", "directory").unionByName(made("#", "host")))
 
 
 def repair_edges(t: Tables) -> DataFrame:
@@ -205,14 +223,31 @@ def blocked_closure(t: Tables) -> DataFrame:
     return blocked(t).where("not event_type <=> 'error'").select("node")
 
 
-@query()
+def disputes(t: Tables) -> DataFrame:
+    """Orders of one day and nearly one price, which can't be told apart: ambiguity and node, for groups of two and more."""
+    o = t("orders").select("o_orderkey", F.to_date("o_orderdate").cast("string").alias("day"), F.floor(F.col("o_totalprice") / 5000).cast("string").alias("price"))
+    named = o.select(F.concat_ws(":", F.lit("ambiguity"), "day", "price").alias("ambiguity"), F.concat(F.lit("order:"), F.col("o_orderkey").cast("string")).alias("node"))
+    several = named.groupBy("ambiguity").agg(F.count("*").alias("n")).where("n > 1").select("ambiguity")
+    return named.join(several, "ambiguity", "left_semi")
+
+
+OPERATIONAL = ("customer", "order")
+
+
+@query(f"""with recursive e as materialized (select src, dst from {FK_SQL} union all select dst, src from {FK_SQL}),
+m as (select 'ambiguity:' || cast(o_orderdate::date as varchar) || ':' || cast(floor(o_totalprice / 5000) as bigint) a, 'order:' || o_orderkey node from orders),
+l as materialized (select a, node from m where a in (select a from m group by a having count(*) > 1)),
+links as materialized (select src, dst from e where split_part(src, ':', 1) in ('customer', 'order') union all select node, a from l union all select a, node from l),
+seeds as (select 'customer:' || c_custkey node from customer where c_acctbal > 9900),
+r(node) as (select node from seeds union select dst from e join seeds on src = node union select dst from r join links on src = node)
+select node, split_part(node, ':', 1) kind from r""")
 def typed_neighbourhood(t: Tables) -> DataFrame:
-    """One hop from nation 5 by any edge; further hops only along customer-to-order edges."""
+    """What belongs to rich customers: one hop by any edge, further hops from customers and orders alone, and whatever an
+    ambiguity of a node found holds beside it."""
     e = stored(foreign_keys(t), "edges")
-    seeds = t("nation").where("n_nationkey = 5").select(F.lit("nation:5").alias("node"))
-    both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    one = both.join(seeds, both["src"] == seeds["node"], "left_semi").select(F.col("dst").alias("node"))
-    return reach(seeds.unionByName(one), e.where(F.col("src").startswith("customer:")))
+    seeds = t("customer").where("c_acctbal > 9900").select(F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("node"))
+    found = neighbourhood(seeds, e, disputes(t), F.split("src", ":")[0].isin(*OPERATIONAL))
+    return found.select("node", F.split("node", ":")[0].alias("kind"))
 
 
 @query(f"""select node from (select 'nation:' || n_nationkey node from nation where n_regionkey = 1 union all select 'region:1') where node in (select src from {FK_SQL} where dst like 'customer:%' and cast(split_part(dst, ':', 2) as integer) % 100 = 7) or node = 'region:1'""")

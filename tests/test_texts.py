@@ -10,7 +10,7 @@ from proofframe.storage import shared_path
 def side(spark, *files):
     path = shared_path(spark, "delimited")
     for i, text in enumerate(files):
-        spark.createDataFrame([(line,) for line in text.splitlines()], "t string").coalesce(1).write.text(f"{path}/f={i}")
+        spark.createDataFrame([(line,) for line in text.splitlines()], "t string").coalesce(1).write.text(f"{path}/f={i:02d}")
     return delimited.positioned(spark, path)
 
 
