@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..storage import exists, removed, stored
 
 #: Keys of up to so many misses are sent to the rows instead of the rows to them.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 200_000
 
 
 class Generations:

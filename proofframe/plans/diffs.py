@@ -9,6 +9,7 @@ from ..functions import render
 from ..operators import compare, tables
 from ..operators.fixpoint import ancestors, reach
 from ..operators.generations import Generations, refreshed
+from ..operators.members import member_differences
 from ..operators.support import currentness, resolved
 from ..registry import Tables, query
 from ..sources import delimited, files, json_text
@@ -127,14 +128,27 @@ def container_diff(t: Tables) -> DataFrame:
     return both.groupBy("container", change.alias("change")).agg(F.count("*").alias("n"))
 
 
-@query(f"""with p as (select page_id, {PATH_SQL} path, sha256(html) h from pages) select split_part(path, '/', 1) root, count(*) members, count(case when page_id % 6 = 0 then 1 end) changed from p group by 1""")
+@query(f"""with p as (select page_id, {PATH_SQL} path, html, length(html) n from pages)
+select page_id, path || case n % 4 when 0 then '.txt' when 1 then '.json' when 2 then '.csv' else '.bin' end "name", case n % 4 when 0 then 'text' when 1 then 'json' when 2 then 'table' else 'bytes' end profile,
+case when n % 17 = 0 then 'members' when n % 4 = 0 then 'line 2' when n % 4 = 1 then '$["n"]' when n % 4 = 2 then 'row 2 column 2 type' else 'byte ' || (strlen(html) - 1) end "location",
+case when n % 17 = 0 then 'member' when n % 4 = 0 then 'end' when n % 4 < 3 then n::varchar else '3e' end "expected", case when n % 17 = 0 then null when n % 4 = 0 then 'End' when n % 4 = 1 then '"' || n || '"' when n % 4 = 2 then n || '.0' else '3c' end found
+from p where n % 6 = 0 or n % 5 = 0 or n % 17 = 0""")
 def directory_diff(t: Tables) -> DataFrame:
-    path = url_path(F.col("url"))
-    a = t("pages").select("page_id", path.alias("path"), F.sha2("html", 256).alias("h"))
-    b = t("pages").select("page_id", path.alias("path"), F.sha2(F.when(F.col("page_id") % 6 == 0, F.concat("html", F.lit("!"))).otherwise(F.col("html")), 256).alias("h"))
-    both = compare.full(a, b, ["page_id", "path"])
-    root = F.split("path", "/")[0]
-    return both.groupBy(root.alias("root")).agg(F.count("*").alias("members"), F.count_if(~F.col("a.h").eqNullSafe(F.col("b.h"))).alias("changed"))
+    """Pages as members of four kinds, against a folder where some differ and some are gone."""
+    n = F.length("html")
+    p = t("pages").select("page_id", url_path(F.col("url")).alias("path"), "html", n.alias("n"), (n % 4).alias("kind"), ((n % 6 == 0) | (n % 5 == 0)).alias("edited"))
+    k = F.col("kind")
+    name = F.concat("path", F.when(k == 0, ".txt").when(k == 1, ".json").when(k == 2, ".csv").otherwise(".bin"))
+    size = F.col("n").cast("string")
+
+    def content(last: str, number: str, byte: str) -> Column:
+        quoted = F.format_string(number, size)
+        return F.when(k == 0, F.concat(F.regexp_replace("html", "\n", " "), F.lit("\n" + last))).when(k == 1, F.concat(F.lit('{"x": [1, 2], "n": '), quoted, F.lit("}"))).when(k == 2, F.concat(F.lit("id,n\n"), F.col("page_id").cast("string"), F.lit(","), F.replace(quoted, F.lit('"'), F.lit("")), F.lit("\n"))).otherwise(F.concat(F.substring("html", F.lit(1), F.length("html") - 1), F.lit(byte)))
+
+    changed = F.when(k == 2, content("End", "%s.0", "<")).otherwise(content("End", '"%s"', "<"))
+    old = p.select("page_id", name.alias("name"), content("end", "%s", ">").alias("content"))
+    new = p.where("n % 17 <> 0").select("page_id", name.alias("name"), F.when(F.col("edited"), changed).otherwise(content("end", "%s", ">")).alias("content"))
+    return member_differences(old, new, "page_id")
 
 
 TOLERANT = f"""with j as (select a.o_orderkey, a.o_orderstatus, case when b.o_orderkey is null then 'missing' when a.o_totalprice = b.o_totalprice then 'exact' when abs(cast(a.o_totalprice as decimal(30,10)) - cast(b.o_totalprice as decimal(30,10))) <= 0.01 then 'within' else 'changed' end outcome from orders a left join {PERTURBED} b using (o_orderkey))"""

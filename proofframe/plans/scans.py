@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..registry import Tables, query
 from ..sources import files, json_text
 from ..storage import shared_path
+from .joins import PATH_SQL, url_path
 
 
 @query("""select cast(o_orderkey as varchar) o_orderkey, cast(o_custkey as varchar) o_custkey, o_orderstatus, o_orderpriority from orders""")
@@ -44,14 +45,18 @@ def text_line_slice(t: Tables) -> DataFrame:
     return found.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.left("line", F.lit(40)).alias("part"))
 
 
-@query("""select page_id, case when starts_with(html, '<!DOCTYPE html') then 'html' when starts_with(html, '{') then 'json' else 'text' end observed,
-case when regexp_matches(url, '[.]json([?#]|$)') then 'json' else 'html' end declared,
-(case when starts_with(html, '<!DOCTYPE html') then 'html' when starts_with(html, '{') then 'json' else 'text' end) <> (case when regexp_matches(url, '[.]json([?#]|$)') then 'json' else 'html' end) mismatch from pages""")
+@query(f"""with p as (select page_id, {PATH_SQL} || ['.json', '.H5', '.npz', '.pkl', '.txt', '.bin', '.npz', '.csv', '.PICKLE', '.log', '.tsv'][length(html) % 11 + 1] path, length(html) % 11 k, length(html) % 3 d from pages),
+o as (select page_id, k, path, case when k in (1, 3) then 'hdf5' when k = 2 and not contains(path, '/.') then 'npz' else map {{'.json': 'json', '.csv': 'csv', '.tsv': 'tsv', '.log': 'text', '.txt': 'text'}}[regexp_extract(path, '[^/]([.][^./]*)$', 1)] end observed, case d when 0 then 'csv' when 1 then 'text' end declared from p)
+select page_id, observed, case when observed is null then case when k = 8 and not contains(path, '/.') then 'unsafe' else 'unsupported' end when declared <> observed then 'mismatch' end problem from o""")
 def classify_sources(t: Tables) -> DataFrame:
-    html = F.col("html")
-    seen = F.when(html.startswith("<!DOCTYPE html"), "html").when(html.startswith("{"), "json").otherwise("text")
-    said = F.when(F.col("url").rlike(r"[.]json([?#]|$)"), "json").otherwise("html")
-    return t("pages").select("page_id", seen.alias("observed"), said.alias("declared"), (seen != said).alias("mismatch"))
+    """Pages as files of eleven names: two begin as HDF5 (one named as a pickle), one of two NPZ as a ZIP."""
+    n = F.length("html")
+    suffixes = (".json", ".H5", ".npz", ".pkl", ".txt", ".bin", ".npz", ".csv", ".PICKLE", ".log", ".tsv")
+    path = F.concat(url_path(F.col("url")), F.element_at(F.array(*map(F.lit, suffixes)), (n % 11 + 1).cast("int")))
+    magic = F.when((n % 11).isin(1, 3), F.unhex(F.lit(files.HDF5_MAGIC))).when(n % 11 == 2, F.unhex(F.lit(files.ZIP_MAGIC[0]))).otherwise(F.unhex(F.lit("")))
+    head = F.concat(magic, F.col("html").cast("binary"))
+    declared = F.when(n % 3 == 0, "csv").when(n % 3 == 1, "text")
+    return t("pages").select("page_id", files.classified(path, head, declared).alias("c")).select("page_id", "c.*")
 
 
 @query()

@@ -74,6 +74,34 @@ def inventory(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.col("length").alias("size"), "modificationTime")
 
 
+# What files of a kind begin with, and the suffixes of kinds that begin with anything.
+HDF5_MAGIC = "894844460D0A1A0A"
+ZIP_MAGIC = ("504B0304", "504B0506", "504B0708")
+SUFFIXES = {".json": "json", ".csv": "csv", ".tsv": "tsv", ".log": "text", ".txt": "text"}
+UNSAFE_SUFFIXES = (".pkl", ".pickle")
+MAGIC_BYTES = 8
+
+
+def classified(path: Column, head: Column, declared: Column) -> Column:
+    """Struct of observed and problem of a file by its first bytes and suffix: HDF5 by its magic bytes whatever the
+    suffix, NPZ by a ZIP's and its suffix, the others by suffix alone. problem: unsafe (a suffix of formats that run code),
+    unsupported, or mismatch (declared isn't observed); null declared says nothing."""
+    suffix = F.lower(F.regexp_extract(path, r"[^/](\.[^./]*)$", 1))
+    first = F.hex(F.substring(head, 1, MAGIC_BYTES))
+    zipped = first.startswith(ZIP_MAGIC[0]) | first.startswith(ZIP_MAGIC[1]) | first.startswith(ZIP_MAGIC[2])
+    kinds = F.create_map(*(F.lit(x) for pair in SUFFIXES.items() for x in pair))
+    observed = F.when(first.startswith(HDF5_MAGIC), "hdf5").when(zipped & (suffix == ".npz"), "npz").otherwise(kinds[suffix])
+    problem = F.when(observed.isNull() & suffix.isin(*UNSAFE_SUFFIXES), "unsafe").when(observed.isNull(), "unsupported").when(declared != observed, "mismatch")
+    return F.struct(observed.alias("observed"), problem.alias("problem"))
+
+
+def classified_files(spark: SparkSession, path: str, declared: Column | None = None) -> DataFrame:
+    """path, observed and problem of every file below a folder that isn't empty (Spark's file scans leave empty ones out)."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    said = F.lit(None).cast("string") if declared is None else declared
+    return found.select("path", classified(F.col("path"), F.col("content"), said).alias("c")).select("path", "c.*")
+
+
 def npz_members(files: DataFrame) -> DataFrame:
     """file, member, dtype, shape, and values of NPZ files (path, content), one row for a member, in name order.
 

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..storage import shared_path
+from ..storage import exists, shared_path
 
 
 def event_summary(events: DataFrame) -> DataFrame:
@@ -73,26 +74,65 @@ def drained(spark: SparkSession, source: str, schema: str, build: Callable[[Data
     return rows
 
 
-def tee(df: DataFrame, sinks: dict[str, tuple[Callable[[DataFrame, int], None], bool]], state: str, timeout: int = 300) -> dict[str, str]:
+class Overdue(TimeoutError):
+    """The one deadline of all sinks has passed."""
+
+
+def tee(df: DataFrame, sinks: dict[str, tuple[Callable[[DataFrame, int], None], bool]], state: str, timeout: float = 300) -> dict[str, str]:
     """One stream to several sinks. A sink is (write(batch, number), required): an optional one that fails is left out
-    from then on and the others go on; a required one's failure ends the stream and is raised. Gives each sink's state."""
-    status = dict.fromkeys(sinks, "complete")
+    from then on and the others go on; a required one's failure ends the stream and is raised. Gives each sink's state.
+
+    A ledger beside the stream's state has a row for each sink and batch that is done, and for each optional sink that has
+    failed, so a batch that runs again, after a restart too, goes to those sinks alone that lack it. Where a run dies
+    between a sink's write and its row, the sink sees the same batch and number again: `by_batch` writes over what it
+    wrote. The deadline holds for all sinks together: once it has passed no sink is begun and the stream ends with Overdue."""
+    spark, ledger, schema = df.sparkSession, f"{state}/ledger", "sink string, batch long, failure string"
+    end = time.monotonic() + timeout
+    rows = spark.read.schema(schema).parquet(ledger).collect() if exists(spark, ledger) else []
+    done = {(r["sink"], r["batch"]) for r in rows if r["failure"] is None}
+    status = dict.fromkeys(sinks, "complete") | {r["sink"]: r["failure"] for r in rows if r["failure"] is not None and r["sink"] in sinks}
+
+    def enter(batch: DataFrame, name: str, number: int, failure: str | None) -> None:
+        batch.sparkSession.range(1).select(F.lit(name).alias("sink"), F.lit(number).cast("long").alias("batch"), F.lit(failure).cast("string").alias("failure")).write.mode("append").parquet(ledger)
 
     def write(batch: DataFrame, number: int) -> None:
+        todo = [n for n in sinks if status[n] == "complete" and (n, number) not in done]
+        if not todo:
+            return
         batch.persist()
-        for name, (sink, required) in sinks.items():
-            if status[name] != "complete":
-                continue
-            try:
-                sink(batch, number)
-            except Exception as e:  # a sink is foreign code
-                status[name] = f"failed: {json.dumps(str(e)[:200])}"
-                if required:
-                    raise
-        batch.unpersist()
-
-    q = df.writeStream.trigger(availableNow=True).option("checkpointLocation", state).foreachBatch(write).start()
-    if not q.awaitTermination(timeout):
-        q.stop()
-        raise TimeoutError("the stream did not end in time")
+        try:
+            for name in todo:
+                sink, required = sinks[name]
+                try:
+                    if time.monotonic() > end:
+                        raise Overdue(f"no time is left for {name}")
+                    sink(batch, number)
+                except Exception as e:  # a sink is foreign code
+                    if required or isinstance(e, Overdue):
+                        raise
+                    status[name] = f"failed: {json.dumps(str(e)[:200])}"
+                    enter(batch, name, number, status[name])
+                else:
+                    enter(batch, name, number, None)
+                    done.add((name, number))
+        finally:
+            batch.unpersist()
+
+    q = df.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{state}/stream").foreachBatch(write).start()
+    try:
+        if not q.awaitTermination(max(0.001, end - time.monotonic())):
+            raise Overdue("the stream did not end in time")
+    finally:
+        if q.isActive:
+            q.stop()
     return status
+
+
+def by_batch(path: str, condition: Column | None = None) -> Callable[[DataFrame, int], None]:
+    """A sink of Parquet files below path, a folder for each batch: a batch that comes again takes the place of its first
+    writing."""
+
+    def sink(batch: DataFrame, number: int) -> None:
+        (batch if condition is None else batch.where(condition)).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return sink
