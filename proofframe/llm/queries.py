@@ -61,8 +61,7 @@ def op8_rank_order_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_bloom_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(RULES, "action string, host string, path string")
-    return url_filter.judge(table(spark, sf_dir, "pages"), rules)
+    return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.rule_table(spark, RULES))
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

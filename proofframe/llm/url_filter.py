@@ -8,7 +8,7 @@ to an exact hash join with the rules, which removes false positives; of the rule
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORDS = 8
@@ -16,6 +16,8 @@ PROBES = 5
 KEYS_PER_BLOCK = 48  # some ten bits a key
 #: Up to so many rules (some 20 MB with their filter) both sides are broadcast; beyond, Spark shuffles the joins.
 BROADCAST_RULES = 200_000
+#: Pages of one host and path key are dealt to so many tasks when they get their verdicts.
+SALTS = 16
 
 
 def host_of(url: Column) -> Column:
@@ -54,6 +56,12 @@ def may_contain(key: Column, words: Column) -> Column:
     return ok
 
 
+def rule_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:
+    """Rules (action, host, path) as a table."""
+    rows = [F.struct(*(F.lit(x).alias(n) for x, n in zip(r, ("action", "host", "path"), strict=True))) for r in rules]
+    return spark.range(1).select(F.inline(F.array(*rows)))
+
+
 def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
     """page_id, host, path, rule, verdict of every page.
 
@@ -63,7 +71,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     everything gets default.
 
     Distinct URL keys are looked up, so a host that a third of all pages share costs a few keys; verdicts go back to
-    pages by host and the short path key they hang on.
+    pages by host and the short path key they hang on, each verdict SALTS times, so that such a host is many tasks' work.
     """
     listed = rules.groupBy(F.concat("host", "path").alias("key"), "host", "path").agg(F.min("action").alias("action"))
     listed = listed.select("key", F.col("host").alias("rule_host"), F.col("path").alias("rule_path"), "action")
@@ -88,5 +96,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     exact = (F.col("suffix") == F.col("rule_host")) & (F.col("start") == F.col("rule_path"))
     fits = passed.join(near(listed), "key").where(exact)
     best = fits.groupBy("host", "head").agg(F.max_by(F.struct("key", "action"), F.struct(F.length("key"), "key")).alias("best"))
-    out = parts.withColumn("head", head).join(best, ["host", "head"], "left")
+    best = best.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS)).cast("int")
+    out = parts.withColumns({"head": head, "salt": salt}).join(best, ["host", "head", "salt"], "left")
     return out.select("page_id", "host", "path", F.col("best.key").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
