@@ -25,6 +25,7 @@ from .token_ids import token_ids
 WINDOW = 4096
 GRAIN = 16
 SALTS_ROWS = 50_000  # pieces for each part of a bin that is ranked by one task, about
+CELLS = 4096  # parts of all ranks that seats are cut at
 BATCH_BYTES = 2_000_000
 
 
@@ -142,7 +143,8 @@ def pack(found: DataFrame, window: int = WINDOW, grain: int = GRAIN) -> DataFram
 
     found has doc_id, start and length from 1 to window; it is read several times and should be stored. Repeated rows
     are pieces of their own. An empty table gives no rows. What the driver gathers is the histogram of window/grain
-    bins; the seats, at most some thousand rows, are broadcast. A bin is ranked in salted parts, so pieces of one
+    bins; the seats, at most some thousand rows, cut at every
+    CELLS-th part of all ranks so that a piece meets those of its own ranks alone, are broadcast. A bin is ranked in salted parts, so pieces of one
     length that are a third of all do not meet in one task.
     """
     bins = window // grain
@@ -156,9 +158,11 @@ def pack(found: DataFrame, window: int = WINDOW, grain: int = GRAIN) -> DataFram
     counts = counts.select("bin", "salt", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     own = F.row_number().over(Window.partitionBy("bin", "salt").orderBy("piece.doc_id", "piece.start")) - 1
     ranked = binned.withColumn("own", own).join(counts, ["bin", "salt"]).select("piece", "bin", (F.col("own") + F.col("before")).alias("rank"))
-    places = seats(plan(histogram, bins)) or [(0, 0, 0, 0, 0)]
-    places = F.broadcast(found.sparkSession.createDataFrame(places, "bin int, first long, end long, sequence long, slot int"))
-    seated = ranked.join(places, "bin").where((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("end")))
+    cell = max(1, -(-sum(histogram.values()) // CELLS))
+    places = [(b, c, r, e, s, slot) for b, r, e, s, slot in seats(plan(histogram, bins)) for c in range(r // cell, -(-e // cell))] or [(0, 0, 0, 0, 0, 0)]
+    places = F.broadcast(found.sparkSession.createDataFrame(places, "bin int, cell long, first long, end long, sequence long, slot int"))
+    seated = ranked.withColumn("cell", F.floor(F.col("rank") / cell)).join(places, ["bin", "cell"])
+    seated = seated.where((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("end")))
     seated = seated.select("piece", "slot", (F.col("sequence") + F.col("rank") - F.col("first")).alias("sequence_id"))
     before = Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)  # <= window rows
     offset = F.coalesce(F.sum("piece.length").over(before), F.lit(0))
