@@ -11,7 +11,6 @@ Pre-tokens of up to SHORT bytes are merged many at a time, as rows of one array;
 from __future__ import annotations
 
 import base64
-import gc
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -182,7 +181,6 @@ class TextEncoder:
     piece that is empty or begins with white space may belong to a longer run of it: such a text is matched whole."""
 
     def __init__(self, bpe: SegmentTreeBPE, pattern: str, limit: int = 300_000):
-        gc.disable()  # nothing here makes cycles; the many cached strings would be walked again and again
         self.bpe, self.pattern, self.limit = bpe, regex.compile(pattern), limit
         self.pretokens: dict[str, bytes] = {}
         self.words = WordCache(lambda pieces: self.encode_strings([" " + p for p in pieces]), limit)

@@ -81,7 +81,10 @@ def slices(sizes: Iterable[int], limit: int) -> Iterator[tuple[int, int]]:
 
 class WordCache:
     """Encodings of texts as concatenations of their words' encodings, each word encoded once while the bounded cache
-    has it; when the cache is full, only the words of the texts at hand stay. encode(words) gives bytes for each."""
+    has it; when the cache is full, only the words of the texts at hand stay, and words above LONG characters stay for
+    their batch alone, so that few of them can't fill the memory. encode(words) gives bytes for each."""
+
+    LONG = 64
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 300_000):
         self.encode, self.limit, self.cache = encode, limit, {}
@@ -93,7 +96,11 @@ class WordCache:
             self.cache = {w: self.cache[w] for w in words.difference(new)}
         self.cache.update(zip(new, self.encode(new), strict=True))
         get = self.cache.__getitem__
-        return [b"".join(map(get, x)) for x in lists]
+        out = [b"".join(map(get, x)) for x in lists]
+        for w in new:
+            if len(w) > self.LONG:
+                del self.cache[w]
+        return out
 
 
 def cut_long(text: str, limit: int = 1_000_000) -> list[str]:
