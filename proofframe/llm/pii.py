@@ -1,11 +1,11 @@
 """Personal data by weak supervision, in DataFrame functions alone.
 
 Spans of four base kinds are found by fixed patterns and checks. Beside them, looser patterns propose candidate spans
-(obfuscated e-mail addresses, national telephone numbers, secrets with a known beginning or assigned in quotes, account
-numbers); candidates that overlap a base span are no candidates. On each one labelers vote: a strict pattern, a
-gazetteer that holds a term of the candidate, words in the context before it, and its shape. Votes are counted over all
-documents by pattern, a table of bounded size; expectation-maximisation on that table estimates each labeler's
-reliability without labels and gives each vote pattern a probability. A logistic classifier is trained on those
+(written-out e-mail addresses, groups of digits, assigned values and long runs of letters and digits, account numbers),
+loose enough that labelers disagree and most candidates are none; candidates that overlap a base span are left out. On
+each one labelers vote: a strict pattern, a gazetteer that holds a term of the candidate, words in the context before it,
+and its shape. Votes are counted over all documents by pattern, a table of bounded size; expectation-maximisation on that
+table estimates each labeler's reliability for each kind without labels and gives each vote pattern a probability. A logistic classifier is trained on those
 probabilities; its features are the kind, the votes, and what no labeler sees: length, share of digits, variety of
 characters and what stands behind. Candidates that it accepts are added.
 """
@@ -35,30 +35,30 @@ HINT = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){15
 #: candidate or of the text before it (in lower case) that the gazetteer is asked for, words of the context.
 EXTRA = {
     "email_written": {
-        "loose": r"[A-Za-z0-9._%+-]{1,64}\x20?[\[(](?:at|AT)[\])]\x20?[A-Za-z0-9-]{1,64}(?:\x20?[\[(](?:dot|DOT)[\])]\x20?[A-Za-z0-9-]{1,32}){1,4}",
-        "hint": r"[\[(](?:at|AT)[\])]",
-        "strict": r"^[A-Za-z0-9._%+-]+\x20?.at.",
+        "loose": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:\x20?[\[(](?:at|AT)[\])]\x20?|\x20(?:at|AT)\x20)[A-Za-z0-9-]++(?:(?:\x20?[\[(](?:dot|DOT)[\])]\x20?|\x20(?:dot|DOT)\x20)[A-Za-z0-9-]++)++",
+        "hint": r"[\[(\x20](?:at|AT)[\])\x20].*[\[(\x20](?:dot|DOT)[\])\x20]",
+        "strict": r"^[A-Za-z0-9._%+-]+\x20?[\[(]at[\])]",
         "term": ("hit", r"([a-z]+)$"),
         "context": r"(?i)(?:mail|contact|write|reach)",
     },
     "phone_national": {
-        "loose": r"(?<![0-9+)\x20.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9])|(?<=[^0-9+)(.-]\x20)\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9])",
-        "hint": r"[0-9]{3}[.-][0-9]{4}",
+        "loose": r"(?<![0-9+)\x20.-])\(?[0-9]{2,5}\)?(?:[\x20.-][0-9]{2,5}){1,4}(?![0-9])|(?<=[^0-9+)(.-]\x20)\(?[0-9]{2,5}\)?(?:[\x20.-][0-9]{2,5}){1,4}(?![0-9])",
+        "hint": r"[0-9]{2}\)?[\x20.-][0-9]{2}",
         "strict": r"^(?:\([2-9][0-9]{2}\)\x20|[2-9][0-9]{2}[.-])[0-9]{3}[.-][0-9]{4}$",
         "term": ("before", r"([a-z]+)[^a-z]{0,3}$"),
         "context": r"(?i)(?:phone|call|tel|mobile|fax|dial)",
     },
     "secret": {
-        "loose": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{12,20}|gh[pousr]_[A-Za-z0-9]{20,80}|sk-[A-Za-z0-9]{16,80})(?![A-Za-z0-9])|(?<=[=:]\x20{0,2}[\"'])[A-Za-z0-9+/=_.-]{16,512}(?=[\"'])",
-        "hint": r"AKIA|gh[pousr]_|sk-|[=:]\x20{0,2}[\"'][A-Za-z0-9+/=_.-]{16}",
-        "strict": r"^(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{32,}|[0-9A-Fa-f]{32}|[0-9A-Fa-f]{40}|[0-9A-Fa-f]{64}|[A-Za-z0-9+/]{40,}={0,2})$",
+        "loose": r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}|(?<=[=:][\x20]{0,2}[\"']{0,1})(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_.!@#$%^&*~-]{6,}+",
+        "hint": r"[A-Za-z0-9+/_-]{16}|[=:]\x20{0,2}[\"']?[A-Za-z0-9+/_.!@#$%^&*~-]{6}",
+        "strict": r"^(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{32,}|[0-9A-Fa-f]{32}|[0-9A-Fa-f]{40}|[0-9A-Fa-f]{64}|(?=[^0-9]*[0-9])(?=[^A-Z]*[A-Z])[A-Za-z0-9+/]{40,}={0,2})$",
         "term": ("before", r"([a-z]+)[^a-z]{0,6}$"),
-        "context": r"(?i)(?:key|token|secret|passw|aws|api|auth|credential)",
+        "context": r"(?i)(?:key|token|secret|passw|aws|api|auth|credential)[^=:]{0,24}[=:]",
     },
     "iban": {
-        "loose": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?![A-Za-z0-9])",
+        "loose": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,8}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
         "hint": r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{4}",
-        "strict": r"^[A-Z]{2}[0-9]{2}(?:\x20?[0-9]{4}){3,7}$",
+        "strict": r"^[A-Z]{2}[0-9]{2}(?:\x20?[0-9]{4}){3,7}(?:\x20?[0-9]{1,3})?$",
         "term": ("hit", r"^([a-z]{2})"),
         "context": r"(?i)(?:iban|account|bank|konto)",
     },
@@ -75,7 +75,8 @@ LABELERS = ("strict", "gazetteer", "context", "shape")
 TRAITS = {"length": 3, "digits": 3, "variety": 3, "closed": 2}
 CHUNK = 256  # matches whose places are summed up at a time
 CONTEXT = 40
-PRIOR = 0.5
+PRIOR = 0.25
+START, WEIGHT = (0.8, 0.2), 10  # chances to vote on true and false spans at first, and of how many spans these count as
 ROUNDS = 50
 
 
@@ -148,9 +149,9 @@ def shaped(kind: str, hit: Column, digit: Column, variety: Column) -> Column:
     """The labeler of shapes: letters and digits mixed as in a key, or as many digits as a number has."""
     n = F.length(hit)
     if kind == "secret":
-        return (n >= 20) & (digit > 0) & (digit < n) & (variety >= 8)
+        return (n >= 12) & (variety >= 8) & (((digit > 0) & (digit < n)) | hit.rlike("^[A-Z0-9]{16,}$"))
     if kind == "phone_national":
-        return digit == 10
+        return digit.between(9, 11)
     if kind == "iban":
         return digit * 2 >= n
     return variety >= 6
@@ -213,32 +214,32 @@ def by_votes(counts: dict[tuple, int]) -> dict[tuple, int]:
     return out
 
 
-def estimate(counts: dict[tuple, int]) -> tuple[dict[str, float], list[tuple[float, float]]]:
-    """Prior of each kind, and of each labeler the chance to vote on true and on false spans, by EM over all kinds.
+def estimate(counts: dict[tuple, int]) -> tuple[dict[str, float], dict[str, list[tuple[float, float]]]]:
+    """Prior of each kind, and for each kind each labeler's chance to vote on true and on false spans, by EM.
     counts: (kind, votes...) to numbers.
 
-    Labelers start as better than chance and keep a pseudo-count of that, so that without data they stay so."""
+    Labelers start as better than chance; a pseudo-count of START's weight keeps that where a kind has little data. A
+    kind's prior has a pseudo-count of one true span in four, so it falls where a kind has few candidates or none."""
     prior = dict.fromkeys(EXTRA, PRIOR)
-    rates = [(0.8, 0.2)] * len(LABELERS)
+    rates = {k: [START] * len(LABELERS) for k in EXTRA}
     for _ in range(ROUNDS):
         true = {p: posterior(p, prior, rates) for p in counts}
         for k in EXTRA:
-            n = sum(c for p, c in counts.items() if p[0] == k)
-            prior[k] = (2 + sum(c * true[p] for p, c in counts.items() if p[0] == k)) / (4 + n)
-        yes = sum(c * true[p] for p, c in counts.items())
-        no = sum(c * (1 - true[p]) for p, c in counts.items())
-        new = []
-        for i in range(len(LABELERS)):
-            hit = sum(c * true[p] * p[1 + i] for p, c in counts.items())
-            false = sum(c * (1 - true[p]) * p[1 + i] for p, c in counts.items())
-            new.append(((hit + 8) / (yes + 10), (false + 2) / (no + 10)))
-        rates = new
+            own = [(p, c, c * true[p]) for p, c in counts.items() if p[0] == k]
+            n, yes = sum(c for _, c, _ in own), sum(t for *_, t in own)
+            prior[k] = (1 + yes) / (4 + n)
+            new = []
+            for i in range(len(LABELERS)):
+                hit = sum(t * p[1 + i] for p, _, t in own)
+                false = sum((c - t) * p[1 + i] for p, c, t in own)
+                new.append(((hit + WEIGHT * START[0]) / (yes + WEIGHT), (false + WEIGHT * START[1]) / (n - yes + WEIGHT)))
+            rates[k] = new
     return prior, rates
 
 
-def posterior(pattern: tuple, prior: dict[str, float], rates: list[tuple[float, float]]) -> float:
+def posterior(pattern: tuple, prior: dict[str, float], rates: dict[str, list[tuple[float, float]]]) -> float:
     yes, no = prior[pattern[0]], 1 - prior[pattern[0]]
-    for v, (hit, false) in zip(pattern[1 : 1 + len(LABELERS)], rates, strict=True):
+    for v, (hit, false) in zip(pattern[1 : 1 + len(LABELERS)], rates[pattern[0]], strict=True):
         yes *= hit if v else 1 - hit
         no *= false if v else 1 - false
     return yes / (yes + no)

@@ -494,7 +494,7 @@ def test_em_finds_the_reliable_labelers():
         votes = tuple(int(r.random() < (hit if true else false)) for hit, false in ((0.95, 0.02), (0.9, 0.05), (0.7, 0.3), (0.85, 0.1)))
         counts["secret", *votes] = counts.get(("secret", *votes), 0) + 1
     prior, rates = pii.estimate(counts)
-    assert abs(prior["secret"] - 0.4) < 0.05 and all(abs(a - b) < 0.06 for got, want in zip(rates, ((0.95, 0.02), (0.9, 0.05), (0.7, 0.3), (0.85, 0.1)), strict=True) for a, b in zip(got, want, strict=True))
+    assert abs(prior["secret"] - 0.4) < 0.05 and all(abs(a - b) < 0.06 for got, want in zip(rates["secret"], ((0.95, 0.02), (0.9, 0.05), (0.7, 0.3), (0.85, 0.1)), strict=True) for a, b in zip(got, want, strict=True))
 
 
 def test_pii_finds_assigned_secrets_and_many_matches(spark):
