@@ -25,10 +25,10 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, label: str = "step") -> DataFrame:
+def stored(df: DataFrame, label: str = "step", **options: str) -> DataFrame:
     """df written once and read again: it isn't computed twice, its lineage ends, and lost executors lose none of it."""
     path = shared_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.parquet(path, **options)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -47,3 +47,9 @@ def discarded(df: DataFrame) -> None:
     """Deletes the files of a stored table that no plan reads any more."""
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
         removed(df.sparkSession, folder)
+
+
+def freed(spark: SparkSession) -> None:
+    """Has the driver collect its garbage, so that Spark's cleaner drops the shuffle files of steps that are written and
+    done; else they stay until a collection happens by itself, beside those of all later steps."""
+    spark._jvm.System.gc()
