@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import os
 import re
-import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import shared_folder, stored  # noqa: F401
 
 ARROW_LIMIT, ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 2_000_000
 
@@ -19,26 +18,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the cluster's spark.checkpoint.dir. Only where that is unset on a
-    local master (tests, one machine) one under /tmp is set; on a cluster executors couldn't see each other's."""
-    if not (base := spark.conf.get("spark.checkpoint.dir", "") or ""):
-        if not (base := spark.sparkContext.getCheckpointDir() or ""):
-            if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-            base = f"/tmp/proofframe-{os.getuid()}-checkpoints"
-            spark.sparkContext.setCheckpointDir(base)
-    elif spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(base)
-    return base
-
-
 def written(df: DataFrame, label: str, **options: str) -> DataFrame:
     """df, written once as Parquet in the shared folder and read again: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path, **options)
-    return spark.read.schema(df.schema).parquet(path)
+    return stored(df, label, **options)
 
 
 def small_batches(spark: SparkSession) -> None:

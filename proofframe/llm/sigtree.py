@@ -28,8 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import components as star
+from ..storage import discarded, freed
 from .common import docs_text, slices, written
-from .components import components
 from .shingles import Parts, Sets, Shingler, text_bytes
 
 BATCH_BYTES = 1_000_000
@@ -39,6 +40,7 @@ BITS, MOST_BITS = 16, 1 << 18  # bits of a bitmap for each shingle, and of one b
 BLOCK_BYTES = 8_000_000  # of bitmaps that a tree holds; larger buckets are split into pairs of blocks
 PAIRS_BYTES = 8_000_000  # of bitmaps that one step of a traversal compares
 BROADCAST_ROWS = 1_000_000  # 16 bytes each
+TASK_PAIRS = 500  # of one class, verified by one task
 
 
 def linked(x: np.ndarray, y: np.ndarray, t: Fraction) -> bool:
@@ -132,6 +134,10 @@ def bitmap(s: np.ndarray) -> np.ndarray:
     return np.packbits(out, bitorder="little").view(np.uint64)
 
 
+def components(links: DataFrame) -> DataFrame:
+    return star(links.select(F.col("x").alias("src"), F.col("y").alias("dst")))
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, text and key: the doc_id, or a hash of the text where that is null."""
     return docs_text(docs).withColumn("key", F.coalesce("doc_id", F.xxhash64("text")))
@@ -147,6 +153,16 @@ def merged(label: DataFrame, links: DataFrame) -> DataFrame:
     return written(old.unionByName(joined.join(label, "node", "left_anti")), "labels")
 
 
+def attached(pairs: DataFrame, sets: DataFrame, end: str, name: str) -> DataFrame:
+    """pairs with the shingles of the class at one end, as the column name. The pairs of a class with more than TASK_PAIRS
+    are dealt to several tasks and its set to each of them."""
+    busy = pairs.groupBy(end).agg(F.ceil(F.count("*") / TASK_PAIRS).cast("int").alias("tasks")).where("tasks > 1")
+    dealt = pairs.join(busy, end, "left").withColumn("salt", F.pmod(F.xxhash64("x", "y"), F.coalesce("tasks", F.lit(1))).cast("int")).drop("tasks")
+    copies = sets.select(F.col("a").alias(end), F.col("shingles").alias(name)).join(busy, end, "left")
+    copies = copies.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("tasks", F.lit(1)) - 1))).drop("tasks")
+    return dealt.join(copies, [end, "salt"]).drop("salt")
+
+
 def traverse(parts: list[tuple[list[np.ndarray], list[np.ndarray]]], t: Fraction) -> tuple[np.ndarray, np.ndarray]:
     """The pairs of classes of one pair of blocks that the trees let through. parts: the rows' columns and bitmaps."""
     _, i, j, block, a, label, size = (np.concatenate(c) for c in zip(*(p[0] for p in parts), strict=True))
@@ -227,8 +243,8 @@ class JaccardJoin:
         return rows.repartition(n, "bucket").sortWithinPartitions("bucket", "a").mapInArrow(star, "bucket long, leader long, a long")
 
     def sets_of(self, docs: DataFrame, reps: DataFrame) -> DataFrame:
-        """a, shingles (sorted hashes as bytes), their number n and bitmap of the classes in reps (key, a). Equal rows of
-        docs give equal rows, which do no harm in the joins that follow."""
+        """a, shingles (sorted hashes as bytes), their number n and bitmap of the classes in reps (key, a), for each row of
+        docs that has the key; see one_each."""
 
         def make(batch: pa.RecordBatch, sets: Sets) -> pa.RecordBatch:
             ids, want = sets.ids(), np.asarray(batch.column(3))
@@ -241,7 +257,8 @@ class JaccardJoin:
         return self.map_sets(rows, make, "a long, n long, bits binary, shingles binary")
 
     def verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """The pairs (x, y) whose sets reach the threshold."""
+        """The pairs (x, y) whose sets reach the threshold. sets has one row for a class; that of a class with many pairs
+        is sent to several tasks."""
         t = self.t
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,20 +267,19 @@ class JaccardJoin:
                 keep = [linked(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), t) for a, b in zip(p, q, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array([v for v, k in zip(c, keep, strict=True) if k], pa.int64()) for c in (x, y)], names=["x", "y"])
 
-        left = sets.select(F.col("a").alias("x"), F.col("shingles").alias("p"))
-        right = sets.select(F.col("a").alias("y"), F.col("shingles").alias("q"))
-        return pairs.join(right, "y").join(left, "x").select("x", "y", "p", "q").mapInArrow(run, "x long, y long")
+        both = attached(attached(pairs.select("x", "y"), sets, "y", "q"), sets, "x", "p")
+        return both.select("x", "y", "p", "q").mapInArrow(run, "x long, y long")
 
     def tree_pairs(self, open_buckets: DataFrame, sets: DataFrame) -> DataFrame:
         """Pairs of different labels (bucket, a, label) that the signature trees of their buckets let through."""
         t = self.t
-        rows = open_buckets.join(sets.select("a", "n", F.octet_length("bits").alias("bytes")).distinct(), "a")
+        rows = open_buckets.join(sets.select("a", "n", F.octet_length("bits").alias("bytes")), "a")
         counts = rows.groupBy("bucket").agg(F.ceil(F.sum("bytes") / BLOCK_BYTES).cast("int").alias("blocks"))
         rows = rows.join(counts, "bucket").withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
         # a block meets every block of its bucket once: as (small, large)
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         rows = rows.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "a", "label")
-        rows = rows.join(sets.select("a", "n", "bits").distinct(), "a")
+        rows = rows.join(sets.select("a", "n", "bits"), "a")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             """Rows by (bucket, i, j): what one of these has is held, no more."""
@@ -290,28 +306,46 @@ class JaccardJoin:
     def run(self, docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(doc_id, n_shingles, a) of all documents, (node, label) of linked classes, and links (x, y) between classes
         that were verified; between linked classes of one component not every link is listed."""
+        spark = docs.sparkSession
         ids = written(self.classes(docs), "classes")
         members = written(self.members(docs), "members")
+        freed(spark)
         pairs = members.select(F.least("leader", "a").alias("x"), F.greatest("leader", "a").alias("y")).distinct()
+        pairs = written(pairs, "pairs")
         wanted = members.select("a").union(members.select("leader")).distinct()
-        reps = ids.where("n_shingles > 0").join(wanted, "a", "left_semi").groupBy("a").agg(F.min("key").alias("key"))
-        sets = written(self.sets_of(docs, written(reps, "reps")), "sets")
+        reps = written(ids.where("n_shingles > 0").join(wanted, "a", "left_semi").groupBy("a").agg(F.min("key").alias("key")), "reps")
+        sets = self.one_each(written(self.sets_of(docs, reps), "sets"), reps)
         links = written(self.verified(pairs, sets), "links")
         label = written(components(links), "labels")
         named = written(self.shared(members), "buckets")
+        for done in (members, reps):
+            discarded(done)
+        freed(spark)
         for turn in range(LEADERS):
             open_ = self.open_buckets(named, label, turn)
             star = open_.where("label <> leader.label").select(F.least("a", "leader.a").alias("x"), F.greatest("a", "leader.a").alias("y")).distinct()
-            more = written(self.verified(star, sets), "links")
+            more = written(self.verified(written(star, "pairs"), sets), "links")
+            freed(spark)
             if more.isEmpty():
                 break
             links, label = links.unionByName(more), merged(label, more)
         open_ = written(self.open_buckets(named, label, 0).drop("leader"), "open")
-        more = written(self.verified(self.tree_pairs(open_, sets), sets), "links")
+        discarded(named)
+        more = written(self.verified(written(self.tree_pairs(open_, sets), "pairs"), sets), "links")
+        freed(spark)
         if not more.isEmpty():
             links, label = links.unionByName(more), merged(label, more)
+        discarded(sets)
         return ids, label, links
 
+    def one_each(self, sets: DataFrame, reps: DataFrame) -> DataFrame:
+        """sets with one row for a class: rows that repeat a document have brought its class as often."""
+        if sets.count() <= reps.count():
+            return sets
+        one = written(sets.dropDuplicates(["a"]), "sets")
+        discarded(sets)
+        return one
+
     def shared(self, members: DataFrame) -> DataFrame:
         """bucket, a of buckets of three classes or more, one bucket for each set of classes. A bucket of two has been
         verified whole by its leader."""
