@@ -62,10 +62,12 @@ def check_expectations(t: Tables) -> DataFrame:
     return t("nation").agg((F.count("*") == 25).alias("matches_ok"), (first == F.array(*map(F.lit, (0, 1, 2)))).alias("identity_ok"), (F.count_distinct("n_regionkey") == 4).alias("shape_ok"))
 
 
-@query("""select sha256(text) target, count(distinct source) declared, list_sort(list(doc_id)) owners from documents group by 1 having count(distinct source) > 1""")
+@query("""with d as (select sha256(text) target, source, doc_id from documents), c as (select target, count(distinct source) declared from d group by 1 having count(distinct source) > 1) select target, declared, doc_id "owner" from c join d using (target)""")
 def declaration_conflicts(t: Tables) -> DataFrame:
-    rows = t("documents").groupBy(F.sha2("text", 256).alias("target")).agg(F.count_distinct("source").alias("declared"), F.array_sort(F.collect_list("doc_id")).alias("owners"))
-    return rows.where("declared > 1")
+    """Texts that several sources declare, a row for each document that does."""
+    d = t("documents").select(F.sha2("text", 256).alias("target"), "source", F.col("doc_id").alias("owner"))
+    several = d.groupBy("target").agg(F.count_distinct("source").alias("declared")).where("declared > 1")
+    return d.join(several, "target").select("target", "declared", "owner")
 
 
 @query("""select user_id, case when s = 0 then 'none' else 'several' end ambiguity, s producers from (select user_id, count(*) filter (event_type = 'signup') s from events group by 1) where s <> 1""")

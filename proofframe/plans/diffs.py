@@ -117,7 +117,8 @@ def array_diff(t: Tables) -> DataFrame:
     return d.select("vec_id", "d.shape_equal", "d.first")
 
 
-@query()
+@query("""with e as (select vec_id // 100 container, vec_id member, embedding v from embeddings), o as (select container, member, case when member % 7 = 0 then list_reverse(v) else v end v from e where member % 13 <> 0)
+select e.container, case when o.member is null then 'deleted' when len(list_filter(range(1, len(e.v) + 1), lambda i: e.v[i] is distinct from o.v[i] or (e.v[i] = 0 and signbit(e.v[i]) <> signbit(o.v[i])))) > 0 then 'changed' else 'same' end change, count(*) n from e left join o using (container, member) group by 1, 2""")
 def container_diff(t: Tables) -> DataFrame:
     """Named arrays of two sides, by container and member."""
     e = t("embeddings").select(F.floor(F.col("vec_id") / 100).alias("container"), F.col("vec_id").alias("member"), F.col("embedding").cast("array<double>").alias("v"))
@@ -201,7 +202,10 @@ def presentation_check(t: Tables) -> DataFrame:
     return t("supplier").select("s_suppkey", F.array_contains(render.forms([text, text], "plus_minus"), shown).alias("ok"))
 
 
-@query()
+@query(r"""with l as (select doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) line_no from documents),
+k as (select doc_id, line_no, unnest(regexp_extract_all(' ' || line, '\s([+-]?[0-9][^\s]*)', 1)) token from l where not contains(line, '|'))
+select doc_id, line_no, token from k where not regexp_matches(token, '^[0-9]{4}-[0-9]{2}-[0-9]{2}$') and not regexp_matches(token, '(?i)^[0-9]+\s*PH(\b|$)') and not regexp_matches(token, '[A-Za-z_][A-Za-z0-9_.-]*\s*=') and not regexp_matches(token, '^[0-9a-fA-F]{12,}$')
+and not regexp_matches(token, '^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$') and token not in (select event_id::varchar from events)""")
 def unreferenced_numbers(t: Tables) -> DataFrame:
     """Numbers in prose outside table lines that no event value refers to."""
     lines = files.lines(t("documents"), "text", "doc_id").where(~F.col("line").contains("|"))
@@ -232,12 +236,12 @@ def subset_fingerprint(t: Tables) -> DataFrame:
     return c.groupBy("conv_id").agg(group_digest("turn", "h").alias("digest"))
 
 
-@query("""select conv_id, sha256(string_agg(n || ':' || text, '' order by turn)) digest from (select conv_id, turn, text, strlen(text) n from conversations) group by 1""")
+@query("""select conv_id, sha256(string_agg(n || ':' || h, '' order by turn, h)) digest from (select conv_id, turn, sha256(text) h, strlen(text) n from conversations) group by 1""")
 def tree_hash(t: Tables) -> DataFrame:
-    """Length-prefixed members in order."""
-    part = F.struct("turn", F.concat(F.octet_length("text").cast("string"), F.lit(":"), "text").alias("p"))
+    """A hash of hashes: each member's length and digest in order, so texts are hashed where they are and don't meet."""
+    part = F.struct("turn", F.sha2("text", 256).alias("h"), F.octet_length("text").cast("string").alias("n"))
     rows = t("conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(part)).alias("parts"))
-    return rows.select("conv_id", F.sha2(F.array_join(F.transform("parts", lambda p: p["p"]), ""), 256).alias("digest"))
+    return rows.select("conv_id", F.sha2(F.array_join(F.transform("parts", lambda p: F.concat(p["n"], F.lit(":"), p["h"])), ""), 256).alias("digest"))
 
 
 def earlier_documents(t: Tables) -> DataFrame:

@@ -65,7 +65,9 @@ def lineage_many(t: Tables) -> DataFrame:
     return reach(seeds, e, ("root",)).groupBy("root").agg(F.count("*").alias("nodes"), F.max("depth").alias("depth"))
 
 
-@query()
+@query(f"""with recursive bad as (select 'customer:' || c_custkey node from customer where c_custkey % 2 = 0),
+r(node, depth) as (select 'region:3', 0 union select dst, depth + 1 from r join {FK_SQL} on src = r.node where r.node not in (select node from bad))
+select node, depth, case when node in (select node from bad) then 'failed' else 'ok' end outcome from r""")
 def lineage_defects(t: Tables) -> DataFrame:
     """Walk from region 3; nodes of even customers are failed: they are reported and end their own branch only."""
     e = foreign_keys(t)

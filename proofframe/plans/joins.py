@@ -147,16 +147,21 @@ def overlapping_owners(t: Tables) -> DataFrame:
     return owned(t).where("path <> owner").groupBy("owner").agg(F.count("*").alias("n")).where("n > 1")
 
 
-@query("""select a.event_id a, b.event_id b from events a join events b on a.user_id = b.user_id and a.event_id < b.event_id and a.ts::date = b.ts::date where a.event_type in ('purchase', 'signup') or b.event_type in ('purchase', 'signup')""")
+@query("""with e as (select event_id, user_id, ts::date d, event_type in ('purchase', 'signup') w from events) select a.event_id, count(*) conflicts from e a join e b on a.user_id = b.user_id and a.d = b.d and a.event_id <> b.event_id where a.w or b.w group by 1""")
 def claim_conflicts(t: Tables) -> DataFrame:
+    """Each event with the number of its user's events of that day that it conflicts with: one that writes with all others,
+    one that reads with those that write. Counts of user-days say that without pairs."""
+    key = ["user_id", "day"]
     e = t("events").select("event_id", "user_id", F.to_date("ts").alias("day"), F.col("event_type").isin("purchase", "signup").alias("write"))
-    b = e.select(F.col("event_id").alias("b"), "user_id", "day", F.col("write").alias("other"))
-    return e.join(b, ["user_id", "day"]).where("event_id < b and (write or other)").select(F.col("event_id").alias("a"), "b")
+    n = e.groupBy(*key).agg(F.count("*").alias("n"), F.count_if("write").alias("writes"))
+    conflicts = F.when(F.col("write"), F.col("n") - 1).otherwise(F.col("writes"))
+    return e.join(n, key).select("event_id", conflicts.alias("conflicts")).where("conflicts > 0")
 
 
-@query(f"""select o as "owner", list_sort(list(page_id)) consumers from (select page_id, {PATH_SQL} p from pages where page_id % 5 <> 0) join {OWNERS} on p = o or starts_with(p, o || '/') group by 1""")
+@query(f"""select distinct o as "owner", page_id from (select page_id, {PATH_SQL} p from pages where page_id % 5 <> 0) join {OWNERS} on p = o or starts_with(p, o || '/')""")
 def consumers_of_targets(t: Tables) -> DataFrame:
-    return owned(t).where("page_id % 5 <> 0").groupBy("owner").agg(F.array_sort(F.collect_set("page_id")).alias("consumers"))
+    """Owners and their consumers, a row for each pair; every fifth page is retained and exempt."""
+    return owned(t).where("page_id % 5 <> 0").select("owner", "page_id").distinct()
 
 
 @query("""select p_partkey, max(case when starts_with(p_type || ' ', x || ' ') then x end) prefix from part left join (select distinct split_part(p_type, ' ', 1) x from part union select distinct split_part(p_type, ' ', 1) || ' ' || split_part(p_type, ' ', 2) from part where p_partkey % 2 = 0) on true group by 1""")
