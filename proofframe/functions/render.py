@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+JVM_DIGITS = 15  # digits or places up to which the JVM's number format is used
 WIDE = Context(prec=2_000, Emin=MIN_EMIN, Emax=MAX_EMAX)
 
 # Grammars of numbers in text, of cells, units written without a space, names of boolean styles.
@@ -32,20 +33,47 @@ def parse(text: Column, kind: str) -> Column:
     return F.when(is_number(text, kind), text.try_cast("decimal(38,18)"))
 
 
-def exactly(x: Column, write: Callable[[Decimal], str]) -> Column:
+def exactly(x: Column, write: Callable[[Decimal], str], plain: Column | None = None, safe: Column | None = None) -> Column:
     """write(value) of a number column, from a double's exact binary value; null for null, NaN and infinities.
 
-    The type is known when Spark plans, so only one of the two functions runs."""
+    plain is what the JVM gives for doubles, safe says where that rounds by the exact value as well: Python then sees the
+    others alone. The type is known when Spark plans, so only one of the two functions runs."""
 
     @F.pandas_udf("string")
     def doubles(s: pd.Series) -> pd.Series:
+        if not s.notna().any():
+            return pd.Series([None] * len(s), dtype=object)
         return s.map(lambda v: write(Decimal.from_float(float(v))) if isfinite(v) else None)
 
     @F.pandas_udf("string")
     def texts(s: pd.Series) -> pd.Series:
         return s.map(lambda v: None if v is None else write(Decimal(v)))
 
-    return F.when(F.typeof(x).isin("double", "float"), doubles(x.cast("double"))).otherwise(texts(x.cast("string")))
+    double = x.cast("double")
+    wide = doubles(double) if plain is None else F.when(safe, plain).otherwise(doubles(F.when(~safe, double)))
+    return F.when(F.typeof(x).isin("double", "float"), wide).otherwise(texts(x.cast("string")))
+
+
+def formatted(x: Column, pattern: str | Column) -> Column:
+    """A double by a pattern of the JVM's number format: half to even on the exact value, as long as it asks for JVM_DIGITS
+    figures at most, since it knows no more of the value than its shortest spelling; no sign before zero."""
+    text = F.call_function("format_number", x.cast("double"), F.lit(pattern) if isinstance(pattern, str) else pattern)
+    return F.when(text.rlike("^-[0.]+(?:E0)?$"), F.substring(text, F.lit(2), F.length(text))).otherwise(text)
+
+
+def few_figures(x: Column, places: int) -> Column:
+    """Whether a double with that many places has JVM_DIGITS figures at most."""
+    return F.abs(x.cast("double")) < 10.0 ** (JVM_DIGITS - places)
+
+
+def full_figures(x: Column) -> Column:
+    """Whether a double is zero, or large enough to have the precision of JVM_DIGITS figures."""
+    size = F.abs(x.cast("double"))
+    return (size == 0) | ((size > 1e-290) & (size < float("inf")))
+
+
+def places_pattern(places: int) -> str:
+    return "0." + "0" * places if places > 0 else "0"
 
 
 def scaled(x: Column, factor: str) -> Column:
@@ -53,10 +81,12 @@ def scaled(x: Column, factor: str) -> Column:
 
 
 def half_even(x: Column, places: int) -> Column:
-    """x rounded half to even at a decimal place (tens: -1), as decimal(38, places); doubles by their exact value."""
+    """x rounded half to even at a decimal place (tens: -1), as decimal(38, places); doubles by their exact value, null
+    where that has no room."""
     kind = f"decimal(38,{max(places, 0)})"
-    text = exactly(x, lambda v: format(Decimal(round(v.scaleb(places, WIDE))).scaleb(-places, WIDE), "f"))
-    return F.when(F.typeof(x).isin("double", "float"), text.cast(kind)).otherwise(F.bround(x, places).cast(kind))
+    plain = formatted(x, places_pattern(places)) if 0 <= places <= JVM_DIGITS else None
+    text = exactly(x, lambda v: format(Decimal(round(v.scaleb(places, WIDE))).scaleb(-places, WIDE), "f"), plain, few_figures(x, places))
+    return F.when(F.typeof(x).isin("double", "float"), text.try_cast(kind)).otherwise(F.bround(x, places).cast(kind))
 
 
 def fixed(x: Column, places: int) -> Column:
@@ -66,7 +96,8 @@ def fixed(x: Column, places: int) -> Column:
         return text if text.strip("-0.") else text.lstrip("-")
 
     inner = F.bround(x, places).cast(f"decimal(38,{places})").cast("string")
-    return F.when(F.typeof(x).isin("double", "float"), exactly(x, write)).otherwise(inner)
+    plain = formatted(x, places_pattern(places)) if places <= JVM_DIGITS else None
+    return F.when(F.typeof(x).isin("double", "float"), exactly(x, write, plain, few_figures(x, places))).otherwise(inner)
 
 
 def significant(x: Column, digits: int) -> Column:
@@ -80,7 +111,14 @@ def significant(x: Column, digits: int) -> Column:
         rounded = Decimal(format(v, f".{digits - 1}e"))
         return format(rounded, f".{max(digits - 1 - rounded.adjusted(), 0)}f")
 
-    return exactly(x, write)
+    plain = None
+    if digits <= JVM_DIGITS:
+        text = formatted(x, places_pattern(digits - 1) + "E0")
+        part = lambda i: F.regexp_extract(text, "^(-?)([0-9.]+)E(-?[0-9]+)$", i)
+        run, e = F.replace(part(2), F.lit("."), F.lit("")), part(3).cast("int")
+        shifted = F.when(e >= digits - 1, F.concat(run, F.repeat(F.lit("0"), e - digits + 1))).when(e >= 0, F.concat(F.left(run, e + 1), F.lit("."), F.substring(run, e + 2, F.lit(digits)))).otherwise(F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), run))
+        plain = F.concat(part(1), shifted)
+    return exactly(x, write, plain, full_figures(x))
 
 
 def scientific(x: Column, digits: int) -> Column:
@@ -90,7 +128,8 @@ def scientific(x: Column, digits: int) -> Column:
         c, e = format(v if v else Decimal(0), f".{digits - 1}e").split("e")
         return f"{c}e{int(e) if v else 0}"
 
-    return exactly(x, write)
+    plain = F.lower(formatted(x, places_pattern(digits - 1) + "E0")) if digits <= JVM_DIGITS else None
+    return exactly(x, write, plain, full_figures(x))
 
 
 def grouped(x: Column) -> Column:
