@@ -26,8 +26,8 @@ from pyspark.sql.window import Window
 
 from .common import written
 
-M = 16
-CONFIDENCE = 0.95
+M = 32
+CONFIDENCE = 0.92
 K = 10
 LEAF = 64
 BLOCK = 8_192  # rows that a task holds at a time
