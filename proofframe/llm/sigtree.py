@@ -12,9 +12,10 @@ Tree. The classes of a bucket are leaves of a signature tree: nodes hold the OR
 range of their sizes. A traversal of node pairs drops a pair when its largest possible overlap, from the sizes and
 from the bits that one side lacks, is below what the threshold asks; what is left is verified on the whole sets.
 
-Order of work. First every class of a bucket is verified against the bucket's leader only, then against some other
-leaders. Buckets that are wholly one component then need no more; in the others all pairs of different components go through the tree. So a group of
-thousands of near copies costs its size, not its square, and links between components are all found.
+Order of work. First every class of a bucket meets the bucket's leader only, then some other leaders: leaf against leaf, by
+the tree's bound, and what it lets through is verified. Buckets that are wholly one component then need no more; in the
+others all pairs of different components go through the tree. So a group of thousands of near copies costs its size, not
+its square, and links between components are all found.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from .shingles import Parts, Sets, Shingler, text_bytes
 
 BATCH_BYTES = 1_000_000
 FANOUT = 4
-LEADERS = 3  # further leaders that buckets are verified against before the trees
+LEADERS = 1  # further leaders that buckets meet before the trees
 BITS, MOST_BITS = 16, 1 << 18  # bits of a bitmap for each shingle, and of one bitmap
 BLOCK_BYTES = 8_000_000  # of bitmaps that a tree holds; larger buckets are split into pairs of blocks
 PAIRS_BYTES = 8_000_000  # of bitmaps that one step of a traversal compares
@@ -153,22 +154,44 @@ def merged(label: DataFrame, links: DataFrame) -> DataFrame:
     return written(old.unionByName(joined.join(label, "node", "left_anti")), "labels")
 
 
-def attached(pairs: DataFrame, sets: DataFrame, end: str, name: str) -> DataFrame:
-    """pairs with the shingles of the class at one end, as the column name. The pairs of a class with more than TASK_PAIRS
-    are dealt to several tasks and its set to each of them."""
-    busy = pairs.groupBy(end).agg(F.ceil(F.count("*") / TASK_PAIRS).cast("int").alias("tasks")).where("tasks > 1")
+def counted(small: DataFrame) -> DataFrame:
+    """A table of few longs, written, and broadcast where it has at most BROADCAST_ROWS."""
+    small = written(small, "counted")
+    return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
+
+
+def attached(pairs: DataFrame, sets: DataFrame, end: str, columns: dict[str, str]) -> DataFrame:
+    """pairs with columns of sets (by their new names) of the class at one end. The pairs of a class with more than
+    TASK_PAIRS are dealt to several tasks and its row to each of them."""
+    busy = counted(pairs.groupBy(end).agg(F.ceil(F.count("*") / TASK_PAIRS).cast("int").alias("tasks")).where("tasks > 1"))
     dealt = pairs.join(busy, end, "left").withColumn("salt", F.pmod(F.xxhash64("x", "y"), F.coalesce("tasks", F.lit(1))).cast("int")).drop("tasks")
-    copies = sets.select(F.col("a").alias(end), F.col("shingles").alias(name)).join(busy, end, "left")
+    copies = sets.select(F.col("a").alias(end), *(F.col(c).alias(n) for c, n in columns.items())).join(busy, end, "left")
     copies = copies.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("tasks", F.lit(1)) - 1))).drop("tasks")
     return dealt.join(copies, [end, "salt"]).drop("salt")
 
 
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("x").alias("a")).union(pairs.select("y")).distinct()
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    return np.bitwise_or.reduce(bits.reshape(-1, words), axis=0) if len(bits) > words else bits
+
+
+def near(a: np.ndarray, size_a: int, b: np.ndarray, size_b: int, t: Fraction) -> bool:
+    """Whether two leaves may link, by their bitmaps and sizes."""
+    words = min(len(a), len(b))
+    a, b = folded(a, words), folded(b, words)
+    leaves = [[np.array([n]), np.array([n]), x[None], np.array([n - int(np.bitwise_count(x).sum())]), np.array([i]), np.array([i])] for i, (x, n) in enumerate(((a, size_a), (b, size_b)))]
+    return bool(possible(*leaves, t, True)[0])
+
+
 def traverse(parts: list[tuple[list[np.ndarray], list[np.ndarray]]], t: Fraction) -> tuple[np.ndarray, np.ndarray]:
     """The pairs of classes of one pair of blocks that the trees let through. parts: the rows' columns and bitmaps."""
     _, i, j, block, a, label, size = (np.concatenate(c) for c in zip(*(p[0] for p in parts), strict=True))
     maps = [m for p in parts for m in p[1]]
     words = min(map(len, maps))
-    bits = np.stack([np.bitwise_or.reduce(m.reshape(-1, words), axis=0) if len(m) > words else m for m in maps])  # wider ones are folded
+    bits = np.stack([folded(m, words) for m in maps])
     left, right = np.flatnonzero(block == i[0]), np.flatnonzero(block == j[0])
     if not len(left) or not len(right):
         return a[:0], a[:0]
@@ -256,6 +279,21 @@ class JaccardJoin:
         rows = keyed(docs).join(F.broadcast(reps) if small else reps, "key").select("doc_id", "text", "key", "a")
         return self.map_sets(rows, make, "a long, n long, bits binary, shingles binary")
 
+    def tested(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """The pairs (x, y) that the bound of the tree's leaves lets through: most of those that share no more than a
+        passage end here, for an eighth of the bytes of their sets or a quarter."""
+        t = self.t
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x, y, n, m, p, q = (c.to_pylist() for c in batch.columns)
+                keep = [near(np.frombuffer(a, np.uint64), i, np.frombuffer(b, np.uint64), j, t) for a, i, b, j in zip(p, n, q, m, strict=True)]
+                yield pairs_batch([(np.array(x, np.int64)[keep], np.array(y, np.int64)[keep])] if keep else [])
+
+        with_y = attached(pairs.select("x", "y"), sets, "y", {"n": "m", "bits": "q"})
+        both = attached(with_y, sets, "x", {"n": "n", "bits": "p"})
+        return both.select("x", "y", "n", "m", "p", "q").mapInArrow(run, "x long, y long")
+
     def verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The pairs (x, y) whose sets reach the threshold. sets has one row for a class; that of a class with many pairs
         is sent to several tasks."""
@@ -267,7 +305,9 @@ class JaccardJoin:
                 keep = [linked(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), t) for a, b in zip(p, q, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array([v for v, k in zip(c, keep, strict=True) if k], pa.int64()) for c in (x, y)], names=["x", "y"])
 
-        both = attached(attached(pairs.select("x", "y"), sets, "y", "q"), sets, "x", "p")
+        pairs = written(pairs, "pairs")
+        sets = sets.join(counted(ends(pairs)), "a", "left_semi")
+        both = attached(attached(pairs.select("x", "y"), sets, "y", {"shingles": "q"}), sets, "x", {"shingles": "p"})
         return both.select("x", "y", "p", "q").mapInArrow(run, "x long, y long")
 
     def tree_pairs(self, open_buckets: DataFrame, sets: DataFrame) -> DataFrame:
@@ -315,23 +355,23 @@ class JaccardJoin:
         wanted = members.select("a").union(members.select("leader")).distinct()
         reps = written(ids.where("n_shingles > 0").join(wanted, "a", "left_semi").groupBy("a").agg(F.min("key").alias("key")), "reps")
         sets = self.one_each(written(self.sets_of(docs, reps), "sets"), reps)
-        links = written(self.verified(pairs, sets), "links")
+        links = written(self.verified(self.tested(pairs, sets), sets), "links")
         label = written(components(links), "labels")
         named = written(self.shared(members), "buckets")
-        for done in (members, reps):
+        for done in (members, reps, pairs):
             discarded(done)
         freed(spark)
         for turn in range(LEADERS):
             open_ = self.open_buckets(named, label, turn)
             star = open_.where("label <> leader.label").select(F.least("a", "leader.a").alias("x"), F.greatest("a", "leader.a").alias("y")).distinct()
-            more = written(self.verified(written(star, "pairs"), sets), "links")
+            more = written(self.verified(self.tested(written(star, "pairs"), sets), sets), "links")
             freed(spark)
             if more.isEmpty():
                 break
             links, label = links.unionByName(more), merged(label, more)
         open_ = written(self.open_buckets(named, label, 0).drop("leader"), "open")
         discarded(named)
-        more = written(self.verified(written(self.tree_pairs(open_, sets), "pairs"), sets), "links")
+        more = written(self.verified(self.tree_pairs(open_, sets), sets), "links")
         freed(spark)
         if not more.isEmpty():
             links, label = links.unionByName(more), merged(label, more)
