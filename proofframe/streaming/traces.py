@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..storage import exists, shared_path
+from ..storage import exists, removed, shared_path
 
 
 def event_summary(events: DataFrame) -> DataFrame:
@@ -20,33 +20,55 @@ def event_summary(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").agg(F.count("*").alias("events"), F.count_if(F.col("event_type") == "error").alias("errors"), F.count_if(F.try_parse_json("props").isNull()).alias("invalid"), F.sum(cents).alias("cents"))
 
 
-def boundaries(spark: SparkSession, source: str, schema: str, pattern: str = "*", files_per_batch: int | None = None) -> DataFrame:
-    """event_id of each event at which its user's error count grew, with that count k, each emitted once, after all that
-    is in the folder has run through a stream.
+PARTS = 64  # of the users' counters; a batch rewrites those that it touches
+
 
-    The counters of users are a table, one generation for each batch; a batch takes its numbers from the generation
-    before and writes its own rows and counters to paths that hold its number, so a batch that is run again overwrites
-    what it wrote. Within a batch events count in order of event_id, and batches in order of arrival. No counter is ever
-    dropped. Rows of a batch are numbered by a window over its user's errors in JVM operators alone."""
-    out, counters = shared_path(spark, "boundaries"), shared_path(spark, "boundary-counters")
-    schema_of_counters = "user_id long, n long"
+def boundaries(spark: SparkSession, source: str, schema: str, pattern: str = "*", files_per_batch: int | None = None, folder: str | None = None) -> DataFrame:
+    """event_id of each event at which its user's error count grew, with that count k, each emitted once, after all that
+    is in the folder source has run through a stream. With a folder of the caller's a later call goes on from there with
+    what has come since; without one it begins anew.
+
+    The counters of users are a table in PARTS parts by a hash of the user. A batch takes its numbers from the parts as the
+    batch before left them, writes the parts that it touches under its own number, and then a list of which batch wrote
+    each part last. So a batch that is run again writes over what it wrote, and parts that neither this list nor the one
+    before names are deleted. Within a batch events count in order of event_id, and batches in order of arrival. No counter
+    is ever dropped. Rows of a batch are numbered by a window over its user's errors in JVM operators alone."""
+    folder = folder or shared_path(spark, "boundaries")
+    counters = "user_id long, n long"
+
+    def listed(s: SparkSession, number: int) -> dict[int, int]:
+        """part to the batch that wrote it last: at most PARTS rows."""
+        if number < 0:
+            return {}
+        return {r["part"]: r["batch"] for r in s.read.schema("part int, batch long").parquet(f"{folder}/lists/{number}").collect()}
 
     def count(batch: DataFrame, number: int) -> None:
         s = batch.sparkSession
-        before = s.read.schema(schema_of_counters).parquet(f"{counters}/{number - 1}") if number else s.createDataFrame([], schema_of_counters)
+        part = F.pmod(F.xxhash64("user_id"), F.lit(PARTS)).cast("int")
         errors = batch.where("event_type = 'error'").select("user_id", "event_id")
-        own = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
-        numbered = errors.withColumn("own", own).join(before, "user_id", "left")
-        numbered.select("event_id", (F.col("own") + F.coalesce("n", F.lit(0))).cast("long").alias("k")).write.mode("overwrite").parquet(f"{out}/batch={number}")
-        after = before.unionByName(errors.groupBy("user_id").agg(F.count("*").alias("n"))).groupBy("user_id").agg(F.sum("n").alias("n"))
-        after.write.mode("overwrite").parquet(f"{counters}/{number}")
+        own = errors.groupBy("user_id").agg(F.count("*").alias("n")).withColumn("part", part)
+        touched = [r["part"] for r in own.select("part").distinct().collect()]  # PARTS at most
+        known = listed(s, number - 1)
+        paths = [f"{folder}/counters/{known[p]}/part={p}" for p in touched if p in known]
+        before = s.read.schema(counters).parquet(*paths) if paths else s.createDataFrame([], counters)
+        place = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+        numbered = errors.withColumn("own", place).join(before, "user_id", "left")
+        numbered.select("event_id", (F.col("own") + F.coalesce("n", F.lit(0))).cast("long").alias("k")).write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+        after = before.unionByName(own.select("user_id", "n")).groupBy("user_id").agg(F.sum("n").alias("n"))
+        after.withColumn("part", part).write.mode("overwrite").partitionBy("part").parquet(f"{folder}/counters/{number}")
+        now = known | dict.fromkeys(touched, number)
+        s.createDataFrame(sorted(now.items()), "part int, batch long").coalesce(1).write.mode("overwrite").parquet(f"{folder}/lists/{number}")
+        for p, b in listed(s, number - 2).items():
+            if b not in (known.get(p), now[p]):
+                removed(s, f"{folder}/counters/{b}/part={p}")
+        removed(s, f"{folder}/lists/{number - 3}")
 
     reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    writer = reader.parquet(source).writeStream.trigger(availableNow=True).option("checkpointLocation", shared_path(spark, "stream-state"))
+    writer = reader.parquet(source).writeStream.trigger(availableNow=True).option("checkpointLocation", f"{folder}/state")
     writer.foreachBatch(count).start().awaitTermination()
-    return spark.read.schema("event_id long, k long, batch int").parquet(out).select("event_id", "k")
+    return spark.read.schema("event_id long, k long, batch int").parquet(f"{folder}/out").select("event_id", "k")
 
 
 def drained(spark: SparkSession, source: str, schema: str, build: Callable[[DataFrame], DataFrame], mode: str = "append", pattern: str = "*", files_per_batch: int | None = None) -> DataFrame:
