@@ -19,8 +19,11 @@ def same(a: Column, b: Column, kind: str) -> Column:
 
 
 def within(a: Column, b: Column, tolerance: str) -> Column:
-    """Whether numbers differ by at most tolerance, in exact decimals of the printed values."""
-    return F.abs(a.cast("decimal(30,10)") - b.cast("decimal(30,10)")) <= F.lit(Decimal(tolerance))
+    """Whether numbers differ by at most tolerance: in decimals of the printed values, to 18 places, where these have room
+    (below 1e20), else as doubles. NaN is within no tolerance of anything."""
+    x, y = a.try_cast("decimal(38,18)"), b.try_cast("decimal(38,18)")
+    number = ~F.isnan(a.cast("double")) & ~F.isnan(b.cast("double"))
+    return number & F.coalesce(F.abs(x - y) <= F.lit(Decimal(tolerance)), F.abs(a.cast("double") - b.cast("double")) <= float(tolerance))
 
 
 def bytes_diff(a: Column, b: Column, block: int = 512) -> Column:

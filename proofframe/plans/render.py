@@ -86,9 +86,9 @@ def fn_forms(t: Tables) -> DataFrame:
     )
 
 
-@query()
+@query("""select p_partkey, rtrim(rtrim(format('{:.80f}', p_retailprice / 7), '0'), '.') v from part""")
 def fn_exact_float(t: Tables) -> DataFrame:
-    return t("lineitem").select("l_discount").distinct().select("l_discount", r.exact_float(F.col("l_discount")).alias("v"))
+    return t("part").select("p_partkey", r.exact_float(F.col("p_retailprice") / 7).alias("v"))
 
 
 @query("""select o_orderkey, o_orderkey || ':' || o_orderstatus v from orders""")

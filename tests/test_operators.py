@@ -28,6 +28,13 @@ def test_tolerance(spark):
     assert rows(got) == [(1, "within"), (2, "exact"), (3, "changed"), (4, "missing")]
 
 
+def test_tolerance_of_tiny_huge_and_missing_numbers(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(1.0, 1.00000000000001), (1e25, 1.0000000000001e25), (1e25, 2e25), (nan, nan), (nan, 1.0), (float("inf"), 1.0), (0.1, 0.3)], "a double, b double")
+    assert [r[0] for r in df.select(compare.within(F.col("a"), F.col("b"), "0.000000000001")).collect()] == [True, False, False, False, False, False, False]
+    assert [r[0] for r in df.select(compare.within(F.col("a"), F.col("b"), "0.2")).collect()] == [True, False, False, False, False, False, True]
+
+
 def test_array_diff_keeps_the_sign_of_zero(spark):
     nan = float("nan")
     df = spark.createDataFrame([([nan, 0.0, 3.0], [nan, -0.0, 3.0]), ([nan, 0.0], [nan, 0.0])], "a array<double>, b array<double>")
