@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from decimal import MAX_EMAX, MIN_EMIN, Context, Decimal
+from functools import reduce
 from math import isfinite
 
 import pandas as pd
@@ -13,11 +14,21 @@ from pyspark.sql import functions as F
 JVM_DIGITS = 15  # digits or places up to which the JVM's number format is used
 WIDE = Context(prec=2_000, Emin=MIN_EMIN, Emax=MAX_EMAX)
 
-# Grammars of numbers in text, of cells, units written without a space, names of boolean styles.
+# Grammars of numbers in text, of cells, of tokens that look like numbers, units written without a space,
+# names of boolean styles.
 INTEGER = r"^-?(?:0|[1-9][0-9]*)\z"
 DECIMAL = r"^-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?\z"
 CELL_INTEGER = r"^[+-]?(?:0|[1-9][0-9]*)\z"
 CELL_FLOAT = r"(?i)^[+-]?(?:(?:[0-9]+\.[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?|[0-9]+e[+-]?[0-9]+|inf(?:inity)?|nan)\z"
+NUMBER_START = r"^[\s~≈<>≤≥(\[{]*[-+]?(?:[0-9]|\.[0-9])"
+NOT_NUMBERS = {
+    "assignment": r"[A-Za-z_][A-Za-z0-9_.-]*\s*=",
+    "date": r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$",
+    "hash": r"^[0-9a-fA-F]{12,}$",
+    "option": r"^--",
+    "pH": r"(?i)^[0-9]+\s*PH(?:\b|$)",
+    "UUID": r"^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
+}
 ATTACHED_UNITS = ("%", "°", "°C", "°F", "x")
 BOOLEAN_STYLES = {"pass_fail": ("Pass", "Fail"), "true_false": ("true", "false"), "yes_no": ("yes", "no")}
 FORM_VALUES = {"interval": (3, 3), "plus_minus": (2, 2), "range": (2, 2), "scalar": (1, 1), "text": (1, 1), "tuple": (2, 8)}
@@ -185,14 +196,11 @@ def cell_type(text: Column) -> Column:
 
 
 def numeric_expression(token: Column) -> Column:
-    """Whether a token presents a number: it starts as one, after brackets and signs of comparison, and isn't a date, an
-    option, a pH, an assignment, a hash or a UUID."""
+    """Whether a token presents a number: its first letter or digit, after brackets, signs of comparison and a sign, begins
+    one, and the token as a whole is none of the NOT_NUMBERS."""
     text = F.regexp_replace(token, r"^\s+|\s+$", "")
-    other = [r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$", "^--", r"(?i)^[0-9]+\s*PH(?:\b|$)", r"[A-Za-z_][A-Za-z0-9_.-]*\s*=", "^[0-9a-fA-F]{12,}$", "^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"]
-    holds = text.rlike(r"(?:^|[^A-Za-z0-9_])[-+]?(?:[0-9]|\.[0-9])") & text.rlike(r"^[\s~≈<>≤≥(\[{]*[-+]?(?:[0-9]|\.[0-9])")
-    for pattern in other:
-        holds = holds & ~text.rlike(pattern)
-    return holds
+    start = F.regexp_extract(text, NUMBER_START, 0) != ""
+    return start & ~reduce(Column.__or__, (text.rlike(p) for p in NOT_NUMBERS.values()))
 
 
 def preview(text: Column, n: int = 1024) -> Column:
