@@ -12,7 +12,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from proofframe.llm import ann, bpe, langid, mpegts, packing, pii, sigtree, token_store, toxicity, url_filter
-from proofframe.llm.components import components
 from proofframe.llm.queries import BYTE_BPE, RULES, WORD_BPE
 from proofframe.storage import shared_path
 
@@ -224,7 +223,7 @@ def test_tree_finds_what_all_pairs_find():
 
 def test_components(spark):
     edges = spark.createDataFrame([(5, 4), (4, 3), (9, 8), (3, 2), (2, 1), (8, 7), (1, 5)], "x long, y long")
-    assert rows(components(edges)) == [(1, 1), (2, 1), (3, 1), (4, 1), (5, 1), (7, 7), (8, 7), (9, 7)]
+    assert rows(sigtree.components(edges)) == [(1, 1), (2, 1), (3, 1), (4, 1), (5, 1), (7, 7), (8, 7), (9, 7)]
 
 
 # 7
@@ -412,11 +411,11 @@ def test_traversal_in_small_steps_finds_the_same(monkeypatch):
 
 
 def test_components_by_rounds(spark, monkeypatch):
-    from proofframe.llm import components as module
+    from proofframe.operators import components as module
 
     monkeypatch.setattr(module, "TASK_EDGES", 0)
     edges = spark.createDataFrame([(5, 4), (4, 3), (9, 8), (3, 2), (2, 1), (8, 7), (1, 5)], "x long, y long")
-    assert rows(module.components(edges)) == [(1, 1), (2, 1), (3, 1), (4, 1), (5, 1), (7, 7), (8, 7), (9, 7)]
+    assert rows(sigtree.components(edges)) == [(1, 1), (2, 1), (3, 1), (4, 1), (5, 1), (7, 7), (8, 7), (9, 7)]
 
 
 def test_links_of_null_doc_ids_are_kept(spark):
