@@ -83,6 +83,13 @@ def full_figures(x: Column) -> Column:
     return (size == 0) | ((size > 1e-290) & (size < float("inf")))
 
 
+def full_and_no_tie(x: Column, digits: int) -> Column:
+    """full_figures, and the spelling isn't halfway between two numbers of that many figures: of whole doubles such as
+    198500 the JVM thinks that the spelling isn't exact, and rounds up."""
+    spelled = F.call_function("format_number", x.cast("double"), F.lit("0." + "#" * JVM_DIGITS + "E0"))
+    return full_figures(x) & ~spelled.rlike(rf"^-?[0-9]\.[0-9]{{{digits - 1}}}5E")
+
+
 def places_pattern(places: int) -> str:
     return "0." + "0" * places if places > 0 else "0"
 
@@ -129,7 +136,7 @@ def significant(x: Column, digits: int) -> Column:
         run, e = F.replace(part(2), F.lit("."), F.lit("")), part(3).cast("int")
         shifted = F.when(e >= digits - 1, F.concat(run, F.repeat(F.lit("0"), e - digits + 1))).when(e >= 0, F.concat(F.left(run, e + 1), F.lit("."), F.substring(run, e + 2, F.lit(digits)))).otherwise(F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), run))
         plain = F.concat(part(1), shifted)
-    return exactly(x, write, plain, full_figures(x))
+    return exactly(x, write, plain, full_and_no_tie(x, digits))
 
 
 def scientific(x: Column, digits: int) -> Column:
@@ -140,7 +147,7 @@ def scientific(x: Column, digits: int) -> Column:
         return f"{c}e{int(e) if v else 0}"
 
     plain = F.lower(formatted(x, places_pattern(digits - 1) + "E0")) if digits <= JVM_DIGITS else None
-    return exactly(x, write, plain, full_figures(x))
+    return exactly(x, write, plain, full_and_no_tie(x, digits))
 
 
 def grouped(x: Column) -> Column:

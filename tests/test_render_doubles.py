@@ -54,3 +54,12 @@ def test_doubles_are_rounded_by_their_exact_values(spark):
 def test_what_is_no_number(spark):
     df = spark.createDataFrame([(None,), (float("nan"),), (float("inf"),)], "x double")
     assert {tuple(r) for r in df.select(render.fixed(F.col("x"), 2), render.significant(F.col("x"), 3), render.scientific(F.col("x"), 3)).collect()} == {(None, None, None)}
+
+
+def test_ties_of_whole_numbers_go_to_the_even_figure(spark):
+    xs = [198500.0, 65450.0, 9725.0, 9715.0, 1005.0, 1015.0, -1005.0, 25.0, 2500.0, 1.985e20, 0.125, 12.25, 1.5, 2.5, 0.0625]
+    xs += [float(k * 10**e + 5 * 10 ** (e - 1)) for k in range(100, 120) for e in (1, 2, 6, 12)] + [(2 * k + 1) / 2**n for k in range(60) for n in range(1, 12)]
+    v = F.col("x")
+    out = [(f"e{d}", render.scientific, plain_scientific, d) for d in (1, 2, 3, 4)] + [(f"s{d}", render.significant, plain_significant, d) for d in (1, 2, 3, 4)] + [(f"f{d}", render.fixed, plain_fixed, d) for d in (0, 1, 2, 3)]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", *(f(v, d).alias(n) for n, f, _, d in out)).collect()
+    assert [(r["x"], n, r[n]) for r in got for n, _, plain, d in out if r[n] != plain(r["x"], d)] == []
