@@ -6,6 +6,9 @@ when its partner lies on one with a further neighbour of it. Coins decide who is
 trees of any length take rounds by their logarithm. What is left goes to one task once it is small. Larger, every node takes
 the greatest node that reaches it as its colour, doubling the way at each step; from the nodes that kept their own colour
 the walk back inside the colour finds one component each; edges between colours lie on no cycle, and the rest begins anew.
+
+Joins of a round are marked as merge joins: tables shrink from round to round, and Spark would collect each that has become
+small enough for a broadcast at the driver, again and again.
 """
 
 from __future__ import annotations
@@ -30,11 +33,11 @@ def contracted(edges: DataFrame, turn: int) -> tuple[DataFrame, DataFrame, DataF
     outs = edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n_out"), F.min("dst").alias("w"))
     coin = lambda c: F.pmod(F.xxhash64(c, F.lit(turn)), F.lit(2)) == 1
     partner = F.when(F.col("n_in") == 1, F.col("u")).when(F.col("n_out") == 1, F.col("w"))
-    both = ins.join(outs, "node").select("node", (F.col("n_in") == 1).alias("from_u"), partner.alias("p"))
+    both = ins.join(outs.hint("merge"), "node").select("node", (F.col("n_in") == 1).alias("from_u"), partner.alias("p"))
     able = F.col("p").isNotNull()
     nodes = stored(both.select("node", "from_u", able.alias("able"), F.when(coin("node") & ~coin("p"), F.col("p")).alias("p")), "nodes")
     end = lambda c: nodes.select(F.col("node").alias(c), F.col("p").alias(f"{c}_p"), F.col("from_u").alias(f"{c}_from"))
-    named = edges.join(end("src"), "src").join(end("dst"), "dst")
+    named = edges.join(end("src").hint("merge"), "src").join(end("dst").hint("merge"), "dst")
     merging = (F.col("dst_from") & F.col("dst_p").eqNullSafe(F.col("src"))) | (~F.col("src_from") & F.col("src_p").eqNullSafe(F.col("dst")))
     named = stored(named.where(~merging).select("*", F.coalesce("src_p", "src").alias("x"), F.coalesce("dst_p", "dst").alias("y")), "named")
     further = named.where("src_p is not null and src_from").select(F.col("src").alias("node"), F.col("src_p").alias("p"), F.col("y").alias("q"))
@@ -49,10 +52,10 @@ def coloured(edges: DataFrame) -> DataFrame:
     ends = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
     colours = stored(ends.select("node", F.col("node").alias("colour")), "colours")
     while True:
-        sent = edges.join(colours, edges["src"] == colours["node"]).groupBy(F.col("dst").alias("node")).agg(F.max("colour").alias("sent"))
-        step = colours.join(sent, "node", "left").select("node", F.col("colour").alias("old"), F.greatest("colour", F.coalesce("sent", "colour")).alias("colour"))
+        sent = edges.join(colours.hint("merge"), edges["src"] == colours["node"]).groupBy(F.col("dst").alias("node")).agg(F.max("colour").alias("sent"))
+        step = colours.join(sent.hint("merge"), "node", "left").select("node", F.col("colour").alias("old"), F.greatest("colour", F.coalesce("sent", "colour")).alias("colour"))
         ahead = colours.select(F.col("node").alias("colour"), F.col("colour").alias("ahead"))  # who reaches my colour reaches me
-        new = stored(step.join(ahead, "colour", "left").select("node", "old", F.greatest("colour", F.coalesce("ahead", "colour")).alias("colour")), "colours")
+        new = stored(step.join(ahead.hint("merge"), "colour", "left").select("node", "old", F.greatest("colour", F.coalesce("ahead", "colour")).alias("colour")), "colours")
         if new.where("old <> colour").isEmpty():
             return new.select("node", "colour")
         colours = new.select("node", "colour")
@@ -62,15 +65,15 @@ def core_components(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(node and label of the components of two nodes and more that one colouring finds, the edges left)."""
     colours = coloured(edges)
     name = lambda c: colours.select(F.col("node").alias(c), F.col("colour").alias(f"{c}_colour"))
-    inside = edges.join(name("src"), "src").join(name("dst"), "dst").where("src_colour = dst_colour")
+    inside = edges.join(name("src").hint("merge"), "src").join(name("dst").hint("merge"), "dst").where("src_colour = dst_colour")
     inside = stored(inside.select("src", "dst"), "edges")
     back = reach(colours.where("node = colour").select("node"), inside.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    found = stored(back.select("node").join(colours, "node").select("node", F.col("colour").alias("label")), "found")
+    found = stored(back.select("node").join(colours.hint("merge"), "node").select("node", F.col("colour").alias("label")), "found")
     rest = inside
     for c in ("src", "dst"):
-        rest = rest.join(found.select(F.col("node").alias(c)), c, "left_anti")
+        rest = rest.join(found.select(F.col("node").alias(c)).hint("merge"), c, "left_anti")
     several = found.groupBy("label").agg(F.count("*").alias("n")).where("n > 1").select("label")
-    return found.join(several, "label", "left_semi").select("node", "label"), stored(rest.select("src", "dst"), "edges")
+    return found.join(several.hint("merge"), "label", "left_semi").select("node", "label"), stored(rest.select("src", "dst"), "edges")
 
 
 def strong(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,14 +138,14 @@ def cycles(edges: DataFrame) -> DataFrame:
 
     def with_own(label: DataFrame, nodes: DataFrame) -> DataFrame:
         """label, and nodes that have none, as components of their own."""
-        return label.unionByName(nodes.join(label, "node", "left_anti").select("node", F.col("node").alias("label")))
+        return label.unionByName(nodes.join(label.hint("merge"), "node", "left_anti").select("node", F.col("node").alias("label")))
 
     label = stored(label, "labels")
     for further, looped in reversed(logs):  # partners and neighbours of merged nodes are settled before these
         label = stored(with_own(label, looped), "labels")
         at = lambda c: label.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))  # noqa: E731, B023
-        settled = further.join(at("p"), "p").join(at("q"), "q").where("p_label = q_label").select("node", F.col("p_label").alias("label"))
+        settled = further.join(at("p").hint("merge"), "p").join(at("q").hint("merge"), "q").where("p_label = q_label").select("node", F.col("p_label").alias("label"))
         label = stored(label.unionByName(settled.distinct()), "labels")
     label = with_own(label, own)
     least = label.groupBy("label").agg(F.min("node").alias("cycle"))
-    return label.join(least, "label").select("node", "cycle")
+    return label.join(least.hint("merge"), "label").select("node", "cycle")
