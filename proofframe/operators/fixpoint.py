@@ -12,23 +12,51 @@ from ..storage import stored
 DEPTH = 64
 #: Rounds after which a walk's rows are written as one, so that plans stay short.
 ROUNDS = 16
+#: Rounds from which a walk is long; nodes found since are many if there are more than one in so many edges left.
+LONG, PRUNED = 4, 5
+#: Up to so many rows are broadcast by way of the driver, a few MB.
+SMALL = 250_000
+
+
+def sized(df: DataFrame, n: int) -> DataFrame:
+    """df of n rows, broadcast by a join if that is little, else merged: Spark would have each frontier of up to 10 MB
+    collected at the driver, round by round."""
+    return df.hint("broadcast" if n <= SMALL else "merge")
 
 
 def reach(seeds: DataFrame, edges: DataFrame, carry: tuple[str, ...] = (), depth: int | None = None, stop: DataFrame | None = None) -> DataFrame:
     """carry, node and depth of all nodes reachable from seeds (carry, node) along edges (src, dst), seeds included.
 
-    stop (node): nodes that are reached but not left. Where depth is given, deeper raises: nothing is cut in silence."""
+    stop (node): nodes that are reached but not left. Where depth is given, deeper raises: nothing is cut in silence.
+
+    A long walk without carry drops the edges into nodes found, as soon as these are many: later rounds read what is left,
+    and compare with the nodes found since alone."""
     keys = [*carry, "node"]
-    frontier = seen = stored(seeds.select(*keys).distinct().withColumn("depth", F.lit(0)), "reach")
+    frontier = seen = since = stored(seeds.select(*keys).distinct().withColumn("depth", F.lit(0)), "reach")
+    n = n_since = frontier.count()
+    left, n_left = edges, None
     for d in count(1) if depth is None else range(1, depth + 2):
         at = frontier if stop is None else frontier.join(stop, "node", "left_anti")
-        new = at.join(edges, at["node"] == edges["src"]).select(*carry, F.col("dst").alias("node")).distinct()
-        frontier = stored(new.join(seen.select(*keys), keys, "left_anti").withColumn("depth", F.lit(d)), "reach")
-        if frontier.isEmpty():
+        if not carry:
+            if d > LONG and n_left is None:
+                n_left = left.count()
+            if d > LONG and n_since * PRUNED > n_left:
+                left = stored(left.join(sized(since.select(F.col("node").alias("dst")), n_since), "dst", "left_anti").select("src", "dst"), "left")
+                since, n_since, n_left = None, 0, left.count()
+            at = sized(at, n)
+        new = at.join(left, at["node"] == left["src"]).select(*carry, F.col("dst").alias("node")).distinct()
+        if since is not None:
+            known = since.select(*keys)
+            new = new.join(known if carry else sized(known, n_since), keys, "left_anti")
+        frontier = stored(new.withColumn("depth", F.lit(d)), "reach")
+        n = frontier.count()
+        if not n:
             return seen
-        seen = seen.unionByName(frontier)
+        all_since = since is seen
+        seen, n_since = seen.unionByName(frontier), n_since + n
         if d % ROUNDS == 0:
             seen = stored(seen, "reach")
+        since = seen if all_since else frontier if since is None else since.unionByName(frontier)
     raise RuntimeError(f"deeper than {depth}")
 
 
